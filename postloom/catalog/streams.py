@@ -24,15 +24,16 @@ def message_stream(t: Tables):
 
 
 @query("stm_01_watermark", """
+WITH newest AS (SELECT max(finished_at) AS now FROM runs)
 SELECT account_label, uid, internal_date FROM messages
-WHERE internal_date >= (SELECT greatest(max(finished_at) FILTER (status = 'completed'),
-  max(finished_at) - INTERVAL '72' HOUR) FROM runs)""")
+WHERE internal_date >= (SELECT greatest(max(finished_at) FILTER (status = 'completed' AND finished_at < now),
+  max(now) - INTERVAL '72' HOUR) FROM runs, newest)""")
 def _(t: Tables):
     from postloom.functions.dates import fetch_since
-    bounds = t.runs.agg(
-        F.max("finished_at").alias("now"),
-        F.max(F.when(F.col("status") == "completed", F.col("finished_at"))).alias("last"))
-    since = bounds.select(fetch_since(F.col("now"), F.col("last")).alias("since"))
+    from postloom.operators.ranking import last_completed
+    newest = t.runs.agg(F.max("finished_at")).scalar()
+    before = last_completed(t.runs.where(F.col("finished_at") < newest))
+    since = before.select(fetch_since(newest, F.col("finished_at")).alias("since"))
     return t.messages.where(F.col("internal_date") >= since.scalar()).select(
         "account_label", "uid", "internal_date")
 

@@ -41,7 +41,8 @@ def _zero(c: Column) -> Column:
 
 
 def _finish(df: DataFrame, text: Column, tokens: tuple[Column, Column, Column],
-            failure: Column) -> DataFrame:
+            failure: Column, withheld: Column | None = None) -> DataFrame:
+    """Common projection. ``withheld`` marks responses that carry neither text nor usage."""
     name = F.col("provider")
     status = F.concat(name, F.lit(".classify: "), F.col("http_status").cast("string"), F.lit(": "),
                       F.col("body"))
@@ -51,6 +52,8 @@ def _finish(df: DataFrame, text: Column, tokens: tuple[Column, Column, Column],
         .when(broken, F.concat(name, F.lit(".classify.unmarshal: invalid JSON")))
         .otherwise(F.when(failure.isNotNull(), F.concat(name, F.lit(".classify: "), failure))))
     usable = (F.col("http_status") == 200) & ~broken
+    if withheld is not None:
+        usable = usable & ~withheld
     return df.select(
         "run_id", "batch_id", "provider", "http_status",
         F.when(usable, F.coalesce(text, F.lit(""))).otherwise(F.lit("")).alias("raw"),
@@ -65,14 +68,15 @@ def _candidates(rows: DataFrame) -> DataFrame:
     text = F.array_join(F.transform(first["content"]["parts"],
                                     lambda p: F.coalesce(p["text"], F.lit(""))), "")
     blocked = F.col("doc.promptFeedback.blockReason")
+    is_blocked = F.coalesce(blocked, F.lit("")) != ""
     failure = (
-        F.when(F.coalesce(blocked, F.lit("")) != "", F.concat(F.lit("prompt blocked: "), blocked))
+        F.when(is_blocked, F.concat(F.lit("prompt blocked: "), blocked))
         .when(F.coalesce(F.size("doc.candidates"), F.lit(0)) <= 0, F.lit("no candidates returned"))
         .when(F.coalesce(text, F.lit("")) == "", F.lit("empty candidate text"))
         .when(first["finishReason"] == "SAFETY", F.lit("response blocked by safety filters")))
     usage = "doc.usageMetadata."
     return _finish(df, text, (F.col(usage + "promptTokenCount"), F.col(usage + "candidatesTokenCount"),
-                              F.col(usage + "totalTokenCount")), failure)
+                              F.col(usage + "totalTokenCount")), failure, is_blocked)
 
 
 def _chat(rows: DataFrame) -> DataFrame:
@@ -88,10 +92,12 @@ def _chat(rows: DataFrame) -> DataFrame:
 def _local(rows: DataFrame) -> DataFrame:
     df = rows.where(F.col("provider") == LOCAL).withColumn("doc", _json("local"))
     prompt, answer = _zero(F.col("doc.prompt_eval_count")), _zero(F.col("doc.eval_count"))
+    incomplete = ~F.coalesce("doc.done", F.lit(False))
     failure = (
-        F.when(~F.coalesce("doc.done", F.lit(False)), F.lit("response not complete"))
+        F.when(incomplete, F.lit("response not complete"))
         .when(F.coalesce("doc.message.content", F.lit("")) == "", F.lit("empty response content")))
-    return _finish(df, F.col("doc.message.content"), (prompt, answer, prompt + answer), failure)
+    return _finish(df, F.col("doc.message.content"), (prompt, answer, prompt + answer), failure,
+                   incomplete)
 
 
 def extract_replies(raw_replies: DataFrame) -> DataFrame:
