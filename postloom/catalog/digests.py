@@ -1 +1,251 @@
+"""Queries: digest sections, whole digests, and the full triage pass."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from postloom.catalog import query
+from postloom.catalog.statistics import (COUNTS, ENTRIES, SENDERS, accounts, header_snapshot, previous,
+                                         run_senders)
+from postloom.operators import digest, highlights, messages, stats
+from postloom.operators.messages import RUN_KEY
+from postloom.params import DigestOptions, TriageOptions
+from postloom.plans import triage as plan
+from postloom.plans.tables import Tables
+from postloom.session import shared_root
+from postloom.sources.ledger import Ledger, write_payloads
+
+OPTIONS = DigestOptions()
+
+
+def run_ids(t: Tables):
+    return t.runs.select(F.col("id").alias("run_id"), F.col("finished_at").alias("generated_at"))
+
+
+def numbered(lines, name: str = "pos"):
+    """Lines with their position in the run's section, for comparison."""
+    w = Window.partitionBy("run_id").orderBy(*digest.ORDER)
+    return lines.select("run_id", F.row_number().over(w).cast("bigint").alias(name), "text")
+
+
+def totals_with_lists(t: Tables):
+    labels = stats.run_level(stats.label_counts(t.entries), "label")
+    domains = stats.run_level(stats.domain_counts(t.messages), "domain")
+    return digest.with_lists(stats.run_stats(accounts(t)), ["run_id"], labels, run_senders(t), domains)
+
+
+def accounts_with_lists(t: Tables):
+    return digest.with_lists(
+        accounts(t), ["run_id", "account_label"], stats.label_counts(t.entries),
+        stats.sender_counts(t.messages), stats.domain_counts(t.messages))
+
+
+def top(table: str, group: str, key: str) -> str:
+    """SQL: the top five of a key per group as one text of list lines."""
+    return f"""
+{table} AS (SELECT {group}, string_agg('- ' || {key} || ' (' || CAST(n AS STRING) || ')', chr(10) ORDER BY rn) AS lines
+  FROM (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY n DESC, {key}) AS rn FROM (
+    SELECT {group}, {key}, count(*) AS n FROM senders WHERE {key} <> '' GROUP BY {group}, {key})) WHERE rn <= 5
+  GROUP BY {group})"""
+
+
+def label_line(table: str, group: str) -> str:
+    return f"""
+{table} AS (SELECT {group}, string_agg(' ' || final_label || '=' || CAST(n AS STRING), '' ORDER BY final_label) AS labels
+  FROM (SELECT {group}, final_label, count(*) AS n FROM entries GROUP BY {group}, final_label) GROUP BY {group})"""
+
+
+@query("dig_02_summary", f"""
+WITH {ENTRIES}, {SENDERS}, {top('ts', 'run_id', 'sender')}, {top('td', 'run_id', 'domain')}, {label_line('ll', 'run_id')},
+c AS (SELECT run_id, {COUNTS} FROM entries GROUP BY run_id),
+a AS (SELECT run_id, count(*) AS checked, count(*) FILTER (status = 'error') AS bad FROM account_status GROUP BY run_id)
+SELECT c.run_id, '## Summary' || chr(10) || chr(10) || '**Fetched:** ' || CAST(fetched AS STRING) || chr(10)
+  || '**Classified:** ' || CAST(classified AS STRING) || chr(10) || '**Failed:** ' || CAST(failed AS STRING) || chr(10)
+  || '**Accounts:** ' || CAST(checked AS STRING) || ' checked, ' || CAST(checked - bad AS STRING) || ' succeeded, '
+  || CAST(bad AS STRING) || ' failed' || chr(10) || '**High priority:** ' || CAST(high_priority AS STRING) || chr(10)
+  || '**Read:** ' || CAST(read AS STRING) || chr(10) || '**Unread:** ' || CAST(unread AS STRING) || chr(10)
+  || '**Labels:**' || labels || coalesce(chr(10) || '**Top senders:**' || chr(10) || ts.lines, '')
+  || coalesce(chr(10) || '**Noisiest domains:**' || chr(10) || td.lines, '') || chr(10)
+  || '**Messages:** ' || CAST(fetched AS STRING) || ' classified (' || CAST(fetched AS STRING) || ' fetched, '
+  || CAST(failed AS STRING) || ' failed)' AS payload
+FROM c JOIN a USING (run_id) JOIN ll USING (run_id) LEFT JOIN ts USING (run_id) LEFT JOIN td USING (run_id)""")
+def _(t: Tables):
+    totals = totals_with_lists(t).withColumn("total_messages", F.col("fetched"))
+    return digest.assemble(digest.summary_lines(totals, OPTIONS)).select("run_id", "payload")
+
+
+@query("dig_03_account_stats", f"""
+WITH {ENTRIES}, {SENDERS}, {top('ts', 'run_id, account_label', 'sender')}, {top('td', 'run_id, account_label', 'domain')},
+{label_line('ll', 'run_id, account_label')},
+c AS (SELECT run_id, account_label, {COUNTS} FROM entries GROUP BY run_id, account_label),
+one AS (SELECT c.run_id, account_label, '### ' || account_label || chr(10) || chr(10) || '**Fetched:** '
+  || CAST(fetched AS STRING) || ' | **Classified:** ' || CAST(classified AS STRING) || ' | **Failed:** '
+  || CAST(failed AS STRING) || chr(10) || '**Read:** ' || CAST(read AS STRING) || ' | **Unread:** ' || CAST(unread AS STRING)
+  || chr(10) || '**Labels:**' || labels || coalesce(chr(10) || '**Top senders:**' || chr(10) || ts.lines, '')
+  || coalesce(chr(10) || '**Noisiest domains:**' || chr(10) || td.lines, '')
+  || CASE WHEN s.error <> '' THEN chr(10) || '⚠️ **Fetch error:** ' || s.error ELSE '' END AS block
+  FROM c JOIN account_status s USING (run_id, account_label) JOIN ll USING (run_id, account_label)
+  LEFT JOIN ts USING (run_id, account_label) LEFT JOIN td USING (run_id, account_label))
+SELECT run_id, '## Account Stats' || chr(10) || string_agg(block, chr(10) ORDER BY account_label) AS payload
+FROM one GROUP BY run_id""")
+def _(t: Tables):
+    lines = digest.account_lines(run_ids(t), accounts_with_lists(t), OPTIONS)
+    return digest.assemble(lines).select("run_id", "payload")
+
+
+SHOWN = f"""
+{ENTRIES},
+ranked AS (SELECT *, CASE coalesce(final_priority, '') WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END AS pr
+  FROM entries),
+shown AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY pr, date DESC, account_label, uid) AS place
+  FROM ranked) WHERE place <= 100)"""
+ENTRY_HEAD = """'### ' || CAST(n AS STRING) || '. ' || subject || chr(10) || chr(10) || '**From:** ' || from_addr
+  || ' | **Date:** ' || strftime(date, '%Y-%m-%d %H:%M') || chr(10) || '**Status:** '
+  || CASE WHEN is_read THEN '✅ Read' ELSE '🆕 Unread' END"""
+ENTRY_PRIORITY = """chr(10) || '**Priority:** ' || CASE pr WHEN 0 THEN '🔴 High' WHEN 1 THEN '🟡 Medium'
+  WHEN 2 THEN '🟢 Low' ELSE 'Unspecified' END"""
+
+
+def shown_entries(t: Tables):
+    return digest.capped_entries(t.entries_with_body, OPTIONS)
+
+
+@query("dig_04_needs_attention", f"""
+WITH {SHOWN}, h AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY date DESC, account_label, uid) AS n
+  FROM shown WHERE pr = 0)
+SELECT run_id, '## 🚨 Needs Attention' || chr(10) || string_agg({ENTRY_HEAD} || {ENTRY_PRIORITY}
+  || chr(10) || '**Reason:** ' || coalesce(reason, ''), chr(10) ORDER BY n) || chr(10) || '---' AS payload
+FROM h GROUP BY run_id""")
+def _(t: Tables):
+    return digest.assemble(digest.attention_lines(shown_entries(t), OPTIONS)).select("run_id", "payload")
+
+
+@query("dig_05_label_sections", f"""
+WITH {SHOWN}, e AS (SELECT s.*, b.body, row_number() OVER (PARTITION BY run_id, final_label
+    ORDER BY pr, date DESC, account_label, uid) AS n
+  FROM shown s LEFT JOIN bodies b USING (account_label, uid)),
+sec AS (SELECT run_id, final_label, chr(10) || '## ' || final_label || ' (' || CAST(count(*) AS STRING) || ')' || chr(10)
+  || string_agg({ENTRY_HEAD} || {ENTRY_PRIORITY} || chr(10) || '**Confidence:** '
+    || printf('%.0f%%', coalesce(confidence, 0) * 100) || chr(10) || '**Reason:** ' || coalesce(reason, '') || chr(10)
+    || CASE WHEN summary IS NOT NULL THEN '**Summary:** ' || summary || chr(10) || chr(10) || '**Key points:**' || chr(10)
+      || '- first point' || chr(10) || '- point of ' || CAST(uid AS STRING)
+      || CASE WHEN final_priority = 'high' THEN chr(10) || chr(10) || '**Action items:**' || chr(10) || '- answer' ELSE '' END
+    WHEN error IS NOT NULL THEN '⚠️ **Analysis failed (' || stage || '):** ' || error || chr(10) || '> '
+      || CASE WHEN length(coalesce(body, '')) > 500 THEN left(body, 500) || '…' ELSE coalesce(body, '') END
+    ELSE '> ' || CASE WHEN length(coalesce(body, '')) > 500 THEN left(body, 500) || '…' ELSE coalesce(body, '') END END,
+    chr(10) ORDER BY n) AS block
+  FROM e GROUP BY run_id, final_label)
+SELECT run_id, md5(string_agg(block, chr(10) ORDER BY final_label)) AS payload_md5 FROM sec GROUP BY run_id""")
+def _(t: Tables):
+    lines = digest.label_lines(shown_entries(t), OPTIONS)
+    return digest.assemble(lines).select("run_id", F.md5("payload").alias("payload_md5"))
+
+
+def main_lines(t: Tables, options: DigestOptions = OPTIONS):
+    labels = stats.run_level(stats.label_counts(t.entries), "label")
+    senders = run_senders(t)
+    notable = highlights.highlights(
+        stats.run_stats(accounts(t)), accounts(t), labels, senders, previous(t), header_snapshot(t),
+        labels, senders)
+    return digest.markdown_lines(run_ids(t), totals_with_lists(t), accounts_with_lists(t),
+                                 t.entries_with_body, notable, options)
+
+
+@query("dig_01_markdown_document")
+def _(t: Tables):
+    return digest.assemble(main_lines(t)).select("run_id", "bytes", "payload_hash")
+
+
+@query("dig_01_line_table")
+def _(t: Tables):
+    return main_lines(t).select("run_id", *digest.ORDER, "text")
+
+
+@query("dig_06_fallback_document", f"""
+WITH {SENDERS}, {top('ts', 'run_id', 'sender')}, {top('td', 'run_id', 'domain')},
+f AS (SELECT m.*, b.body, row_number() OVER (PARTITION BY m.run_id ORDER BY m.account_label, m.uid) AS n
+  FROM messages m LEFT JOIN bodies b ON b.account_label = m.account_label AND b.uid = m.uid),
+l AS (SELECT run_id, count(*) AS shown, string_agg({ENTRY_HEAD} || chr(10) || chr(10) || '> '
+    || CASE WHEN length(coalesce(body, '')) > 500 THEN left(body, 500) || '…' ELSE coalesce(body, '') END, chr(10) ORDER BY n) AS list
+  FROM f WHERE n <= 100 GROUP BY run_id),
+c AS (SELECT run_id, count(*) AS fetched, count(*) FILTER (is_read) AS read FROM messages GROUP BY run_id)
+SELECT r.id AS run_id, md5('# ⚠️ Email Digest (Fallback)' || chr(10) || chr(10) || '**Run ID:** ' || r.id || chr(10)
+  || '**Generated:** ' || strftime(r.finished_at, '%Y-%m-%d %H:%M') || chr(10)
+  || '**Status:** ⚠️ LLM classification was unavailable — messages are listed without labels.' || chr(10) || chr(10) || '---' || chr(10)
+  || '## Summary' || chr(10) || chr(10) || '**Fetched:** ' || CAST(fetched AS STRING) || chr(10) || '**Classified:** 0' || chr(10)
+  || '**Failed:** ' || CAST(fetched AS STRING) || chr(10) || '**Accounts:** 0 checked, 0 succeeded, 0 failed' || chr(10)
+  || '**High priority:** 0' || chr(10) || '**Read:** ' || CAST(read AS STRING) || chr(10) || '**Unread:** '
+  || CAST(fetched - read AS STRING) || chr(10) || '**Labels:** Unknown=' || CAST(fetched AS STRING)
+  || coalesce(chr(10) || '**Top senders:**' || chr(10) || ts.lines, '')
+  || coalesce(chr(10) || '**Noisiest domains:**' || chr(10) || td.lines, '') || chr(10) || chr(10) || '---' || chr(10) || chr(10)
+  || '## Fetched Messages (' || CAST(shown AS STRING) || ')' || chr(10) || list || chr(10) || chr(10) || '---' || chr(10) || chr(10)
+  || '*Generated by postloom (fallback mode)*' || chr(10)) AS payload_md5
+FROM runs r JOIN c ON c.run_id = r.id JOIN l ON l.run_id = r.id
+LEFT JOIN ts ON ts.run_id = r.id LEFT JOIN td ON td.run_id = r.id""")
+def _(t: Tables):
+    rows = t.messages_with_body.withColumns({
+        "label": F.lit("Unknown"), "priority": F.lit("")})
+    unknown = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("fetched"),
+                                         F.count_if("is_read").alias("read"))
+    zero = F.lit(0).cast("bigint")
+    totals = unknown.withColumns({
+        "classified": zero, "failed": F.col("fetched"), "unread": F.col("fetched") - F.col("read"),
+        "high_priority": zero, "accounts_checked": zero, "accounts_succeeded": zero,
+        "accounts_failed": zero})
+    labels = stats.run_level(stats.label_counts(rows), "label")
+    domains = stats.run_level(stats.domain_counts(rows), "domain")
+    listed = digest.with_lists(totals, ["run_id"], labels, run_senders(t), domains)
+    no_accounts = accounts_with_lists(t).limit(0)
+    lines = digest.fallback_lines(run_ids(t), listed, no_accounts, rows, OPTIONS)
+    return digest.assemble(lines).select("run_id", F.md5("payload").alias("payload_md5"))
+
+
+@query("snk_08_payload_files", f"""
+WITH {ENTRIES} SELECT run_id, count(*) AS n FROM entries WHERE final_priority = 'high' GROUP BY run_id""")
+def _(t: Tables):
+    """Entry lines of the attention section, written as text and read back per run."""
+    path = f"{shared_root(t.spark)}/payloads/{uuid.uuid4().hex}"
+    options = DigestOptions(max_messages=0)
+    write_payloads(digest.attention_lines(messages.only_high_priority(t.entries_with_body), options), path)
+    stored = t.spark.read.schema("value string, run_id string").text(path)
+    return stored.where(F.col("value").rlike(r"^### \d+\. ")).groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def run_pass(t: Tables, options: TriageOptions = TriageOptions()):
+    labels = stats.run_level(stats.label_counts(t.entries), "label")
+    empty_ledger = t.processed_messages.limit(0)
+    return plan.triage(
+        t.messages_with_body, t.requests.select("run_id", "batch_id", "account_label", "uid"), t.replies,
+        t.account_status, t.runs, empty_ledger, header_snapshot(t), labels, run_senders(t), options)
+
+
+@query("flow_03_triage_entries")
+def _(t: Tables):
+    return run_pass(t).entries.select(*RUN_KEY, "label", "classified", "error", "stage")
+
+
+@query("flow_03_triage_pass")
+def _(t: Tables):
+    """The whole pass: statuses and digests of every run, with all sinks written."""
+    result = run_pass(t)
+    book = Ledger(t.spark, f"{shared_root(t.spark)}/ledgers/{uuid.uuid4().hex}")
+    at = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    book.record_runs(t.runs.select("id", "started_at", F.lit("").alias("status")), at)
+    plan.record(result, book, f"{book.root}/payloads", at)
+    return book.runs().join(book.read("digests").withColumnRenamed("run_id", "id").select(
+        "id", "payload_hash"), "id", "left").select("id", "status", "message_count", "error", "payload_hash")
+
+
+@query("flow_02_dry_run_writes_nothing")
+def _(t: Tables):
+    """A dry run leaves the ledger as it was: the runs opened before it stay open."""
+    result = run_pass(t, TriageOptions(dry_run=True))
+    book = Ledger(t.spark, f"{shared_root(t.spark)}/ledgers/{uuid.uuid4().hex}")
+    at = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    book.record_runs(t.runs.select("id", "started_at", F.lit("").alias("status")), at)
+    plan.record(result, book, f"{book.root}/payloads", at, TriageOptions(dry_run=True))
+    return book.runs().select("id", "status", "message_count")

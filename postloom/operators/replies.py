@@ -18,6 +18,7 @@ from postloom.functions.reply_text import (effective_priority, json_part, strip_
 from postloom.functions.text import first_non_blank, label_list, quoted, trim_space
 from postloom.operators.messages import RUN_KEY, accepted_labels
 from postloom.operators.skew import salted_join
+from postloom.session import stage
 
 BATCH = ["run_id", "batch_id"]
 _CORRUPT = "_corrupt_record"
@@ -236,31 +237,35 @@ def partial_fallback(requests: DataFrame, replies: DataFrame,
     ``requests``: one row per requested key with ``batch_id``. ``replies``: ``run_id, batch_id,
     attempt`` (0 first reply, 1 repair), ``raw`` and ``reply_error`` (the call failed). ``batches``
     has one row per batch with ``call_error`` and ``parse_error`` of the first reply.
+
+    The parsed replies and the accepted items are written once to the shared folder: several
+    branches read them, and JSON is parsed a single time.
     """
-    first = parse_replies(replies.where(
-        (F.col("attempt") == 0) & F.col("reply_error").isNull()), labels)
-    again = parse_replies(replies.where(
-        (F.col("attempt") == 1) & F.col("reply_error").isNull()), labels)
-    calls = replies.groupBy(*BATCH).agg(
-        F.count_if(F.col("attempt") == 0).alias("answers"),
-        F.max(F.when(F.col("attempt") == 0, F.col("reply_error"))).alias("call_error"),
-        F.count_if(F.col("attempt") == 1).alias("repairs"),
-        F.max(F.when(F.col("attempt") == 1, F.col("reply_error"))).alias("repair_call_error"))
+    parsed = stage(parse_replies(
+        replies.where(F.col("attempt") <= F.lit(min(repair_attempts, 1))), labels).select(
+        *BATCH, "attempt", "reply_error", "items", "parse_error"), "parsed")
+    heard = F.col("reply_error").isNull()
+    first = parsed.where((F.col("attempt") == 0) & heard)
+    again = parsed.where((F.col("attempt") == 1) & heard)
+
+    def of(attempt: int, value: Column) -> Column:
+        return F.when(F.col("attempt") == attempt, value)
+
+    calls = parsed.groupBy(*BATCH).agg(
+        F.count(of(0, F.lit(1))).alias("answers"), F.count(of(1, F.lit(1))).alias("repairs"),
+        F.max(of(0, F.col("reply_error"))).alias("call_error"),
+        F.max(of(1, F.col("reply_error"))).alias("repair_call_error"),
+        F.max(of(0, F.when(heard, F.col("parse_error")))).alias("parse_error"),
+        F.max(of(1, F.when(heard, F.col("parse_error")))).alias("repair_error"))
     batches = (
         requests.select(*BATCH).distinct()
         .join(calls, BATCH, "left")
-        .join(first.select(*BATCH, "parse_error"), BATCH, "left")
-        .join(again.select(*BATCH, F.col("parse_error").alias("repair_error")), BATCH, "left")
         .withColumn("call_error", F.when(F.coalesce("answers", F.lit(0)) == 0, F.lit("no reply"))
                     .otherwise(F.col("call_error")))
     )
-    accepted = valid_items(first)
-    if repair_attempts > 0:
-        in_doubt = batches.where(F.col("parse_error").isNotNull()).select(*BATCH)
-        clean = again.where(F.col("parse_error").isNull()).join(in_doubt, BATCH, "left_semi")
-        valid = first_pass_wins(accepted, valid_items(clean))
-    else:
-        valid = first_pass_wins(accepted, valid_items(first.limit(0)))
+    in_doubt = batches.where(F.col("parse_error").isNotNull()).select(*BATCH)
+    clean = again.where(F.col("parse_error").isNull()).join(in_doubt, BATCH, "left_semi")
+    valid = stage(first_pass_wins(valid_items(first), valid_items(clean)), "valid")
     by_run = batches.groupBy("run_id").agg(
         F.bool_and(F.col("call_error").isNotNull()).alias("run_failed"))
     troubled = salted_join(

@@ -85,7 +85,6 @@ def triage(fetched: DataFrame, requests: DataFrame, answers: DataFrame, account_
     wanted = requests.join(fresh.select(*messages.RUN_KEY), messages.RUN_KEY, "left_semi")
     valid, failed, batches = replies.partial_fallback(
         wanted, answers, options.labels, options.repair_attempts)
-    valid = stage(valid, "valid")
     failed = stage(failed, "failed")
     rows = stage(stats.entries(fresh, valid, failed), "entries")
 
