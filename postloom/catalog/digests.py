@@ -15,7 +15,7 @@ from postloom.operators.messages import RUN_KEY
 from postloom.params import DigestOptions, TriageOptions
 from postloom.plans import triage as plan
 from postloom.plans.tables import Tables
-from postloom.session import shared_root
+from postloom.session import shared_root, stage
 from postloom.sources.ledger import Ledger, write_payloads
 
 OPTIONS = DigestOptions()
@@ -145,13 +145,16 @@ def _(t: Tables):
 
 
 def main_lines(t: Tables, options: DigestOptions = OPTIONS):
-    labels = stats.run_level(stats.label_counts(t.entries), "label")
-    senders = run_senders(t)
-    notable = highlights.highlights(
-        stats.run_stats(accounts(t)), accounts(t), labels, senders, previous(t), header_snapshot(t),
-        labels, senders)
-    return digest.markdown_lines(run_ids(t), totals_with_lists(t), accounts_with_lists(t),
-                                 t.entries_with_body, notable, options)
+    """All digest lines; the tables that many lines read are written once."""
+    rows = stage(t.entries_with_body, "entries")
+    per_account = stage(accounts_with_lists(t), "accounts")
+    totals = stage(totals_with_lists(t), "totals")
+    labels = stage(stats.run_level(stats.label_counts(rows), "label"), "labels")
+    senders = stage(run_senders(t), "senders")
+    notable = stage(highlights.highlights(
+        totals, per_account, labels, senders, previous(t), totals, labels, senders), "highlights")
+    lines = digest.markdown_lines(run_ids(t), totals, per_account, rows, notable, options)
+    return stage(lines, "lines")
 
 
 @query("dig_01_markdown_document")
@@ -216,11 +219,12 @@ def _(t: Tables):
 
 
 def run_pass(t: Tables, options: TriageOptions = TriageOptions()):
-    labels = stats.run_level(stats.label_counts(t.entries), "label")
-    empty_ledger = t.processed_messages.limit(0)
+    labels = stage(stats.run_level(stats.label_counts(t.entries), "label"), "labels")
+    nothing = t.processed_messages.limit(0)
     return plan.triage(
         t.messages_with_body, t.requests.select("run_id", "batch_id", "account_label", "uid"), t.replies,
-        t.account_status, t.runs, empty_ledger, header_snapshot(t), labels, run_senders(t), options)
+        t.account_status, t.runs, nothing, stage(header_snapshot(t), "headers"), labels,
+        stage(run_senders(t), "senders"), options)
 
 
 @query("flow_03_triage_entries")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -125,11 +126,11 @@ UNION ALL SELECT 'sender', run_id, sender, count(*) FROM senders WHERE sender <>
 UNION ALL SELECT 'domain', run_id, domain, count(*) FROM senders WHERE domain <> '' GROUP BY run_id, domain""")
 def _(t: Tables):
     book = saved_snapshots(t)
-    out = book.read("run_digest_summaries").select(
+    out = book.snapshot_headers().select(
         F.lit("header").alias("kind"), "run_id", F.date_format("finished_at", "yyyy-MM-dd").alias("key"),
         F.col("high_priority_count").alias("n"))
     for kind in ("label", "sender", "domain"):
-        out = out.unionByName(book.read(f"run_digest_{kind}_counts").select(
+        out = out.unionByName(book.snapshot_counts(kind).select(
             F.lit(kind).alias("kind"), "run_id", F.col(kind).alias("key"), "n"))
     return out
 
@@ -138,7 +139,7 @@ def _(t: Tables):
 SELECT run_id, string_agg(label || '=' || CAST(n AS STRING), ',' ORDER BY label) AS counts
 FROM label_snapshot GROUP BY run_id""")
 def _(t: Tables):
-    stored = saved_snapshots(t).read("run_digest_label_counts")
+    stored = saved_snapshots(t).snapshot_counts("label")
     pairs = F.transform(F.map_entries("counts_by_label"),
                         lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
     return stats.label_map(stored, ["run_id"]).select("run_id", F.array_join(pairs, ",").alias("counts"))
@@ -147,7 +148,7 @@ def _(t: Tables):
 @query("snk_07_counts_of_run", f"""
 WITH {SENDERS} SELECT sender, count(*) AS n FROM senders WHERE sender <> '' AND run_id = '2024-01-15-2' GROUP BY sender""")
 def _(t: Tables):
-    return store.counts_of_run(saved_snapshots(t).read("run_digest_sender_counts"), "2024-01-15-2")
+    return store.counts_of_run(saved_snapshots(t).snapshot_counts("sender"), "2024-01-15-2")
 
 
 @query("src_08_ledger_tables", f"""
@@ -170,6 +171,9 @@ def _(t: Tables):
         F.sha2("id", 256).alias("payload_hash")))
     out = None
     for name in schemas.LEDGER:
-        part = book.read(name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        key = re.fullmatch(r"run_digest_(\w+)_counts", name)
+        rows = (book.snapshot_counts(key[1]) if key else book.snapshot_headers()
+                if name == "run_digest_summaries" else book.read(name))
+        part = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
         out = part if out is None else out.unionByName(part)
     return out

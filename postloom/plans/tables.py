@@ -98,24 +98,25 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._made: dict[str, DataFrame] = {}
 
-    def base(self, name: str) -> DataFrame:
+    def _base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def view(self, name: str) -> DataFrame:
-        sources = {v: self.view(v) for v in VIEWS
+    def _view(self, name: str) -> DataFrame:
+        sources = {v: getattr(self, v) for v in VIEWS
                    if v != name and re.search(rf"(?:FROM|JOIN) {v}\b", VIEWS[name])}
-        sources |= {b: self.base(b) for b in BASE
+        sources |= {b: getattr(self, b) for b in BASE
                     if re.search(rf"(?:FROM|JOIN) {b}\b", VIEWS[name])}
         text = re.sub(r"(FROM|JOIN) (\w+)", r"\1 {\2}", VIEWS[name])
         return self.spark.sql(text, **sources)
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in VIEWS:
-            return self.view(name)
-        if name in BASE:
-            return self.base(name)
-        raise AttributeError(name)
+        if name not in VIEWS and name not in BASE:
+            raise AttributeError(name)
+        if name not in self._made:
+            self._made[name] = self._view(name) if name in VIEWS else self._base(name)
+        return self._made[name]
 
     @cached_property
     def messages_with_body(self) -> DataFrame:

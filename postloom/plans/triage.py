@@ -47,7 +47,7 @@ def processed_rows(entries: DataFrame, at: Column,
 
 @dataclass
 class TriageResult:
-    """The tables of a pass. ``entries`` is staged; the others hang on it."""
+    """The tables of a pass; all but ``statuses``, ``digests`` and ``flag_plan`` are stored."""
 
     entries: DataFrame
     totals: DataFrame
@@ -79,7 +79,7 @@ def triage(fetched: DataFrame, requests: DataFrame, answers: DataFrame, account_
     ``fetched``: landed messages with ``run_id``; ``requests`` and ``answers``: the prompt batches
     and the classifier's replies (see ``operators.replies.partial_fallback``). The entries table is
     written once to the shared folder, because statistics, highlights, digest, flags and ledger
-    rows all start from it.
+    rows all start from it; so are the small tables of counts that many digest lines read.
     """
     usable, fresh = select_messages(fetched, account_status, ledger, options)
     wanted = requests.join(fresh.select(*messages.RUN_KEY), messages.RUN_KEY, "left_semi")
@@ -88,38 +88,37 @@ def triage(fetched: DataFrame, requests: DataFrame, answers: DataFrame, account_
     failed = stage(failed, "failed")
     rows = stage(stats.entries(fresh, valid, failed), "entries")
 
-    per_account = stats.account_counts(rows)
-    accounts = stats.account_stats(per_account, account_status)
-    extra = stats.unrequested_replies(valid, rows)
-    totals = stats.run_stats(accounts, extra)
-    senders, domains = stats.sender_counts(rows), stats.domain_counts(rows)
-    labels = stats.label_counts(rows)
+    senders = stage(stats.sender_counts(rows), "senders")
+    domains, labels = stats.domain_counts(rows), stats.label_counts(rows)
+    accounts = stage(digest.with_lists(
+        stats.account_stats(stats.account_counts(rows), account_status),
+        ["run_id", "account_label"], labels, senders, domains), "accounts")
     run_labels = stats.run_level(labels, "label")
     run_senders = stats.run_level(senders, "sender")
+    totals = stage(digest.with_lists(
+        stats.run_stats(accounts, stats.unrequested_replies(valid, rows)), ["run_id"],
+        run_labels, run_senders, stats.run_level(domains, "domain")), "totals")
 
     previous = asof.previous_runs(runs, header_snapshot, now)
-    notable = highlights.highlights(totals, accounts, run_labels, run_senders, previous,
-                                    header_snapshot, label_snapshot, sender_snapshot)
+    notable = stage(highlights.highlights(
+        totals, accounts, run_labels, run_senders, stage(previous, "previous"), header_snapshot,
+        label_snapshot, sender_snapshot), "highlights")
 
     raw_counts = usable.groupBy("run_id").agg(F.count(F.lit(1)).alias("fetched_raw"))
     hard = batches.groupBy("run_id").agg(
         F.bool_and(F.col("call_error").isNotNull()).alias("classify_failed"))
-    state = (
+    state = stage(
         runs.select(F.col("id").alias("run_id")).join(totals, "run_id", "left")
         .join(raw_counts, "run_id", "left").join(hard, "run_id", "left")
         .fillna({"fetched_raw": 0, "fetched": 0, "classified": 0, "analysis_failed": 0,
                  "accounts_failed": 0, "classify_failed": False})
-        .withColumn("errors", F.col("accounts_failed")))
+        .withColumn("errors", F.col("accounts_failed")), "state")
 
     generated = F.coalesce("finished_at", now if now is not None else F.current_timestamp())
     with_messages = state.where(F.col("fetched") > 0)
     shown = runs.select(F.col("id").alias("run_id"), generated.alias("generated_at")).join(
         with_messages.select("run_id", (~F.col("classify_failed") & (F.col("classified") > 0)).alias(
             "main")), "run_id")
-    run_totals = digest.with_lists(totals, ["run_id"], run_labels, run_senders,
-                                   stats.run_level(domains, "domain"))
-    account_rows = digest.with_lists(accounts, ["run_id", "account_label"], labels, senders, domains)
-
     def part(df: DataFrame, keep: DataFrame, *spread: str) -> DataFrame:
         ids = keep.select("run_id")
         if spread:
@@ -129,13 +128,13 @@ def triage(fetched: DataFrame, requests: DataFrame, answers: DataFrame, account_
     main = shown.where("main").select("run_id", "generated_at")
     plain = shown.where(~F.col("main")).select("run_id", "generated_at")
     lines = digest.markdown_lines(
-        main, part(run_totals, main), part(account_rows, main), part(rows, main, "uid"),
+        main, part(totals, main), part(accounts, main), part(rows, main, "uid"),
         part(notable, main, "key"), options.digest,
     ).unionByName(digest.fallback_lines(
-        plain, part(run_totals, plain), part(account_rows, plain), part(rows, plain, "uid"),
+        plain, part(totals, plain), part(accounts, plain), part(rows, plain, "uid"),
         options.digest))
     lines = stage(lines, "lines")
-    payloads = digest.assemble(lines)
+    payloads = stage(digest.assemble(lines), "payloads")
     digests = payloads.select(
         "run_id", F.lit(options.channel).alias("channel"),
         F.when(F.col("payload").isNull(), F.lit("failed")).otherwise(F.lit("sent")).alias("status"),

@@ -21,11 +21,12 @@ PROCESSED_MESSAGES = (
 FLAGS_APPLIED = "account_label string, uid bigint, flag string, applied_at timestamp_ntz"
 DIGESTS = "run_id string, channel string, status string, payload_hash string"
 SUMMARIES = (
-    "run_id string, finished_at timestamp_ntz, accounts_failed bigint, high_priority_count bigint"
+    "run_id string, finished_at timestamp_ntz, accounts_failed bigint, high_priority_count bigint, "
+    "snapshot_id string, seq bigint"
 )
-LABEL_COUNTS = "run_id string, label string, n bigint"
-SENDER_COUNTS = "run_id string, sender string, n bigint"
-DOMAIN_COUNTS = "run_id string, domain string, n bigint"
+LABEL_COUNTS = "run_id string, label string, n bigint, snapshot_id string"
+SENDER_COUNTS = "run_id string, sender string, n bigint, snapshot_id string"
+DOMAIN_COUNTS = "run_id string, domain string, n bigint, snapshot_id string"
 
 LEDGER = {
     "runs": RUNS,

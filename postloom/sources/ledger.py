@@ -1,19 +1,23 @@
 """Ledger tables on shared storage, with idempotent sinks.
 
 One writer appends to a ledger at a time. Every sink can be repeated after a failure: inserts skip
-keys already stored, snapshots replace their own run, and run states are a versioned log.
+keys already stored, a newer snapshot of a run supersedes the older one, and run states are a
+versioned log. Tables only grow by appends, so a reader never meets a half-replaced file.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom import schemas
+from postloom.operators.skew import salted_join
 from postloom.session import stage
 
-SNAPSHOT_TABLES = ("run_digest_summaries", "run_digest_label_counts",
-                   "run_digest_sender_counts", "run_digest_domain_counts")
+SNAPSHOT_TABLES = ("run_digest_label_counts", "run_digest_sender_counts",
+                   "run_digest_domain_counts", "run_digest_summaries")
 
 
 def first_writes(new: DataFrame, stored: DataFrame, keys: list[str],
@@ -126,16 +130,32 @@ class Ledger:
                        domains: DataFrame) -> None:
         """Replace the snapshot of every run in ``header``.
 
-        Each table is partitioned by run and only the partitions written are replaced. The rebalance
-        step gives a small run one file and splits a large one over several tasks.
+        Counts go first and the header last, under one fresh id: a snapshot is visible only when it
+        is whole, and what a failed attempt left behind is never read. Older snapshots of a run are
+        superseded by the sequence number of the header. The rebalance step keeps a run's rows
+        together but splits a large run over several tasks.
         """
-        tables = [header, snapshot_counts(labels, "label"), snapshot_counts(senders, "sender"),
-                  snapshot_counts(domains, "domain")]
+        snapshot = F.lit(uuid.uuid4().hex)
+        last = self.read("run_digest_summaries").agg(F.max("seq")).scalar()
+        seq = F.coalesce(last, F.lit(0).cast("bigint")) + 1
+        tables = [snapshot_counts(labels, "label"), snapshot_counts(senders, "sender"),
+                  snapshot_counts(domains, "domain"), header.withColumn("seq", seq)]
         for name, df in zip(SNAPSHOT_TABLES, tables):
-            names = [f.split()[0] for f in schemas.LEDGER[name].split(", ")]
-            (df.select(*names).hint("rebalance", F.col("run_id")).write
-             .option("partitionOverwriteMode", "dynamic").mode("overwrite")
-             .partitionBy("run_id").parquet(self.path(name)))
+            self._append(name, df.withColumn("snapshot_id", snapshot).hint(
+                "rebalance", F.col("run_id")))
+
+    def snapshot_headers(self) -> DataFrame:
+        """The latest snapshot header of every run."""
+        stored = self.read("run_digest_summaries")
+        value = [c for c in stored.columns if c not in ("run_id", "seq")]
+        return stored.groupBy("run_id").agg(
+            F.max_by(F.struct(*value), "seq").alias("v")).select("run_id", "v.*")
+
+    def snapshot_counts(self, key: str) -> DataFrame:
+        """``run_id, key, n`` of the latest snapshots; ``key`` is label, sender or domain."""
+        latest = self.snapshot_headers().select("run_id", "snapshot_id")
+        return salted_join(self.read(f"run_digest_{key}_counts"), latest,
+                           ["run_id", "snapshot_id"], "left_semi", [key]).drop("snapshot_id")
 
 
 def write_payloads(lines: DataFrame, path: str) -> None:
