@@ -33,14 +33,14 @@ def numbered(lines, name: str = "pos"):
 
 def totals_with_lists(t: Tables):
     labels = stats.run_level(stats.label_counts(t.entries), "label")
-    domains = stats.run_level(stats.domain_counts(t.messages), "domain")
+    domains = stats.run_level(stats.domain_counts(stats.sender_counts(t.messages)), "domain")
     return digest.with_lists(stats.run_stats(accounts(t)), ["run_id"], labels, run_senders(t), domains)
 
 
 def accounts_with_lists(t: Tables):
     return digest.with_lists(
         accounts(t), ["run_id", "account_label"], stats.label_counts(t.entries),
-        stats.sender_counts(t.messages), stats.domain_counts(t.messages))
+        stats.sender_counts(t.messages), stats.domain_counts(stats.sender_counts(t.messages)))
 
 
 def top(table: str, group: str, key: str) -> str:
@@ -110,7 +110,7 @@ ENTRY_PRIORITY = """chr(10) || '**Priority:** ' || CASE pr WHEN 0 THEN '🔴 Hig
 
 
 def shown_entries(t: Tables):
-    return digest.capped_entries(t.entries_with_body, OPTIONS)
+    return digest.capped_entries(t.entries_with_excerpt, OPTIONS)
 
 
 @query("dig_04_needs_attention", f"""
@@ -146,7 +146,7 @@ def _(t: Tables):
 
 def main_lines(t: Tables, options: DigestOptions = OPTIONS):
     """All digest lines; the tables that many lines read are written once."""
-    rows = stage(t.entries_with_body, "entries")
+    rows = stage(t.entries_with_excerpt, "entries")
     per_account = stage(accounts_with_lists(t), "accounts")
     totals = stage(totals_with_lists(t), "totals")
     labels = stage(stats.run_level(stats.label_counts(rows), "label"), "labels")
@@ -189,7 +189,7 @@ SELECT r.id AS run_id, md5('# ⚠️ Email Digest (Fallback)' || chr(10) || chr(
 FROM runs r JOIN c ON c.run_id = r.id JOIN l ON l.run_id = r.id
 LEFT JOIN ts ON ts.run_id = r.id LEFT JOIN td ON td.run_id = r.id""")
 def _(t: Tables):
-    rows = t.messages_with_body.withColumns({
+    rows = t.messages_with_excerpt.withColumns({
         "label": F.lit("Unknown"), "priority": F.lit("")})
     unknown = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("fetched"),
                                          F.count_if("is_read").alias("read"))
@@ -199,7 +199,7 @@ def _(t: Tables):
         "high_priority": zero, "accounts_checked": zero, "accounts_succeeded": zero,
         "accounts_failed": zero})
     labels = stats.run_level(stats.label_counts(rows), "label")
-    domains = stats.run_level(stats.domain_counts(rows), "domain")
+    domains = stats.run_level(stats.domain_counts(stats.sender_counts(rows)), "domain")
     listed = digest.with_lists(totals, ["run_id"], labels, run_senders(t), domains)
     no_accounts = accounts_with_lists(t).limit(0)
     lines = digest.fallback_lines(run_ids(t), listed, no_accounts, rows, OPTIONS)
@@ -212,7 +212,7 @@ def _(t: Tables):
     """Entry lines of the attention section, written as text and read back per run."""
     path = f"{shared_root(t.spark)}/payloads/{uuid.uuid4().hex}"
     options = DigestOptions(max_messages=0)
-    write_payloads(digest.attention_lines(messages.only_high_priority(t.entries_with_body), options), path)
+    write_payloads(digest.attention_lines(messages.only_high_priority(t.entries), options), path)
     stored = t.spark.read.schema("value string, run_id string").text(path)
     return stored.where(F.col("value").rlike(r"^### \d+\. ")).groupBy("run_id").agg(
         F.count(F.lit(1)).alias("n"))

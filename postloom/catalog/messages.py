@@ -213,7 +213,7 @@ JOIN messages m ON m.run_id = c.run_id AND m.account_label = c.account_label AND
 JOIN bodies b ON b.account_label = c.account_label AND b.uid = c.uid""")
 def _(t: Tables):
     from postloom.plans.triage import processed_rows
-    rows = processed_rows(t.entries_with_body, F.col("internal_date"))
+    rows = processed_rows(t.entries_with_excerpt, F.col("internal_date"))
     return rows.select(*RUN_KEY, "is_read", "classification",
                        F.md5("digest_excerpt").alias("excerpt_md5"))
 

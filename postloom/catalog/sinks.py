@@ -111,7 +111,7 @@ def saved_snapshots(t: Tables) -> Ledger:
                            F.col("message_count").alias("high_priority_count"))
     labels = t.label_snapshot
     senders = stats.run_level(stats.sender_counts(t.messages), "sender")
-    domains = stats.run_level(stats.domain_counts(t.messages), "domain")
+    domains = stats.run_level(stats.domain_counts(stats.sender_counts(t.messages)), "domain")
     stale = labels.withColumns({"label": F.lit("Stale"), "n": F.lit(9).cast("bigint")})
     none = labels.withColumns({"label": F.lit("None"), "n": F.lit(0).cast("bigint")})
     book.save_snapshots(header, stale, senders, domains)

@@ -133,7 +133,7 @@ def _(t: Tables):
 WITH {SENDERS} SELECT run_id, domain, count(*) AS n FROM senders
 WHERE domain <> '' GROUP BY run_id, domain""")
 def _(t: Tables):
-    return stats.run_level(stats.domain_counts(t.messages), "domain")
+    return stats.run_level(stats.domain_counts(stats.sender_counts(t.messages)), "domain")
 
 
 @query("agg_13_fill_totals", f"""
@@ -211,7 +211,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY n DESC, domain)
 SELECT run_id, string_agg(domain || ' (' || CAST(n AS STRING) || ')', '; ' ORDER BY rank) AS top_domains
 FROM r WHERE rank <= 5 GROUP BY run_id""")
 def _(t: Tables):
-    per_run = stats.run_level(stats.domain_counts(t.messages), "domain")
+    per_run = stats.run_level(stats.domain_counts(stats.sender_counts(t.messages)), "domain")
     return stats.top_lists(per_run, ["run_id"], "domain", "top").select(
         "run_id", F.array_join("top", "; ").alias("top_domains"))
 

@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from postloom.functions.text import sanitize_header, trim_space
 
 
-_CLOSED = r"(?s)^.*<([^<]*)>[^<>]*\z"
-_UNCLOSED = r"(?s)^[^>]*<([^<>]*)\z"
+# behind the last '<' up to the last '>', or behind an unclosed '<'
+_BRACKETED = r"(?s)^(?:.*<([^<]*)>[^<>]*|[^>]*<([^<>]*))\z"
 _ADDRESS = r"(?s)^(.+@[^@]+)\z"
 
 
 def extract_address(c: Column) -> Column:
     """Text between the last '<' and the last '>' behind it, or behind an unclosed '<'; else the
     whole trimmed value."""
-    inner = F.regexp_replace(trim_space(c), _CLOSED, "$1")
-    return trim_space(F.regexp_replace(inner, _UNCLOSED, "$1"))
+    inner = trim_space(F.regexp_replace(trim_space(c), _BRACKETED, "$1$2"))
+    return F.when(F.contains(c, F.lit("<")), inner).otherwise(trim_space(c))
 
 
 def sender(c: Column) -> Column:
@@ -25,6 +25,11 @@ def sender(c: Column) -> Column:
     return F.regexp_extract(extract_address(c), _ADDRESS, 1)
 
 
+def senders(c: Column) -> Column:
+    """The sender as a list of one or none: exploding it parses and filters in one step."""
+    return F.regexp_extract_all(extract_address(c), F.lit(_ADDRESS), F.lit(1))
+
+
 def sender_domain(sender_address: Column) -> Column:
     """Lower-cased domain of an address from ``sender``; empty for an empty address."""
     return F.lower(F.substring_index(sender_address, "@", -1))

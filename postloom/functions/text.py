@@ -121,13 +121,16 @@ def decode_entities(c: Column) -> Column:
 
 
 def sanitize_header(c: Column) -> Column:
-    """Clean a short header such as a subject."""
-    return trim_space(decode_entities(strip_control_chars(strip_html(c))))
+    """Clean a short header such as a subject. Most headers hold nothing to clean and are only
+    trimmed."""
+    cleaned = trim_space(decode_entities(strip_control_chars(strip_html(c))))
+    return F.when(c.rlike(r"[<&\x00-\x1F\x7F-\x9F]"), cleaned).otherwise(trim_space(c))
 
 
 def sanitize_address_field(c: Column) -> Column:
     """Clean an address list; angle brackets are kept."""
-    return trim_space(decode_entities(strip_control_chars(c)))
+    cleaned = trim_space(decode_entities(strip_control_chars(c)))
+    return F.when(c.rlike(r"[&\x00-\x1F\x7F-\x9F]"), cleaned).otherwise(trim_space(c))
 
 
 def sanitize_body(c: Column) -> Column:

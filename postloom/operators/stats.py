@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postloom import fixed
-from postloom.operators.messages import RUN_KEY, label_or_unknown, with_sender
+from postloom.functions import address
+from postloom.operators.messages import RUN_KEY, label_or_unknown
 
 CLASSIFICATION = ["label", "confidence", "reason", "summary", "key_points", "action_items",
                   "priority"]
@@ -103,11 +104,16 @@ def run_level(counts: DataFrame, key: str) -> DataFrame:
 
 
 def sender_counts(messages: DataFrame) -> DataFrame:
-    return counts_by(with_sender(messages), "sender")
+    """Messages per run, account and sender; headers without an address are left out."""
+    found = messages.select("run_id", "account_label",
+                            F.explode(address.senders(F.col("from_addr"))).alias("sender"))
+    return found.groupBy("run_id", "account_label", "sender").agg(F.count(F.lit(1)).alias("n"))
 
 
-def domain_counts(messages: DataFrame) -> DataFrame:
-    return counts_by(with_sender(messages), "domain")
+def domain_counts(senders: DataFrame) -> DataFrame:
+    """Messages per run, account and domain, summed from the sender counts."""
+    named = senders.withColumn("domain", address.sender_domain(F.col("sender")))
+    return named.groupBy("run_id", "account_label", "domain").agg(F.sum("n").alias("n"))
 
 
 def label_counts(rows: DataFrame) -> DataFrame:

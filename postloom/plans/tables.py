@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postloom import fixed
+
 BASE = ("events", "documents", "pages", "conversations")
 
 # Ordered: a view uses base tables and views above it. `k` is the number in the event properties; it
@@ -268,6 +270,14 @@ class Tables:
         return stats.entries(self.messages, self.valid, self.failed_analyses)
 
     @cached_property
-    def entries_with_body(self) -> DataFrame:
+    def messages_with_excerpt(self) -> DataFrame:
+        """Messages with the excerpt a digest shows instead of the whole body."""
+        from postloom.functions.text import excerpt
+        short = self.bodies.select("account_label", "uid", excerpt(
+            F.col("body"), fixed.EXCERPT_LIMIT).alias("body"))
+        return self.messages.join(short, ["account_label", "uid"], "left")
+
+    @cached_property
+    def entries_with_excerpt(self) -> DataFrame:
         from postloom.operators import stats
-        return stats.entries(self.messages_with_body, self.valid, self.failed_analyses)
+        return stats.entries(self.messages_with_excerpt, self.valid, self.failed_analyses)

@@ -52,6 +52,7 @@ class TriageResult:
     entries: DataFrame
     totals: DataFrame
     accounts: DataFrame
+    senders: DataFrame
     highlights: DataFrame
     lines: DataFrame
     digests: DataFrame
@@ -86,10 +87,12 @@ def triage(fetched: DataFrame, requests: DataFrame, answers: DataFrame, account_
     valid, failed, batches = replies.partial_fallback(
         wanted, answers, options.labels, options.repair_attempts)
     failed = stage(failed, "failed")
-    rows = stage(stats.entries(fresh, valid, failed), "entries")
+    # digest and ledger show an excerpt only: cut it at the scan, before the rows are shuffled
+    short = fresh.withColumn("body", excerpt(F.col("body"), options.digest.max_message_excerpt))
+    rows = stage(stats.entries(short, valid, failed), "entries")
 
     senders = stage(stats.sender_counts(rows), "senders")
-    domains, labels = stats.domain_counts(rows), stats.label_counts(rows)
+    domains, labels = stats.domain_counts(senders), stats.label_counts(rows)
     accounts = stage(digest.with_lists(
         stats.account_stats(stats.account_counts(rows), account_status),
         ["run_id", "account_label"], labels, senders, domains), "accounts")
@@ -142,7 +145,7 @@ def triage(fetched: DataFrame, requests: DataFrame, answers: DataFrame, account_
     statuses = run_status(state.join(
         digests.select("run_id", (F.col("status") == "failed").alias("delivery_failed")),
         "run_id", "left").fillna({"delivery_failed": False}))
-    return TriageResult(rows, totals, accounts, notable, lines, digests, statuses,
+    return TriageResult(rows, totals, accounts, senders, notable, lines, digests, statuses,
                         flags.flag_plan(valid, options.custom_labels), valid, failed)
 
 
@@ -168,8 +171,8 @@ def record(result: TriageResult, ledger: Ledger, payload_path: str, at: Column,
             "account_label", "uid", F.col("keyword").alias("flag"), at.alias("applied_at")))
         written += ["processed_messages", "flags_applied"]
     labels = stats.run_level(stats.label_counts(result.entries), "label")
-    senders = stats.run_level(stats.sender_counts(result.entries), "sender")
-    domains = stats.run_level(stats.domain_counts(result.entries), "domain")
+    senders = stats.run_level(result.senders, "sender")
+    domains = stats.run_level(stats.domain_counts(result.senders), "domain")
     header = result.totals.select(
         "run_id", at.alias("finished_at"), "accounts_failed",
         F.col("high_priority").alias("high_priority_count"))

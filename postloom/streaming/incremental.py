@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from postloom import fixed
-from postloom.functions.address import sender
+from postloom.functions.address import senders
 from postloom.session import shared_root
 from postloom.sources.ledger import Ledger
 
@@ -75,8 +75,9 @@ def bursts(messages: DataFrame) -> DataFrame:
     time = F.col(EVENT_TIME if EVENT_TIME in messages.columns else "internal_date")
     pair = F.window(time, f"{2 * RUN_HOURS} hours", RUN_LENGTH, RUN_OFFSET)
     start = F.col("pair.start") + F.expr(f"INTERVAL '{RUN_HOURS}' HOUR")
-    named = messages.withColumns({"sender": sender(F.col("from_addr")), "pair": pair})
-    counts = named.where(F.col("sender") != "").groupBy("pair", "sender").agg(
+    named = messages.withColumn("pair", pair).withColumn(
+        "sender", F.explode(senders(F.col("from_addr"))))
+    counts = named.groupBy("pair", "sender").agg(
         F.count_if(time >= start).alias("n"), F.count_if(time < start).alias("prev_n"))
     loud = (F.col("n") >= fixed.BURST_THRESHOLD) & (F.col("n") > F.col("prev_n"))
     return counts.where(loud).select(
