@@ -57,10 +57,11 @@ def account_counts(rows: DataFrame) -> DataFrame:
 
 
 def account_stats(counts: DataFrame, account_status: DataFrame) -> DataFrame:
-    """Counts for every account checked or seen, zero-filled, with fetch status and error."""
-    roster = account_status.groupBy("run_id", "account_label").agg(
-        F.max_by("status", F.col("status") == "error").alias("status"),
-        F.max(F.when(F.col("status") == "error", F.col("error"))).alias("error"))
+    """Counts for every account checked or seen, zero-filled, with fetch status and error.
+
+    ``account_status`` has one row per run and account.
+    """
+    roster = account_status.select("run_id", "account_label", "status", "error")
     joined = roster.join(counts, ["run_id", "account_label"], "full_outer")
     return joined.select(
         "run_id", "account_label",
