@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from postloom.catalog import query
+from postloom.catalog.replies import FALLBACK
 from postloom.catalog.statistics import (COUNTS, ENTRIES, SENDERS, accounts, header_snapshot, previous,
                                          run_senders)
 from postloom.operators import digest, highlights, messages, stats
@@ -227,29 +228,77 @@ def run_pass(t: Tables, options: TriageOptions = TriageOptions()):
         stage(run_senders(t), "senders"), options)
 
 
-@query("flow_03_triage_entries")
+# The fallback rules of the replies, over the messages of accounts that did not fail.
+OPEN = FALLBACK.replace(" FROM messages)", """
+  FROM messages m WHERE NOT EXISTS (SELECT 1 FROM account_status s WHERE s.status = 'error'
+    AND s.run_id = m.run_id AND s.account_label = m.account_label))""", 1)
+TRIAGED = OPEN + """,
+fin AS (SELECT r.run_id, r.account_label, r.uid, coalesce(a.label, 'Unknown') AS label, a.uid IS NOT NULL AS classified,
+    j.error, j.stage
+  FROM req r LEFT JOIN accepted a ON a.run_id = r.run_id AND a.account_label = r.account_label AND a.uid = r.uid
+  LEFT JOIN rejected j ON j.run_id = r.run_id AND j.account_label = r.account_label AND j.uid = r.uid)"""
+
+
+@query("flow_03_triage_entries", f"""
+WITH {TRIAGED} SELECT run_id, account_label, uid, label, classified, error, stage FROM fin""")
 def _(t: Tables):
     return run_pass(t).entries.select(*RUN_KEY, "label", "classified", "error", "stage")
 
 
-@query("flow_03_triage_pass")
+# Items of failed accounts' replies are valid but unrequested; they count as classified for the run.
+ALL_ITEMS = """
+lost AS (SELECT m.run_id, m.account_label, m.uid, m.k, m.uid >> 6 AS block,
+    count(*) FILTER (m.k >= 4) OVER (PARTITION BY m.run_id, m.account_label, m.uid >> 6) AS listed
+  FROM messages m JOIN account_status s ON s.run_id = m.run_id AND s.account_label = m.account_label
+  WHERE s.status = 'error'),
+extra AS (SELECT run_id, count(*) AS n FROM lost WHERE k >= 17 AND k NOT BETWEEN 20 AND 24 AND k NOT BETWEEN 26 AND 28
+    AND block % 17 <> 0 AND block % 11 <> 0 AND block % 13 <> 0 GROUP BY run_id
+  ),
+extra4 AS (SELECT run_id, count(*) AS n FROM lost WHERE k = 4 AND block % 17 <> 0 AND block % 11 <> 0
+    AND block % 13 <> 0 GROUP BY run_id)"""
+
+
+@query("flow_03_triage_pass", f"""
+WITH {TRIAGED}, {ALL_ITEMS},
+n AS (SELECT run_id, count(*) AS fetched, count(*) FILTER (classified) AS classified,
+  count(*) FILTER (error IS NOT NULL) AS analysis_failed FROM fin GROUP BY run_id),
+e AS (SELECT run_id, count(*) FILTER (status = 'error') AS errors FROM account_status GROUP BY run_id),
+s AS (SELECT r.id, e.errors, coalesce(n.fetched, 0) AS fetched,
+    coalesce(n.classified, 0) + coalesce(extra.n, 0) + coalesce(extra4.n, 0) AS classified,
+    coalesce(n.analysis_failed, 0) AS analysis_failed, dead.run_id IS NOT NULL AS classify_failed
+  FROM runs r JOIN e ON e.run_id = r.id LEFT JOIN n ON n.run_id = r.id LEFT JOIN extra ON extra.run_id = r.id
+  LEFT JOIN extra4 ON extra4.run_id = r.id LEFT JOIN dead ON dead.run_id = r.id)
+SELECT id, CASE WHEN fetched = 0 AND errors > 0 THEN 'ingest_failed' WHEN fetched = 0 THEN 'completed'
+    WHEN classify_failed OR classified = 0 THEN 'degraded' WHEN analysis_failed > 0 THEN 'partially_classified'
+    WHEN errors > 0 THEN 'partial' ELSE 'completed' END AS status, fetched AS message_count,
+  CASE WHEN fetched = 0 AND errors > 0 THEN 'all ' || CAST(errors AS STRING) || ' account(s) failed to fetch messages'
+    ELSE '' END AS error, CASE WHEN fetched > 0 THEN 'sent' END AS digest
+FROM s""")
 def _(t: Tables):
-    """The whole pass: statuses and digests of every run, with all sinks written."""
+    """The whole pass with all sinks written; the final run states and digest records."""
     result = run_pass(t)
+    book = opened_ledger(t)
+    plan.record(result, book, f"{book.root}/payloads", closed_at())
+    sent = book.read("digests").select(F.col("run_id").alias("id"), F.col("status").alias("digest"))
+    return book.runs().join(sent, "id", "left").select(
+        "id", "status", "message_count", "error", "digest")
+
+
+def closed_at():
+    return F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+
+
+def opened_ledger(t: Tables) -> Ledger:
+    """A new ledger in which every run is open."""
     book = Ledger(t.spark, f"{shared_root(t.spark)}/ledgers/{uuid.uuid4().hex}")
-    at = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
-    book.record_runs(t.runs.select("id", "started_at", F.lit("").alias("status")), at)
-    plan.record(result, book, f"{book.root}/payloads", at)
-    return book.runs().join(book.read("digests").withColumnRenamed("run_id", "id").select(
-        "id", "payload_hash"), "id", "left").select("id", "status", "message_count", "error", "payload_hash")
+    book.record_runs(t.runs.select("id", "started_at", F.lit("").alias("status")), closed_at())
+    return book
 
 
-@query("flow_02_dry_run_writes_nothing")
+@query("flow_02_dry_run_writes_nothing", """
+SELECT id, 'running' AS status, CAST(0 AS BIGINT) AS message_count FROM runs""")
 def _(t: Tables):
-    """A dry run leaves the ledger as it was: the runs opened before it stay open."""
-    result = run_pass(t, TriageOptions(dry_run=True))
-    book = Ledger(t.spark, f"{shared_root(t.spark)}/ledgers/{uuid.uuid4().hex}")
-    at = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
-    book.record_runs(t.runs.select("id", "started_at", F.lit("").alias("status")), at)
-    plan.record(result, book, f"{book.root}/payloads", at, TriageOptions(dry_run=True))
+    options = TriageOptions(dry_run=True)
+    book = opened_ledger(t)
+    plan.record(run_pass(t, options), book, f"{book.root}/payloads", closed_at(), options)
     return book.runs().select("id", "status", "message_count")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,10 @@ from postloom.session import stage
 from postloom.sources.ledger import Ledger, write_payloads
 
 
+# (runs, totals, accounts, entries, highlights, options) -> digest lines
+Renderer = Callable[..., DataFrame]
+
+
 def run_status(flags_per_run: DataFrame) -> DataFrame:
     """Adds ``status``.
 
@@ -74,13 +79,16 @@ def select_messages(fetched: DataFrame, account_status: DataFrame, ledger: DataF
 def triage(fetched: DataFrame, requests: DataFrame, answers: DataFrame, account_status: DataFrame,
            runs: DataFrame, ledger: DataFrame, header_snapshot: DataFrame,
            label_snapshot: DataFrame, sender_snapshot: DataFrame,
-           options: TriageOptions = TriageOptions(), now: Column | None = None) -> TriageResult:
+           options: TriageOptions = TriageOptions(), now: Column | None = None,
+           renderer: Renderer = digest.markdown_lines,
+           history: DataFrame | None = None) -> TriageResult:
     """Set-at-a-time triage of every run in ``runs``.
 
     ``fetched``: landed messages with ``run_id``; ``requests`` and ``answers``: the prompt batches
-    and the classifier's replies (see ``operators.replies.partial_fallback``). The entries table is
-    written once to the shared folder, because statistics, highlights, digest, flags and ledger
-    rows all start from it; so are the small tables of counts that many digest lines read.
+    and the classifier's replies (see ``operators.replies.partial_fallback``); ``history``: all runs
+    that may be a predecessor, by default ``runs`` itself. The entries table is written once
+    to the shared folder, because statistics, highlights, digest, flags and ledger rows all start
+    from it; so are the small tables of counts that many digest lines read.
     """
     usable, fresh = select_messages(fetched, account_status, ledger, options)
     wanted = requests.join(fresh.select(*messages.RUN_KEY), messages.RUN_KEY, "left_semi")
@@ -102,7 +110,7 @@ def triage(fetched: DataFrame, requests: DataFrame, answers: DataFrame, account_
         stats.run_stats(accounts, stats.unrequested_replies(valid, rows)), ["run_id"],
         run_labels, run_senders, stats.run_level(domains, "domain")), "totals")
 
-    previous = asof.previous_runs(runs, header_snapshot, now)
+    previous = asof.previous_runs(history if history is not None else runs, header_snapshot, now)
     notable = stage(highlights.highlights(
         totals, accounts, run_labels, run_senders, stage(previous, "previous"), header_snapshot,
         label_snapshot, sender_snapshot), "highlights")
@@ -130,7 +138,7 @@ def triage(fetched: DataFrame, requests: DataFrame, answers: DataFrame, account_
 
     main = shown.where("main").select("run_id", "generated_at")
     plain = shown.where(~F.col("main")).select("run_id", "generated_at")
-    lines = digest.markdown_lines(
+    lines = renderer(
         main, part(totals, main), part(accounts, main), part(rows, main, "uid"),
         part(notable, main, "key"), options.digest,
     ).unionByName(digest.fallback_lines(

@@ -78,6 +78,7 @@ class Ledger:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._made: set[str] = set()
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -85,7 +86,9 @@ class Ledger:
     def read(self, table: str) -> DataFrame:
         """A stored table; empty with the declared schema before the first write."""
         schema = schemas.LEDGER[table]
-        self.spark.createDataFrame([], schema).write.mode("ignore").parquet(self.path(table))
+        if table not in self._made:
+            self.spark.createDataFrame([], schema).write.mode("ignore").parquet(self.path(table))
+            self._made.add(table)
         return self.spark.read.schema(schema).parquet(self.path(table))
 
     def _append(self, table: str, rows: DataFrame) -> None:
