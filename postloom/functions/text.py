@@ -33,6 +33,7 @@ _CDATA = "<![CDATA["
 _CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
 # '&' up to the next ';' (or to the end, then it names nothing), else text
 _ENTITY_TOKEN = r"&[^;]*+(?:;|\z)|[^&]++"
+_ENTITY_TABLE = "\n".join(f"{name}\t{char}" for name, char in fixed.ENTITIES.items())
 _NAMED_ENTITY = "^&(?:" + "|".join(fixed.ENTITIES) + ");$"
 
 
@@ -100,7 +101,7 @@ def _code_point_text(token: Column) -> Column:
 
 
 def _entity_text(token: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in fixed.ENTITIES.items() for x in kv])
+    table = F.str_to_map(F.lit(_ENTITY_TABLE), F.lit("\n"), F.lit("\t"))
     name = F.substring(token, F.lit(2), F.length(token) - 2)
     return (
         F.when(~token.startswith("&"), token)
