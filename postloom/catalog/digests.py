@@ -75,7 +75,7 @@ SELECT c.run_id, '## Summary' || chr(10) || chr(10) || '**Fetched:** ' || CAST(f
 FROM c JOIN a USING (run_id) JOIN ll USING (run_id) LEFT JOIN ts USING (run_id) LEFT JOIN td USING (run_id)""")
 def _(t: Tables):
     totals = totals_with_lists(t).withColumn("total_messages", F.col("fetched"))
-    return digest.assemble(digest.summary_lines(totals, OPTIONS)).select("run_id", "payload")
+    return assembled(digest.summary_lines(totals, OPTIONS)).select("run_id", "payload")
 
 
 @query("dig_03_account_stats", f"""
@@ -94,7 +94,7 @@ SELECT run_id, '## Account Stats' || chr(10) || string_agg(block, chr(10) ORDER
 FROM one GROUP BY run_id""")
 def _(t: Tables):
     lines = digest.account_lines(run_ids(t), accounts_with_lists(t), OPTIONS)
-    return digest.assemble(lines).select("run_id", "payload")
+    return assembled(lines).select("run_id", "payload")
 
 
 SHOWN = f"""
@@ -111,7 +111,13 @@ ENTRY_PRIORITY = """chr(10) || '**Priority:** ' || CASE pr WHEN 0 THEN '🔴 Hig
 
 
 def shown_entries(t: Tables):
-    return digest.capped_entries(t.entries_with_excerpt, OPTIONS)
+    """The capped entries, stored: sections read them more than once."""
+    return stage(digest.capped_entries(t.entries_with_excerpt, OPTIONS), "shown")
+
+
+def assembled(lines):
+    """One text per run from stored lines."""
+    return digest.assemble(stage(lines, "lines"))
 
 
 @query("dig_04_needs_attention", f"""
@@ -121,7 +127,7 @@ SELECT run_id, '## 🚨 Needs Attention' || chr(10) || string_agg({ENTRY_HEAD} |
   || chr(10) || '**Reason:** ' || coalesce(reason, ''), chr(10) ORDER BY n) || chr(10) || '---' AS payload
 FROM h GROUP BY run_id""")
 def _(t: Tables):
-    return digest.assemble(digest.attention_lines(shown_entries(t), OPTIONS)).select("run_id", "payload")
+    return assembled(digest.attention_lines(shown_entries(t), OPTIONS)).select("run_id", "payload")
 
 
 @query("dig_05_label_sections", f"""
@@ -142,7 +148,7 @@ sec AS (SELECT run_id, final_label, chr(10) || '## ' || final_label || ' (' || C
 SELECT run_id, md5(string_agg(block, chr(10) ORDER BY final_label)) AS payload_md5 FROM sec GROUP BY run_id""")
 def _(t: Tables):
     lines = digest.label_lines(shown_entries(t), OPTIONS)
-    return digest.assemble(lines).select("run_id", F.md5("payload").alias("payload_md5"))
+    return assembled(lines).select("run_id", F.md5("payload").alias("payload_md5"))
 
 
 def main_lines(t: Tables, options: DigestOptions = OPTIONS):
@@ -190,8 +196,8 @@ SELECT r.id AS run_id, md5('# ⚠️ Email Digest (Fallback)' || chr(10) || chr(
 FROM runs r JOIN c ON c.run_id = r.id JOIN l ON l.run_id = r.id
 LEFT JOIN ts ON ts.run_id = r.id LEFT JOIN td ON td.run_id = r.id""")
 def _(t: Tables):
-    rows = t.messages_with_excerpt.withColumns({
-        "label": F.lit("Unknown"), "priority": F.lit("")})
+    rows = stage(t.messages_with_excerpt.withColumns({
+        "label": F.lit("Unknown"), "priority": F.lit("")}), "rows")
     unknown = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("fetched"),
                                          F.count_if("is_read").alias("read"))
     zero = F.lit(0).cast("bigint")
@@ -204,7 +210,7 @@ def _(t: Tables):
     listed = digest.with_lists(totals, ["run_id"], labels, run_senders(t), domains)
     no_accounts = accounts_with_lists(t).limit(0)
     lines = digest.fallback_lines(run_ids(t), listed, no_accounts, rows, OPTIONS)
-    return digest.assemble(lines).select("run_id", F.md5("payload").alias("payload_md5"))
+    return assembled(lines).select("run_id", F.md5("payload").alias("payload_md5"))
 
 
 @query("snk_08_payload_files", f"""

@@ -38,10 +38,14 @@ def count_delta(current: DataFrame, previous_of: DataFrame, snapshot: DataFrame,
                 key: str) -> DataFrame:
     """Counts of a run beside those of its predecessor (0 when absent).
 
-    Runs without predecessor are left out. ``current`` and ``snapshot`` hold ``run_id, key, n``.
+    Runs without predecessor are left out. ``current`` and ``snapshot`` hold ``run_id, key, n``; of a
+    long history only the predecessors' rows are shuffled.
     """
     pairs = previous_of.where(F.col("prev_run_id").isNotNull())
     now = salted_join(current, pairs, ["run_id"], "inner", [key])
-    before = snapshot.select(F.col("run_id").alias("prev_run_id"), key, F.col("n").alias("prev_n"))
+    needed = pairs.select("prev_run_id").distinct()
+    before = salted_join(
+        snapshot.select(F.col("run_id").alias("prev_run_id"), key, F.col("n").alias("prev_n")),
+        needed, ["prev_run_id"], "left_semi", [key])
     joined = now.join(before, ["prev_run_id", key], "left")
     return joined.select("run_id", key, "n", F.coalesce("prev_n", F.lit(0)).alias("prev_n"))

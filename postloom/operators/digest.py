@@ -275,7 +275,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def assemble(lines: DataFrame, max_bytes: int = fixed.MAX_PAYLOAD_BYTES) -> DataFrame:
-    """``run_id, bytes, payload, payload_hash`` per run.
+    """``run_id, bytes, payload, payload_hash`` per run. The lines are read twice, so pass a stored
+    table.
 
     The delivery limit bounds what is put together in one place: a longer digest is refused by the
     channel anyway, so its payload is null and its lines stay in the line table.

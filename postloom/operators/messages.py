@@ -142,5 +142,5 @@ def skip_processed(messages: DataFrame, ledger: DataFrame, force: bool = False)
 
 
 def already_processed(keys: DataFrame, ledger: DataFrame) -> DataFrame:
-    """The keys an earlier run recorded."""
+    """The keys an earlier run recorded (or, the other way round, the recorded keys fetched again)."""
     return keys.join(ledger.select(*KEY), KEY, "left_semi")

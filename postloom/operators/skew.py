@@ -35,32 +35,31 @@ def split_row_number(df: DataFrame, group: Sequence[str],
     """Exact 1-based row numbers inside groups of any size, without one task per group.
 
     ``levels`` lists prefixes of the order, coarse to fine, as ``(expression, ascending)``. Rows are
-    numbered inside the finest block only; the blocks before it add their counts. The window over
-    a group therefore sees one row per block, not one row per record.
+    numbered inside the finest block only; the blocks before it add their counts, level by level.
+    A window over a group therefore sees one row per block, not one row per record, and the rows
+    themselves are read twice: once to count the blocks, once to be numbered.
     """
     out = df
+    names: list[list[str]] = []
+    for depth, level in enumerate(levels):
+        names.append([f"_l{depth}_{i}" for i in range(len(level))])
+        out = out.withColumns(dict(zip(names[-1], [expr for expr, _ in level])))
+    block = [*group, *[n for level in names for n in level]]
+    blocks = out.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"))
     parent = list(group)
-    offsets: list[str] = []
+    starts = blocks
     for depth, level in enumerate(levels):
-        names = [f"_l{depth}_{i}" for i in range(len(level))]
-        for col_name, (expr, _) in zip(names, level):
-            out = out.withColumn(col_name, expr)
         before = (
             Window.partitionBy(*parent)
             .orderBy(*[F.col(n).asc() if asc else F.col(n).desc()
-                       for n, (_, asc) in zip(names, level)])
+                       for n, (_, asc) in zip(names[depth], level)])
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        offset = f"_o{depth}"
-        counts = out.groupBy(*parent, *names).agg(F.count(F.lit(1)).alias("_n"))
-        starts = counts.select(
-            *parent, *names, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(offset))
-        parent = parent + names
-        out = out.join(starts, parent)
-        offsets.append(offset)
-    inside = F.row_number().over(Window.partitionBy(*parent).orderBy(*order)).cast("bigint")
-    total = inside
-    for offset in offsets:
-        total = total + F.col(offset)
-    extra = [n for n in out.columns if n.startswith("_l") or n.startswith("_o")]
-    return out.withColumn(name, total).drop(*extra)
+        parent = parent + names[depth]
+        counts = blocks.groupBy(*parent).agg(F.sum("_n").alias("_s"))
+        offset = counts.withColumn("_at", F.coalesce(F.sum("_s").over(before), F.lit(0)))
+        starts = starts.join(offset.select(*parent, F.col("_at").alias(f"_o{depth}")), parent)
+    total = sum((F.col(f"_o{depth}") for depth in range(len(levels))), F.lit(0))
+    out = out.join(starts.select(*block, total.cast("bigint").alias("_start")), block)
+    inside = F.row_number().over(Window.partitionBy(*block).orderBy(*order)).cast("bigint")
+    return out.withColumn(name, F.col("_start") + inside).drop("_start", *block[len(group):])

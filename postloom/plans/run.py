@@ -61,7 +61,9 @@ def run_once(spark: SparkSession, ledger: Ledger, ingest: Ingest, provider: Call
     run_id = F.lit(opened.first().id)
     landed, status = (df.withColumn("run_id", run_id) for df in ingest(since))
     fetched = messages.search_window(landed, F.lit(since).cast("timestamp_ntz"))
-    known = ledger.read("processed_messages")
+    # the ledger is long, the fetch short: keep the recorded keys that were fetched again
+    known = stage(messages.already_processed(
+        ledger.read("processed_messages").select(*messages.KEY), fetched), "known")
     _, fresh = plan.select_messages(fetched, status, known, options)
     requests, answers = classify_all(fresh, provider, options, template, parallelism)
     runs = ledger.runs().select("id", "finished_at", "status")

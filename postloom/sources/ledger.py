@@ -22,11 +22,15 @@ SNAPSHOT_TABLES = ("run_digest_label_counts", "run_digest_sender_counts",
 
 def first_writes(new: DataFrame, stored: DataFrame, keys: list[str],
                  order: list[str]) -> DataFrame:
-    """Rows of ``new`` whose key is not stored yet, one per key (the smallest in ``order``)."""
+    """Rows of ``new`` whose key is not stored yet, one per key (the smallest in ``order``).
+
+    The stored keys are cut to those of ``new`` first. A batch is small beside the ledger, so Spark
+    broadcasts its keys and the ledger is scanned but not shuffled.
+    """
     value = [c for c in new.columns if c not in keys]
     once = new.groupBy(*keys).agg(F.min_by(F.struct(*value), F.struct(*order)).alias("v"))
-    return once.select(*keys, "v.*").select(*new.columns).join(
-        stored.select(*keys), keys, "left_anti").select(*new.columns)
+    known = stored.select(*keys).join(new.select(*keys), keys, "left_semi")
+    return once.select(*keys, "v.*").join(known, keys, "left_anti").select(*new.columns)
 
 
 def current_runs(log: DataFrame) -> DataFrame:
