@@ -127,7 +127,7 @@ def item(account, uid, label, priority, confidence=0.5):
             "priority": priority}
 
 
-def run_pass(spark, options=TriageOptions(), answer=None, ledger_rows=()):
+def run_pass(spark, options=TriageOptions(), answer=None, ledger_rows=(), **more):
     m = sample(spark)
     status = spark.createDataFrame([
         ("r1", "work", "ok", ""), ("r1", "home", "ok", ""), ("r1", "gone", "error", "e" * 90),
@@ -145,7 +145,7 @@ def run_pass(spark, options=TriageOptions(), answer=None, ledger_rows=()):
     labels = spark.createDataFrame([("r0", "Ads", 1)], "run_id string, label string, n bigint")
     senders = spark.createDataFrame([("r0", "ann@x.org", 2)], "run_id string, sender string, n bigint")
     return plan.triage(m, requests, answers, status, runs, ledger, header, labels, senders, options,
-                       now=F.lit(hours(6)).cast("timestamp_ntz"))
+                       now=F.lit(hours(6)).cast("timestamp_ntz"), **more)
 
 
 def payload(result, run="r1"):
@@ -234,8 +234,17 @@ def test_ledger_and_force(spark):
     result = run_pass(spark, ledger_rows=done)
     assert result.entries.count() == 0
     assert {r.run_id: r.status for r in result.statuses.collect()}["r1"] == "completed"
-    forced = run_pass(spark, TriageOptions(force_reprocess=True), ledger_rows=done)
+
+    def own_renderer(runs, totals, accounts, entries, highlights, options):
+        return totals.select("run_id", F.lit(0).alias("section"), F.lit("").alias("grp"),
+                             F.lit(0).cast("bigint").alias("item"), F.lit("").alias("key"),
+                             F.lit(0).alias("line"), F.concat(
+                                 F.col("fetched").cast("string"), F.lit(" mails")).alias("text"))
+
+    forced = run_pass(spark, TriageOptions(force_reprocess=True), ledger_rows=done,
+                      renderer=own_renderer)
     assert forced.entries.count() == 4
+    assert payload(forced) == "4 mails"
 
 
 def test_quiet_run_says_so(spark):
