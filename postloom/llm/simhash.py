@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType
 
 from postloom.llm.common import (ascii_lower, components, packed, shingles, stage, unpacked, whole,
                                  words)
@@ -33,7 +34,7 @@ def majority(hashes: np.ndarray, piece: int = 1 << 16) -> int:
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
-@pandas_udf("bigint")
+@pandas_udf(LongType())
 def _majorities(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for hashes in batches:
         yield pd.Series([majority(h) for h in hashes], dtype="int64")
