@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postloom.llm import exact, language, mixing, simhash
+from postloom.llm import bpe, exact, language, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,13 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     return exact.exact_duplicates(docs)
 
 
+@query("op7_byte_bpe", "documents")
+def byte_bpe(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.token_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 @query("op9_simhash_dedup", "documents")
 def simhash_dedup(docs: DataFrame) -> DataFrame:
     return simhash.near_duplicates(docs)
