@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postloom.llm import bpe, exact, language, mixing, simhash
+from postloom.llm import bpe, chat, exact, fingerprints, language, mixing, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,11 +28,44 @@ def query(name: str, table: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_secret_scan", "documents")
+def secret_scan(docs: DataFrame) -> DataFrame:
+    return secrets.secret_spans(docs)
+
+
 @query("op2_mix_sources", "documents")
 def mix_sources(docs: DataFrame) -> DataFrame:
     return mixing.mixture(docs)
 
 
+@query("op3_chat_format", "conversations", r"""
+WITH said AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+t AS (SELECT *, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(text,
+    '&', '&amp;'), '<|', '&lt;|'), '<s>', '&lt;s>'), '</s>', '&lt;/s>'), '[INST]', '&#91;INST]'), '[/INST]', '&#91;/INST]'),
+    '<<SYS>>', '&lt;<SYS>>'), '<</SYS>>', '&lt;</SYS>>'), '<bos>', '&lt;bos>'), '<eos>', '&lt;eos>'),
+    '<pad>', '&lt;pad>'), '<unk>', '&lt;unk>') AS escaped FROM said)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(length('<|turn|>') + length(role) + 1 + length(escaped) + length('<|end|>') + 1) AS BIGINT) AS formatted_chars,
+    CAST(0 AS BIGINT) AS expanded_tokens
+FROM t GROUP BY conv_id""")
+def chat_format(conversations: DataFrame) -> DataFrame:
+    probe = conversations.sparkSession.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat.conversation_digests(
+        conversations.select("conv_id", "turn", "role", "text").unionByName(probe))
+
+
+@query("op4_fingerprints", "documents")
+def document_fingerprints(docs: DataFrame) -> DataFrame:
+    return fingerprints.fingerprints(docs)
+
+
 @query("op6_exact_dedup", "documents", r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n,
     regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain FROM documents),
