@@ -106,7 +106,8 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = labelled.select("doc_id", "lang").distinct().withColumn("_at", F.row_number().over(order)).where(
         F.col("_at") <= per_language).drop("_at")
-    return labelled.join(ids, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    # The ids are bounded by the sample, so they go to the texts.
+    return labelled.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "text")
 
 
 def _bucket_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
