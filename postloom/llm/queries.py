@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import bpe, chat, exact, fingerprints, language, mixing, secrets, simhash
+from postloom.llm import bpe, chat, exact, fingerprints, language, licenses, lines, mixing, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,6 +66,11 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     return fingerprints.fingerprints(docs)
 
 
+@query("op5_line_dedup", "documents")
+def line_dedup(docs: DataFrame) -> DataFrame:
+    return lines.line_digests(docs)
+
+
 @query("op6_exact_dedup", "documents", r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n,
     regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain FROM documents),
@@ -83,6 +88,11 @@ def byte_bpe(docs: DataFrame) -> DataFrame:
     return bpe.token_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query("op8_license_scan", "documents", licenses.brute_force_sql())
+def license_scan(docs: DataFrame) -> DataFrame:
+    return licenses.license_matches(docs)
+
+
 @query("op9_simhash_dedup", "documents")
 def simhash_dedup(docs: DataFrame) -> DataFrame:
     return simhash.near_duplicates(docs)
