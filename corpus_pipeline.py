@@ -2,31 +2,45 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postloom.llm import language, mixing, simhash
+from postloom.llm import bpe, language, lines, mixing, simhash
 from postloom.llm.common import stage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language."""
+    """Documents in a known language; those without text or letters go."""
     return language.keep_identified(docs)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that an earlier document or line has within one edit."""
+    return lines.drop_repeated_lines(docs)
+
+
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
     return simhash.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture in its order; sources below their target start over."""
+    """The mixture in its order; every document is in it, sources below their target start over."""
     return mixing.mixed(docs)
 
 
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the bytes that they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.token_digests(docs, path, public_tokenizers.PATTERN)
+
+
 STAGES = [
     ("language_id", language_id),
+    ("line_dedup", line_dedup),
     ("simhash_dedup", simhash_dedup),
     ("mix_sources", mix_sources),
+    ("byte_bpe", byte_bpe),
 ]
 
 # Models, edit distance and merges are beyond SQL; tests hold the stages against brute force.
