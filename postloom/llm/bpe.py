@@ -108,6 +108,24 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a word by the same merges, over a list while it is short."""
+    if len(word) > LONG:
+        return heap_merge(word, ranks)
+    get, none = ranks.get, len(ranks) << 1
+    parts = [word[i:i + 1] for i in range(len(word))]
+    pairs = [get(word[i:i + 2], none) for i in range(len(word) - 1)]
+    while pairs and (least := min(pairs)) < none:
+        i = pairs.index(least)
+        parts[i] += parts.pop(i + 1)
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(parts[i] + parts[i + 1], none)
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+    return [ranks[p] for p in parts]
+
+
 def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one long word; the same merges, found with a heap over a linked list."""
     parts = [word[i:i + 1] for i in range(len(word))]
@@ -168,22 +186,25 @@ def _look_up(known: pa.Table, ranks: dict[bytes, int]):
             flat, bounds = column.flatten(), np.append(0, np.cumsum(column.value_lengths().to_numpy()))
             at = np.array(pc.fill_null(pc.index_in(flat, value_set=words), -1))
             rest = flat.filter(pa.array(at < 0)).dictionary_encode()
-            own = [heap_merge(w.encode(), ranks) for w in rest.dictionary.to_pylist()]
+            own = [merge(w.encode(), ranks) for w in rest.dictionary.to_pylist()]
             at[at < 0] = len(sizes) + rest.indices.to_numpy()
             all_ids = np.concatenate([flat_ids, np.array([i for x in own for i in x], dtype=np.int32)])
             all_sizes = np.concatenate([sizes, np.array([len(x) for x in own], dtype=np.int32)])
             starts, lengths = np.append(0, np.cumsum(all_sizes)), all_sizes[at]
             ends = np.append(0, np.cumsum(lengths))
             ids = all_ids[np.repeat(starts[at] - ends[:-1], lengths) + np.arange(ends[-1])]
+            places = pa.array(ends[bounds], pa.int32())
+            bytes_at, raw = pa.array(ends[bounds] * 4, pa.int32()), pa.py_buffer(ids.astype("<u4").tobytes())
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"),
-                "ids": pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(ids, pa.int32()))})
+                "ids": pa.ListArray.from_arrays(places, pa.array(ids, pa.int32())),
+                "packed": pa.Array.from_buffers(pa.binary(), len(batch), [None, bytes_at.buffers()[1], raw])})
 
     return run
 
 
 def encode(docs: DataFrame, ranks: Ranks, pattern: str, limit: int = FREQUENT) -> DataFrame:
-    """(doc_id, ids) per document."""
+    """(doc_id, ids, packed) per document; packed has the ids as little-endian 32-bit integers."""
     known = frequent_words(docs, ranks, pattern, limit)
     shared = docs.sparkSession.sparkContext.broadcast((known, ranks.ids))
     split = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), pieces(whole(), pattern).alias("_pieces"))
@@ -191,22 +212,12 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str, limit: int = FREQUENT) -
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _look_up(*shared.value)(batches)
 
-    return split.mapInArrow(look_up, "doc_id bigint, ids array<int>")
-
-
-def little_endian(ids: Column) -> Column:
-    """Ids as unsigned 32-bit little-endian integers, concatenated."""
-
-    def four(i: Column) -> Column:
-        h = F.lpad(F.hex(i), 8, "0")
-        return F.concat(F.substring(h, 7, 2), F.substring(h, 5, 2), F.substring(h, 3, 2), F.substring(h, 1, 2))
-
-    return F.unhex(F.array_join(F.transform(ids, four), ""))
+    return split.mapInArrow(look_up, "doc_id bigint, ids array<int>, packed binary")
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     ranks = Ranks(path)
     return encode(docs, ranks, pattern).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
-                      F.sha2(little_endian(F.col("ids")), 256).alias("ids_sha256"),
+                      F.sha2("packed", 256).alias("ids_sha256"),
                       F.sha2(ranks.decode(F.col("ids")), 256).alias("decoded_sha256"))
