@@ -1,4 +1,4 @@
-"""Text cleaning as column expressions (no Python workers).
+"""Text cleaning as column expressions; only the decoding of charsets runs Python, in Arrow batches.
 
 A function uses its argument once where it can: an argument repeated in an expression is evaluated
 again, and nested functions would multiply that.
@@ -6,8 +6,11 @@ again, and nested functions would multiply that.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from postloom import fixed
 
@@ -166,8 +169,22 @@ def first_non_blank(*cols: Column) -> Column:
 
 
 def quoted(c: Column) -> Column:
-    """Double-quoted text with inner quotes and backslashes escaped."""
+    """Double-quoted text; quotes, backslashes, line breaks and characters that do not print are escaped."""
     escaped = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for char, short in (("\a", "\\a"), ("\b", "\\b"), ("\f", "\\f"), ("\n", "\\n"), ("\r", "\\r"),
+                        ("\t", "\\t"), ("\v", "\\v")):
+        escaped = F.replace(escaped, F.lit(char), F.lit(short))
+
+    def printed(x: Column) -> Column:
+        code = F.ascii(x)
+        digits = F.lower(F.hex(code))
+        return (F.when(~x.rlike(r"[\p{C}\p{Z}&&[^ ]]"), x)
+                .when(code < 128, F.concat(F.lit("\\x"), F.lpad(digits, 2, "0")))
+                .when(code < 65536, F.concat(F.lit("\\u"), F.lpad(digits, 4, "0")))
+                .otherwise(F.concat(F.lit("\\U"), F.lpad(digits, 8, "0"))))
+
+    odd = F.array_join(F.transform(F.split(escaped, ""), printed), "")
+    escaped = F.when(escaped.rlike(r"[\p{C}\p{Z}&&[^ ]]"), odd).otherwise(escaped)
     return F.concat(F.lit('"'), escaped, F.lit('"'))
 
 
@@ -180,9 +197,24 @@ def redact(c: Column, secrets: list[str]) -> Column:
     return F.regexp_replace(c, pattern, "[REDACTED]")
 
 
-def convert_charset(raw: Column, charset: str = "UTF-8") -> Column:
-    """Bytes in a charset the JVM decoder allows to text."""
-    return F.decode(raw, charset)
+@pandas_udf(StringType())
+def _decoded(raw: pd.Series, charset: pd.Series) -> pd.Series:
+    return pd.Series([None if data is None else decode_bytes(data, name) for data, name in zip(raw, charset)],
+                     dtype="object")
+
+
+def decode_bytes(data: bytes, charset: str | None) -> str | None:
+    """Bytes in any known charset; bad bytes are replaced, an unknown charset gives nothing."""
+    try:
+        return bytes(data).decode((charset or "utf-8").strip(), errors="replace")
+    except (LookupError, ValueError, TypeError):
+        return None
+
+
+def convert_charset(raw: Column, charset: Column | str = "UTF-8") -> Column:
+    """Bytes to text; the charset may differ by row. A row never ends the job: bad bytes become the
+    replacement character, an unknown charset gives null. Decoded in Arrow batches."""
+    return _decoded(raw, F.lit(charset) if isinstance(charset, str) else charset)
 
 
 def payload_hash(c: Column) -> Column:

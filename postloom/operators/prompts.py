@@ -17,12 +17,16 @@ from postloom.operators.replies import BATCH
 REPLY_SCHEMA = "run_id string, batch_id string, attempt int, raw string, reply_error string"
 
 
+def _text(c: Column) -> Column:
+    return F.coalesce(c, F.lit(""))
+
+
 def message_block(body: Column) -> Column:
-    """One message between its fences."""
-    key = F.concat(F.col("account_label"), F.lit("/"), F.col("uid").cast("string"))
+    """One message between its fences; a missing field is empty, the message stays."""
+    key = F.concat(_text(F.col("account_label")), F.lit("/"), _text(F.col("uid").cast("string")))
     return F.concat(
-        F.lit("\n<<< EMAIL "), key, F.lit(" >>>\nFrom: "), F.col("from_addr"),
-        F.lit("\nSubject: "), F.col("subject"), F.lit("\nDate: "), rfc2822(F.col("date")),
+        F.lit("\n<<< EMAIL "), key, F.lit(" >>>\nFrom: "), _text(F.col("from_addr")),
+        F.lit("\nSubject: "), _text(F.col("subject")), F.lit("\nDate: "), _text(rfc2822(F.col("date"))),
         F.lit("\nStatus: "), F.when(F.col("is_read"), F.lit("Read")).otherwise(F.lit("Unread")),
         F.lit("\n\nBody:\n"), body, F.lit("\n<<< END EMAIL "), key, F.lit(" >>>\n"))
 
@@ -35,9 +39,11 @@ def request_batches(messages: DataFrame, size: int = fixed.FETCH_BATCH) -> DataF
 
 
 def build_prompts(batched: DataFrame, labels: Sequence[str] = fixed.DEFAULT_LABELS,
-                  template: str | None = None) -> DataFrame:
+                  template: str | None = None, system_prompt: str = "") -> DataFrame:
     """One prompt per batch. A group has at most the batch size in rows.
 
+    A ``system_prompt`` goes before the prompt, with a blank line between.
+
     ``template`` replaces the built-in text; it may hold ``{labels}`` and ``{messages}``, and message
     text is never searched for placeholders.
     """
@@ -52,7 +58,7 @@ def build_prompts(batched: DataFrame, labels: Sequence[str] = fixed.DEFAULT_LABE
     grouped = batched.groupBy(*BATCH).agg(
         F.count(F.lit(1)).alias("n_messages"), blocks.alias("blocks"))
     text = F.array_join(F.transform("blocks", lambda b: b["block"]), "")
-    parts: list[Column] = [F.lit(pieces[0])]
+    parts: list[Column] = [F.lit(f"{system_prompt}\n\n" if system_prompt else ""), F.lit(pieces[0])]
     for piece in pieces[1:]:
         parts += [text, F.lit(piece)]
     return grouped.select(*BATCH, "n_messages", F.concat(*parts).alias("prompt"))

@@ -17,7 +17,6 @@ from postloom.functions.reply_text import (effective_priority, json_part, strip_
                                            valid_priority)
 from postloom.functions.text import first_non_blank, label_list, quoted, trim_space
 from postloom.operators.messages import RUN_KEY, accepted_labels
-from postloom.operators.skew import salted_join
 from postloom.session import stage
 
 BATCH = ["run_id", "batch_id"]
@@ -35,25 +34,47 @@ DOCUMENT = T.StructType([
     T.StructField("schema_version", T.LongType()),
     T.StructField("classifications", T.ArrayType(ITEM)),
 ])
-# The text is parsed as the only element of an array, so that anything behind the document is an
-# error instead of being ignored.
+# The text is parsed as the only element of an array with its hash behind it: a text that closes the
+# array itself, or that is followed by anything, loses that mark.
 _WRAPPED = T.StructType([
-    T.StructField("docs", T.ArrayType(DOCUMENT)), T.StructField(_CORRUPT, T.StringType())])
+    T.StructField("docs", T.ArrayType(DOCUMENT)), T.StructField("end", T.LongType()),
+    T.StructField(_CORRUPT, T.StringType())])
+_TEXTS = ("account", "label", "reason", "summary", "priority", "urgency")
+_LISTS = ("key_points", "action_items")
+
+
+def _mistyped(document: Column) -> Column:
+    """Whether a text field of an item holds another JSON type, or a list field anything but texts."""
+    items = F.try_variant_get(F.try_parse_json(document), "$.classifications", "array<variant>")
+
+    def wrong(item: Column) -> Column:
+        found = F.lit(False)
+        for name in (*_TEXTS, *_LISTS):
+            kind = F.schema_of_variant(F.try_variant_get(item, f"$.{name}", "variant"))
+            allowed = ("VOID", "STRING") if name in _TEXTS else ("VOID", "ARRAY<VOID>", "ARRAY<STRING>")
+            found = found | ~F.coalesce(kind, F.lit("VOID")).isin(*allowed)
+        return found
+
+    return F.coalesce(F.exists(items, wrong), F.lit(False))
 
 
 def parse_documents(replies: DataFrame) -> DataFrame:
     """Adds ``doc``, the parsed document, and ``malformed``."""
-    wrapped = F.concat(F.lit('{"docs":['), json_part(strip_fences(F.col("raw"))), F.lit("]}"))
+    document = json_part(strip_fences(F.col("raw")))
+    mark = F.xxhash64(document)
+    wrapped = F.concat(F.lit('{"docs":['), document, F.lit('],"end":'), mark.cast("string"), F.lit("}"))
     parsed = F.from_json(wrapped, _WRAPPED, {
-        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
-    out = replies.withColumn("_parsed", parsed)
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT,
+        "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"})
+    out = replies.withColumns({"_parsed": parsed, "_mark": mark, "_mistyped": _mistyped(document)})
     doc = F.get(F.col("_parsed.docs"), F.lit(0))
     bad_uid = F.exists(
         F.coalesce(doc["classifications"], F.array().cast(T.ArrayType(ITEM))),
         lambda item: ~F.coalesce(item["uid"], F.lit(0)).between(0, fixed.MAX_UID))
     malformed = (F.col("_parsed").isNull() | F.col(f"_parsed.{_CORRUPT}").isNotNull()
-                 | (F.size("_parsed.docs") != 1) | bad_uid)
-    return out.withColumns({"doc": doc, "malformed": malformed}).drop("_parsed")
+                 | (F.size("_parsed.docs") != 1) | ~F.col("_parsed.end").eqNullSafe(F.col("_mark"))
+                 | F.col("_mistyped") | bad_uid)
+    return out.withColumns({"doc": doc, "malformed": malformed}).drop("_parsed", "_mark", "_mistyped")
 
 
 def document_error(raw: Column, malformed: Column, doc: Column) -> Column:
@@ -241,8 +262,10 @@ def partial_fallback(requests: DataFrame, replies: DataFrame,
     The parsed replies and the accepted items are written once to the shared folder: several
     branches read them, and JSON is parsed a single time.
     """
+    if repair_attempts not in (0, 1):
+        raise ValueError("repair_attempts must be 0 or 1")
     parsed = stage(parse_replies(
-        replies.where(F.col("attempt") <= F.lit(min(repair_attempts, 1))), labels).select(
+        replies.where(F.col("attempt") <= F.lit(repair_attempts)), labels).select(
         *BATCH, "attempt", "reply_error", "items", "parse_error"), "parsed")
     heard = F.col("reply_error").isNull()
     first = parsed.where((F.col("attempt") == 0) & heard)
@@ -268,9 +291,7 @@ def partial_fallback(requests: DataFrame, replies: DataFrame,
     valid = stage(first_pass_wins(valid_items(first), valid_items(clean)), "valid")
     by_run = batches.groupBy("run_id").agg(
         F.bool_and(F.col("call_error").isNotNull()).alias("run_failed"))
-    troubled = salted_join(
-        batches.where(F.col("parse_error").isNotNull() | F.col("call_error").isNotNull()),
-        by_run.where(~F.col("run_failed")).select("run_id"), ["run_id"], "left_semi", ["batch_id"])
+    troubled = batches.where(F.col("parse_error").isNotNull() | F.col("call_error").isNotNull()).join(by_run.where(~F.col("run_failed")).select("run_id"), ["run_id"], "left_semi")
     failed = mark_failed(missing_analyses(requests, valid).join(troubled, BATCH), repair_attempts)
     return valid, failed, batches
 

@@ -46,6 +46,13 @@ class TriageOptions:
     channel: str = "file"
     digest: DigestOptions = DigestOptions()
 
+    max_window_hours: float = fixed.MAX_WINDOW_HOURS
+    system_prompt: str = ""
+
+    def __post_init__(self):
+        if self.repair_attempts not in (0, 1):
+            raise ValueError("repair_attempts must be 0 or 1")
+
     @property
     def labels(self) -> tuple[str, ...]:
         return tuple(fixed.DEFAULT_LABELS) + tuple(self.custom_labels)
