@@ -62,7 +62,7 @@ SELECT m.account_label, m.uid, CAST(CASE m.uid % 3 WHEN 2 THEN 1 ELSE 0 END AS B
 FROM messages m""")
 def _(t: Tables):
     key = ["account_label", "uid"]
-    done = mime.bodies_and_attachments(mime.message_leaves(t.raw_mail, key), key)
+    done = mime.bodies_and_attachments(mime.message_leaves(t.raw_mail))
     shown = F.transform("attachments", lambda a: F.concat_ws(
         "|", a["filename"], a["mime_type"], a["size"].cast("string")))
     return done.select(*key, F.size("attachments").cast("bigint").alias("n_attachments"),
@@ -72,7 +72,7 @@ def _(t: Tables):
 @query("src_06_mime_bodies")
 def _(t: Tables):
     key = ["account_label", "uid"]
-    done = mime.bodies_and_attachments(mime.message_leaves(t.raw_mail, key), key)
+    done = mime.bodies_and_attachments(mime.message_leaves(t.raw_mail))
     return done.select(*key, F.length("body").cast("bigint").alias("body_length"),
                        F.md5("body").alias("body_md5"))
 

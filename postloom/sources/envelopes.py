@@ -40,69 +40,69 @@ def _zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0).cast("bigint"))
 
 
-def _finish(df: DataFrame, text: Column, tokens: tuple[Column, Column, Column],
-            failure: Column, withheld: Column | None = None) -> DataFrame:
-    """Common projection. ``withheld`` marks responses that carry neither text nor usage."""
-    name = F.col("provider")
-    status = F.concat(name, F.lit(".classify: "), F.col("http_status").cast("string"), F.lit(": "),
-                      F.col("body"))
-    broken = F.col("doc").isNull() | F.col("doc._corrupt_record").isNotNull()
-    error = (
-        F.when(F.col("http_status") != 200, status)
-        .when(broken, F.concat(name, F.lit(".classify.unmarshal: invalid JSON")))
-        .otherwise(F.when(failure.isNotNull(), F.concat(name, F.lit(".classify: "), failure))))
-    usable = (F.col("http_status") == 200) & ~broken
-    if withheld is not None:
-        usable = usable & ~withheld
-    return df.select(
-        "run_id", "batch_id", "provider", "http_status",
-        F.when(usable, F.coalesce(text, F.lit(""))).otherwise(F.lit("")).alias("raw"),
-        *[F.when(usable, _zero(t)).otherwise(F.lit(0).cast("bigint")).alias(n) for t, n in
-          zip(tokens, ("prompt_tokens", "completion_tokens", "total_tokens"))],
-        error.alias("reply_error"))
-
-
-def _candidates(rows: DataFrame) -> DataFrame:
-    df = rows.where(F.col("provider") == CANDIDATES).withColumn("doc", _json("candidates"))
-    first = F.get(F.col("doc.candidates"), F.lit(0))
+def _candidates() -> tuple[Column, tuple[Column, ...], Column, Column]:
+    first = F.get(F.col("candidates.candidates"), F.lit(0))
     text = F.array_join(F.transform(first["content"]["parts"],
                                     lambda p: F.coalesce(p["text"], F.lit(""))), "")
-    blocked = F.col("doc.promptFeedback.blockReason")
+    blocked = F.col("candidates.promptFeedback.blockReason")
     is_blocked = F.coalesce(blocked, F.lit("")) != ""
     failure = (
         F.when(is_blocked, F.concat(F.lit("prompt blocked: "), blocked))
-        .when(F.coalesce(F.size("doc.candidates"), F.lit(0)) <= 0, F.lit("no candidates returned"))
+        .when(F.coalesce(F.size("candidates.candidates"), F.lit(0)) <= 0, F.lit("no candidates returned"))
         .when(F.coalesce(text, F.lit("")) == "", F.lit("empty candidate text"))
         .when(first["finishReason"] == "SAFETY", F.lit("response blocked by safety filters")))
-    usage = "doc.usageMetadata."
-    return _finish(df, text, (F.col(usage + "promptTokenCount"), F.col(usage + "candidatesTokenCount"),
-                              F.col(usage + "totalTokenCount")), failure, is_blocked)
+    usage = F.col("candidates.usageMetadata")
+    return text, (usage["promptTokenCount"], usage["candidatesTokenCount"], usage["totalTokenCount"]), failure, is_blocked
 
 
-def _chat(rows: DataFrame) -> DataFrame:
-    df = rows.where(F.col("provider").isin(*CHAT)).withColumn("doc", _json("chat"))
-    text = F.get(F.col("doc.choices"), F.lit(0))["message"]["content"]
+def _chat() -> tuple[Column, tuple[Column, ...], Column, Column]:
+    text = F.get(F.col("chat.choices"), F.lit(0))["message"]["content"]
     failure = (
-        F.when(F.coalesce(F.size("doc.choices"), F.lit(0)) <= 0, F.lit("no choices in response"))
+        F.when(F.coalesce(F.size("chat.choices"), F.lit(0)) <= 0, F.lit("no choices in response"))
         .when(F.coalesce(text, F.lit("")) == "", F.lit("empty response content")))
-    return _finish(df, text, (F.col("doc.usage.prompt_tokens"), F.col("doc.usage.completion_tokens"),
-                              F.col("doc.usage.total_tokens")), failure)
+    usage = F.col("chat.usage")
+    return text, (usage["prompt_tokens"], usage["completion_tokens"], usage["total_tokens"]), failure, F.lit(False)
 
 
-def _local(rows: DataFrame) -> DataFrame:
-    df = rows.where(F.col("provider") == LOCAL).withColumn("doc", _json("local"))
-    prompt, answer = _zero(F.col("doc.prompt_eval_count")), _zero(F.col("doc.eval_count"))
-    incomplete = ~F.coalesce("doc.done", F.lit(False))
+def _local() -> tuple[Column, tuple[Column, ...], Column, Column]:
+    prompt, answer = _zero(F.col("local.prompt_eval_count")), _zero(F.col("local.eval_count"))
+    incomplete = ~F.coalesce("local.done", F.lit(False))
+    text = F.col("local.message.content")
     failure = (
         F.when(incomplete, F.lit("response not complete"))
-        .when(F.coalesce("doc.message.content", F.lit("")) == "", F.lit("empty response content")))
-    return _finish(df, F.col("doc.message.content"), (prompt, answer, prompt + answer), failure,
-                   incomplete)
+        .when(F.coalesce(text, F.lit("")) == "", F.lit("empty response content")))
+    return text, (prompt, answer, prompt + answer), failure, incomplete
 
 
 def extract_replies(raw_replies: DataFrame) -> DataFrame:
-    """``run_id, batch_id, provider, http_status, raw, *_tokens, reply_error`` per response."""
-    return reduce(DataFrame.unionByName, [f(raw_replies) for f in (_candidates, _chat, _local)])
+    """``run_id, batch_id, provider, http_status, raw, *_tokens, reply_error`` per response.
+
+    One projection over one scan; the shape follows from the provider. A response of an unknown
+    provider, or of none, stays as a row with a ``reply_error``.
+    """
+    provider = F.coalesce("provider", F.lit(""))
+    shapes = {"candidates": (provider == CANDIDATES, _candidates), "chat": (provider.isin(*CHAT), _chat),
+              "local": (provider == LOCAL, _local)}
+    df = raw_replies.withColumns({
+        name: F.when(is_one, _json(name)) for name, (is_one, _) in shapes.items()})
+    status = F.coalesce("http_status", F.lit(0))
+    refused = F.concat(provider, F.lit(".classify: "), status.cast("string"), F.lit(": "),
+                       F.coalesce("body", F.lit("")))
+    text, tokens, error = F.lit(""), [F.lit(0).cast("bigint")] * 3, F.concat(
+        F.lit("unknown provider: "), provider)
+    for name, (is_one, parts) in shapes.items():
+        own, counts, failure, withheld = parts()
+        broken = F.col(name).isNull() | F.col(f"{name}._corrupt_record").isNotNull()
+        usable = is_one & (status == 200) & ~broken & ~withheld
+        text = F.when(usable, F.coalesce(own, F.lit(""))).otherwise(text)
+        tokens = [F.when(usable, _zero(n)).otherwise(t) for n, t in zip(counts, tokens)]
+        found = (F.when(status != 200, refused)
+                 .when(broken, F.concat(provider, F.lit(".classify.unmarshal: invalid JSON")))
+                 .otherwise(F.when(failure.isNotNull(), F.concat(provider, F.lit(".classify: "), failure))))
+        error = F.when(is_one, found).otherwise(error)
+    names = ("prompt_tokens", "completion_tokens", "total_tokens")
+    return df.select("run_id", "batch_id", "provider", "http_status", text.alias("raw"),
+                     *[t.alias(n) for t, n in zip(tokens, names)], error.alias("reply_error"))
 
 
 def delivery_results(log: DataFrame) -> DataFrame:

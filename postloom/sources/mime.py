@@ -1,75 +1,87 @@
 """Decoding of raw mail messages.
 
-Only the MIME walk needs Python; it runs in Arrow batches and emits one row per leaf. HTML
-stripping, entity decoding and the choice of the body stay column expressions.
+Only the MIME walk needs Python; it runs in Arrow batches and adds the leaves of a message to its row,
+so nothing is shuffled and equal keys stay apart. HTML stripping, entity decoding and the choice of
+the body stay column expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from email import message_from_bytes, policy
+from email.header import decode_header, make_header
 from email.message import Message
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.functions.text import decode_entities, strip_control_chars, strip_html, trim_space
+from postloom.functions.text import (decode_bytes, decode_entities, strip_control_chars, strip_html,
+                                     trim_space)
 
-_LEAF = ("leaf_no int, mime_type string, disposition string, filename string, "
-         "is_attachment boolean, size bigint, text string")
+LEAVES = ("array<struct<mime_type:string,filename:string,is_attachment:boolean,size:bigint,text:string>>")
 
 
-def _leaf_text(part: Message, payload: bytes) -> str | None:
-    charset = part.get_param("charset") or "utf-8"
+def _parts(message: Message) -> Iterator[Message]:
+    """Leaves in order; a nested mail is one leaf."""
+    if message.get_content_maintype() == "multipart" and message.is_multipart():
+        for part in message.get_payload():
+            yield from _parts(part)
+    else:
+        yield message
+
+
+def _payload(part: Message) -> bytes:
+    if part.is_multipart():  # a nested mail
+        return b"".join(inner.as_bytes() for inner in part.get_payload())
+    return part.get_payload(decode=True) or b""
+
+
+def _filename(part: Message) -> str | None:
+    name = part.get_filename()
+    return None if name is None else str(make_header(decode_header(name)))
+
+
+def _leaf(part: Message) -> tuple | None:
+    """A leaf, or nothing for a part that cannot be read."""
     try:
-        return payload.decode(str(charset), errors="replace")
-    except LookupError:
-        return None  # unknown charset: a bad part is skipped
-
-
-def _leaves(raw: bytes) -> Iterator[tuple]:
-    for number, part in enumerate(message_from_bytes(raw, policy=policy.compat32).walk()):
-        if part.is_multipart():
-            continue
-        mime = part.get_content_type()
-        disposition = part.get_content_disposition()
-        filename = part.get_filename()
-        attached = disposition == "attachment" or filename is not None
-        payload = part.get_payload(decode=True) or b""
-        text = _leaf_text(part, payload) if mime.startswith("text/") and not attached else None
-        yield number, mime, disposition, filename or "", attached, len(payload), text
-
-
-def message_leaves(raw: DataFrame, key: Sequence[str], column: str = "raw") -> DataFrame:
-    """One row per MIME leaf of the messages in ``column`` (binary)."""
-    names = [f.split()[0] for f in _LEAF.split(", ")]
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in raw.select(*key).schema)
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(*head, *leaf) for *head, data in pdf.itertuples(index=False, name=None)
-                    for leaf in _leaves(bytes(data))]
-            yield pd.DataFrame(rows, columns=[*key, *names])
-
-    return raw.select(*key, column).mapInPandas(decode, f"{fields}, {_LEAF}")
-
-
-def bodies_and_attachments(leaves: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Body = first non-empty text leaf, cleaned; attachments in leaf order.
-
-    A message has few leaves, so the lists stay small however many messages there are.
-    """
-    text = F.when(F.col("mime_type") == "text/html", strip_html(F.col("text"))).otherwise(
-        F.col("text"))
-    rows = leaves.withColumn("text", text)
-    order = F.when(F.coalesce("text", F.lit("")) != "", F.col("leaf_no"))
-    item = F.when(F.col("is_attachment"), F.struct("leaf_no", "filename", "mime_type", "size"))
-    grouped = rows.groupBy(*key).agg(
-        F.min_by("text", order).alias("body"), F.sort_array(F.collect_list(item)).alias("found"))
-    clean = trim_space(decode_entities(strip_control_chars(F.coalesce("body", F.lit("")))))
-    return grouped.select(
-        *key, clean.alias("body"),
-        F.transform("found", lambda a: F.struct(
-            a["filename"].alias("filename"), a["mime_type"].alias("mime_type"),
-            a["size"].alias("size"))).alias("attachments"))
+        mime, filename = part.get_content_type(), _filename(part)
+        attached = (part.get_content_disposition() == "attachment" or filename is not None
+                    or mime == "message/rfc822")
+        payload, text = _payload(part), None
+        if mime.startswith("text/") and not attached:
+            text = decode_bytes(payload, str(part.get_param("charset") or "utf-8"))
+        return mime, filename or "", attached, len(payload), text
+    except (LookupError, ValueError, TypeError, AttributeError):
+        return None
+
+
+def _leaves(raw: bytes | None) -> list[tuple]:
+    if raw is None:
+        return []
+    found = (_leaf(p) for p in _parts(message_from_bytes(bytes(raw), policy=policy.compat32)))
+    return [leaf for leaf in found if leaf is not None]
+
+
+def message_leaves(raw: DataFrame, column: str = "raw") -> DataFrame:
+    """``raw`` with the MIME leaves of each message as ``leaves`` in place of the binary column."""
+
+    @F.pandas_udf(LEAVES)
+    def leaves(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([_leaves(data) for data in batch], dtype="object")
+
+    return raw.withColumn("leaves", leaves(column)).drop(column)
+
+
+def bodies_and_attachments(decoded: DataFrame) -> DataFrame:
+    """Body = first non-empty text leaf, cleaned; attachments in leaf order. One row per message."""
+    # the first leaf with text decides; only HTML that strips to nothing lets the next one try
+    texts = F.filter("leaves", lambda x: F.coalesce(x["text"], F.lit("")) != "")
+    plain = F.transform(texts, lambda x: F.when(
+        x["mime_type"] == "text/html", strip_html(x["text"])).otherwise(x["text"]))
+    body = F.get(F.filter(plain, lambda x: x != ""), F.lit(0))
+    found = F.transform(F.filter("leaves", lambda x: x["is_attachment"]), lambda x: F.struct(
+        x["filename"].alias("filename"), x["mime_type"].alias("mime_type"), x["size"].alias("size")))
+    clean = trim_space(decode_entities(strip_control_chars(F.coalesce(body, F.lit("")))))
+    return decoded.withColumns({"body": clean, "attachments": found}).drop("leaves")

@@ -8,7 +8,7 @@ from postloom.sources import mime
 def read(spark, raw):
     data = raw if isinstance(raw, bytes) else raw.replace("\n", "\r\n").encode()
     df = spark.createDataFrame([(1, bytearray(data))], "uid bigint, raw binary")
-    row = mime.bodies_and_attachments(mime.message_leaves(df, ["uid"]), ["uid"]).first()
+    row = mime.bodies_and_attachments(mime.message_leaves(df)).first()
     return row.body, [tuple(a) for a in row.attachments]
 
 
@@ -61,3 +61,24 @@ def test_attachments(spark):
         ("d.csv", "text/csv"), ("r.pdf", "application/pdf"), ("data.bin", "application/octet-stream"),
         ("", "image/png")]
     assert found[1][2] == 9
+
+
+def test_a_nested_mail_is_an_attachment(spark):
+    inner = "Content-Type: message/rfc822\n\nSubject: inner\nContent-Type: text/plain\n\nINNER BODY\n"
+    body, found = read(spark, multi("mixed", inner, PLAIN))
+    assert body == "Plain text." and [(f, m) for f, m, _ in found] == [("", "message/rfc822")]
+
+
+def test_encoded_file_name(spark):
+    pdf = part("application/pdf", "x", "Content-Disposition: attachment; filename=\"=?utf-8?b?csOpc3Vtw6kucGRm?=\"")
+    assert read(spark, multi("mixed", PLAIN, pdf))[1][0][0] == "résumé.pdf"
+
+
+def test_no_row_ends_the_job(spark):
+    """Null and broken messages keep their row, as do two messages with one key."""
+    bad = [None, b"", b"Content-Type: text/plain; charset=idna\r\n\r\n\xff\xfe",
+           b"Content-Type: text/plain; charset=\"a\x00b\"\r\n\r\nx", b"Content-Type: multipart/mixed\r\n\r\nno boundary",
+           b"Content-Type: text/plain\r\n\r\none", b"Content-Type: text/plain\r\n\r\ntwo"]
+    df = spark.createDataFrame([(1, None if b is None else bytearray(b)) for b in bad], "uid bigint, raw binary")
+    out = [r.body for r in mime.bodies_and_attachments(mime.message_leaves(df)).collect()]
+    assert len(out) == len(bad) and {"one", "two", ""} <= set(out)
