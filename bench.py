@@ -9,11 +9,12 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import tempfile
 import time
 
 from postloom import catalog
 from postloom.plans.tables import Tables
-from postloom.session import local_session
+from postloom.session import local_session, use_shared_folder
 
 HEADLINE = [
     "join_01_skip_processed",
@@ -33,6 +34,9 @@ HEADLINE = [
     "dig_05_label_sections",
     "stm_04_run_counts_by_sender",
     "stm_05_bursts",
+    "src_06_mime_bodies",
+    "llm_03_accepted",
+    "flow_03_triage_pass",
 ]
 
 
@@ -41,6 +45,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeats = int(os.environ.get("BENCH_REPEATS", "3"))
     spark = local_session("postloom-bench", cpus, shuffle_partitions=int(cpus))
+    use_shared_folder(tempfile.mkdtemp(prefix="postloom-bench-"))
     catalog.load()
     times: dict[str, float] = {}
     for name in HEADLINE:

@@ -225,9 +225,9 @@ def _(t: Tables):
         F.count(F.lit(1)).alias("n"))
 
 
-def run_pass(t: Tables, options: TriageOptions = TriageOptions()):
+def run_pass(t: Tables, options: TriageOptions = TriageOptions(), processed=None):
     labels = stage(stats.run_level(stats.label_counts(t.entries), "label"), "labels")
-    nothing = t.processed_messages.limit(0)
+    nothing = t.processed_messages.limit(0) if processed is None else processed
     return plan.triage(
         t.messages_with_body, t.requests.select("run_id", "batch_id", "account_label", "uid"), t.replies,
         t.account_status, t.runs, nothing, stage(header_snapshot(t), "headers"), labels,
@@ -251,6 +251,16 @@ def _(t: Tables):
     return run_pass(t).entries.select(*RUN_KEY, "label", "classified", "error", "stage")
 
 
+@query("flow_03_fresh_entries", f"""
+WITH {TRIAGED.replace("AND s.run_id = m.run_id AND s.account_label = m.account_label))", """AND s.run_id = m.run_id
+    AND s.account_label = m.account_label) AND NOT EXISTS (SELECT 1 FROM processed_messages p
+    WHERE p.account_label = m.account_label AND p.uid = m.uid))""", 1)}
+SELECT run_id, account_label, uid FROM fin""")
+def _(t: Tables):
+    """The pass over a ledger that knows messages: none of them is an entry again."""
+    return run_pass(t, processed=t.processed_messages).entries.select(*RUN_KEY)
+
+
 # Items of failed accounts' replies are valid but unrequested; they count as classified for the run.
 ALL_ITEMS = """
 lost AS (SELECT m.run_id, m.account_label, m.uid, m.k, m.uid >> 6 AS block,

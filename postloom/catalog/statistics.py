@@ -167,7 +167,7 @@ WITH {ENTRIES} SELECT run_id, account_label, uid, final_label AS label, row_numb
   date DESC, account_label, uid) AS item FROM entries""")
 def _(t: Tables):
     rows = t.entries.withColumn("priority", F.coalesce("priority", F.lit("")))
-    return ranking.number_entries(rows, ["run_id", "label"], capped=False).select(
+    return ranking.number_entries(rows, ["run_id", "label"]).select(
         *RUN_KEY, "label", "item")
 
 
@@ -177,7 +177,7 @@ WITH {ENTRIES} SELECT run_id, account_label, uid, row_number() OVER (
 FROM entries WHERE final_priority = 'high'""")
 def _(t: Tables):
     rows = messages.only_high_priority(t.entries)
-    return ranking.number_entries(rows, ["run_id"], capped=False).select(*RUN_KEY, "item")
+    return ranking.number_entries(rows, ["run_id"]).select(*RUN_KEY, "item")
 
 
 @query("win_04_top_senders_per_account", f"""

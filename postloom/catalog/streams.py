@@ -96,7 +96,7 @@ def _(t: Tables):
 
 
 @query("stm_05_burst_stream", BURST_SQL + """
-AND run_end <= (SELECT max(internal_date) - INTERVAL '1' HOUR FROM messages)""")
+AND run_end <= (SELECT max(internal_date) - INTERVAL '72' HOUR FROM messages)""")
 def _(t: Tables):
     found = incremental.drain(incremental.burst_stream(message_stream(t)), "bursts")
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("run_start", "run_end")})

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postloom.operators.skew import salted_join
 
 
 def previous_runs(runs: DataFrame, snapshots: DataFrame, now: Column | None = None) -> DataFrame:
@@ -31,7 +30,7 @@ def previous_runs(runs: DataFrame, snapshots: DataFrame, now: Column | None = No
     found = moments.withColumn(
         "earlier", F.last("candidate", ignorenulls=True).over(in_day)
     ).join(days, "day").select("at", F.coalesce("earlier", "carried").alias("prev_run_id"))
-    return salted_join(rows, found, ["at"], "left", ["run_id"]).select("run_id", "prev_run_id")
+    return rows.join(found, ["at"], "left").select("run_id", "prev_run_id")
 
 
 def count_delta(current: DataFrame, previous_of: DataFrame, snapshot: DataFrame,
@@ -42,10 +41,8 @@ def count_delta(current: DataFrame, previous_of: DataFrame, snapshot: DataFrame,
     long history only the predecessors' rows are shuffled.
     """
     pairs = previous_of.where(F.col("prev_run_id").isNotNull())
-    now = salted_join(current, pairs, ["run_id"], "inner", [key])
+    now = current.join(pairs, ["run_id"], "inner")
     needed = pairs.select("prev_run_id").distinct()
-    before = salted_join(
-        snapshot.select(F.col("run_id").alias("prev_run_id"), key, F.col("n").alias("prev_n")),
-        needed, ["prev_run_id"], "left_semi", [key])
+    before = snapshot.select(F.col("run_id").alias("prev_run_id"), key, F.col("n").alias("prev_n")).join(needed, ["prev_run_id"], "left_semi")
     joined = now.join(before, ["prev_run_id", key], "left")
     return joined.select("run_id", key, "n", F.coalesce("prev_n", F.lit(0)).alias("prev_n"))

@@ -16,7 +16,6 @@ from postloom.functions.text import excerpt, trim_space
 from postloom.operators import ranking, stats
 from postloom.operators.messages import (confidence_percent, only_high_priority, priority_text,
                                          read_badge)
-from postloom.operators.skew import salted_join
 from postloom.params import DigestOptions
 
 ORDER = ["section", "grp", "item", "key", "line"]
@@ -148,8 +147,7 @@ def _reason_line() -> Column:
 
 def attention_lines(rows: DataFrame, options: DigestOptions) -> DataFrame:
     """High-priority entries of the digest's rows."""
-    high = ranking.number_entries(only_high_priority(rows), ["run_id"],
-                                  capped=options.max_messages > 0)
+    high = ranking.number_entries(only_high_priority(rows), ["run_id"])
     runs = high.select("run_id").distinct()
     lines = F.array(*_entry_head(options), _priority_line(), _reason_line())
     close = _place(runs, ATTENTION, F.array(F.lit("---")), grp=F.lit("~"))
@@ -179,7 +177,7 @@ def _analysis_lines(options: DigestOptions) -> Column:
     if options.include_action_items:
         parts.append(F.when(F.size("action_items") > 0,
                             _list_lines(["", "**Action items:**"], actions)).otherwise(empty))
-    raw = F.concat(F.lit("> "), excerpt(F.coalesce("body", F.lit("")), options.max_message_excerpt))
+    raw = F.concat(F.lit("> "), excerpt(F.coalesce("excerpt", F.lit("")), options.max_message_excerpt))
     after_error = raw if options.include_raw_excerpt_fallback else F.lit(fixed.OMITTED_AFTER_ERROR)
     no_summary = raw if options.include_raw_excerpt_fallback else F.lit(fixed.OMITTED_NO_SUMMARY)
     failed = F.concat(F.lit("⚠️ **Analysis failed ("), "stage", F.lit("):** "), "error")
@@ -191,7 +189,7 @@ def _analysis_lines(options: DigestOptions) -> Column:
 
 def label_lines(rows: DataFrame, options: DigestOptions) -> DataFrame:
     """One section per label, entries numbered by importance."""
-    numbered = ranking.number_entries(rows, ["run_id", "label"], capped=options.max_messages > 0)
+    numbered = ranking.number_entries(rows, ["run_id", "label"])
     sizes = rows.groupBy("run_id", "label").agg(F.count(F.lit(1)).alias("n"))
     head = _place(sizes, LABELS, F.array(F.lit(""), F.format_string("## %s (%d)", "label", "n")),
                   grp=F.col("label"))
@@ -261,7 +259,7 @@ def fallback_lines(runs: DataFrame, totals: DataFrame, accounts: DataFrame, entr
     head = _place(sized, LABELS, F.array(F.lit(""), F.lit("---"), F.lit(""), F.format_string(
         "## Fetched Messages (%d)", "n")), item=F.lit(-1).cast("bigint"))
     lines = F.array(*_entry_head(options), F.lit(""), F.concat(
-        F.lit("> "), excerpt(F.coalesce("body", F.lit("")), options.max_message_excerpt)))
+        F.lit("> "), excerpt(F.coalesce("excerpt", F.lit("")), options.max_message_excerpt)))
     parts += [head, _place(numbered, LABELS, lines, item=F.col("item")),
               footer_lines(runs, options, fallback=True)]
     return _union(parts)
@@ -274,19 +272,20 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def assemble(lines: DataFrame, max_bytes: int = fixed.MAX_PAYLOAD_BYTES) -> DataFrame:
-    """``run_id, bytes, payload, payload_hash`` per run. The lines are read twice, so pass a stored
-    table.
+def sizes(lines: DataFrame) -> DataFrame:
+    """``run_id, bytes`` of the digests that the lines make up."""
+    size = F.sum(F.octet_length("text") + 1) - 1
+    return lines.groupBy("run_id").agg(size.alias("bytes"))
+
+
+def assemble(lines: DataFrame) -> DataFrame:
+    """``run_id, bytes, payload, payload_hash`` per run: the whole digest as one text.
 
-    The delivery limit bounds what is put together in one place: a longer digest is refused by the
-    channel anyway, so its payload is null and its lines stay in the line table.
+    ``max_messages`` bounds a digest. Without that bound the line table and its range-partitioned
+    files are the product, and no text is put together.
     """
-    size = F.sum(F.octet_length("text") + 1) - 1
-    sizes = lines.groupBy("run_id").agg(size.alias("bytes"))
-    fits = sizes.where(F.col("bytes") <= max_bytes).select("run_id")
-    kept = salted_join(lines, fits, ["run_id"], "left_semi", ORDER)
     ordered = F.sort_array(F.collect_list(F.struct(*ORDER, "text")))
-    texts = kept.groupBy("run_id").agg(
-        F.array_join(F.transform(ordered, lambda r: r["text"]), "\n").alias("payload"))
-    return sizes.join(texts, "run_id", "left").withColumn(
-        "payload_hash", F.sha2("payload", 256))
+    size = F.sum(F.octet_length("text") + 1) - 1
+    texts = lines.groupBy("run_id").agg(size.alias("bytes"), F.array_join(
+        F.transform(ordered, lambda r: r["text"]), "\n").alias("payload"))
+    return texts.withColumn("payload_hash", F.sha2("payload", 256))

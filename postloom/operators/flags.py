@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postloom import fixed
 from postloom.operators.messages import label_set
-from postloom.operators.skew import salted_join, uid_block
+from postloom.operators.skew import uid_block
 
 FLAG_BLOCK_BITS = 12
 
@@ -32,7 +32,7 @@ def keyword_allowed(permanent: Column, keyword: Column) -> Column:
 
 def for_known_accounts(flags: DataFrame, accounts: DataFrame) -> DataFrame:
     """Flags of configured accounts, with the account columns; others are skipped."""
-    return salted_join(flags, accounts, ["account_label"], "inner", ["uid"])
+    return flags.join(accounts, ["account_label"], "inner")
 
 
 def flag_batches(flags: DataFrame) -> DataFrame:

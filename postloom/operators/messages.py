@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from postloom import fixed
 from postloom.functions import address, text
-from postloom.operators.skew import salted_join
 
 KEY = ["account_label", "uid"]
 RUN_KEY = ["run_id", "account_label", "uid"]
@@ -41,7 +40,7 @@ def select_folders(messages: DataFrame, accounts: DataFrame,
     own = F.when(F.size("folders") > 0, F.col("folders"))
     wanted = F.array(*[F.lit(f) for f in requested]) if requested else F.coalesce(own, default)
     rows = accounts.select("account_label", F.explode(F.array_distinct(wanted)).alias("folder"))
-    return salted_join(messages, rows, ["account_label", "folder"], "left_semi", ["uid"])
+    return messages.join(rows, ["account_label", "folder"], "left_semi")
 
 
 def failed_accounts(account_status: DataFrame) -> DataFrame:
@@ -53,7 +52,7 @@ def failed_accounts(account_status: DataFrame) -> DataFrame:
 def drop_failed_accounts(messages: DataFrame, account_status: DataFrame) -> DataFrame:
     """A failed account contributes no row, not even fetched ones."""
     failed = failed_accounts(account_status).select("run_id", "account_label")
-    return salted_join(messages, failed, ["run_id", "account_label"], "left_anti", ["uid"])
+    return messages.join(failed, ["run_id", "account_label"], "left_anti")
 
 
 def assemble(headers: DataFrame, bodies: DataFrame) -> DataFrame:

@@ -37,19 +37,17 @@ def first_fetched(rows: DataFrame, limit: int) -> DataFrame:
         F.col("_rank") <= limit).drop("_rank")
 
 
-def number_entries(rows: DataFrame, group: Sequence[str], name: str = "item",
-                   capped: bool = True) -> DataFrame:
+def number_entries(rows: DataFrame, group: Sequence[str], name: str = "item") -> DataFrame:
     """1-based position of an entry in its section, most important first.
 
-    ``capped`` says that a limit already bounds each run; otherwise groups of any size are
-    numbered block by block (hour, then second).
+    Groups of any size are numbered block by block: hour, second, then blocks of uids of one
+    account and time, which splits an import that has one time.
     """
-    if capped:
-        w = Window.partitionBy(*group).orderBy(*_importance())
-        return rows.withColumn(name, F.row_number().over(w).cast("bigint"))
     levels = [
         [(priority_rank(F.col("priority")), True), (F.date_trunc("hour", "date"), False)],
         [(F.date_trunc("second", "date"), False)],
+        [(F.col("date"), False), (F.col("account_label"), True),
+         (uid_block(F.col("uid"), UID_BLOCK_BITS), True)],
     ]
     return split_row_number(rows, group, levels, _importance(), name)
 

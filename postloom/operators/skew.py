@@ -7,23 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALT = "_salt"
-
-
-def salted_join(facts: DataFrame, dims: DataFrame, on: Sequence[str], how: str,
-                spread_by: Sequence[str], fan: int = 8) -> DataFrame:
-    """Join a fact table to a table of few, possibly hot, keys.
-
-    ``dims`` has at most one row per key. Every fact row carries a salt taken from ``spread_by``
-    and every dimension row is repeated once per salt, so one hot key becomes ``fan`` keys. When
-    the dimension is under the broadcast threshold Catalyst broadcasts it and no shuffle remains.
-    """
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(fan)).cast("int")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(fan - 1)))
-    joined = facts.withColumn(SALT, salt).join(dims.withColumn(SALT, salts), [*on, SALT], how)
-    return joined.drop(SALT)
-
-
 def uid_block(uid: Column, bits: int) -> Column:
     """Block number of a uid; a block holds at most ``2**bits`` uids of one account and folder."""
     return F.shiftright(uid, bits)
@@ -58,8 +41,12 @@ def split_row_number(df: DataFrame, group: Sequence[str],
         parent = parent + names[depth]
         counts = blocks.groupBy(*parent).agg(F.sum("_n").alias("_s"))
         offset = counts.withColumn("_at", F.coalesce(F.sum("_s").over(before), F.lit(0)))
-        starts = starts.join(offset.select(*parent, F.col("_at").alias(f"_o{depth}")), parent)
+        # a struct as the key: null equals null in its fields, so no group is lost
+        key = F.struct(*parent)
+        starts = starts.withColumn("_key", key).join(
+            offset.select(key.alias("_key"), F.col("_at").alias(f"_o{depth}")), "_key").drop("_key")
     total = sum((F.col(f"_o{depth}") for depth in range(len(levels))), F.lit(0))
-    out = out.join(starts.select(*block, total.cast("bigint").alias("_start")), block)
+    out = out.withColumn("_key", F.struct(*block)).join(
+        starts.select(F.struct(*block).alias("_key"), total.cast("bigint").alias("_start")), "_key")
     inside = F.row_number().over(Window.partitionBy(*block).orderBy(*order)).cast("bigint")
-    return out.withColumn(name, F.col("_start") + inside).drop("_start", *block[len(group):])
+    return out.withColumn(name, F.col("_start") + inside).drop("_start", "_key", *block[len(group):])

@@ -8,22 +8,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postloom import fixed
 from postloom.functions.dates import fetch_since
 from postloom.operators import digest, messages, prompts, ranking, replies
 from postloom.params import TriageOptions
 from postloom.plans import triage as plan
-from postloom.session import stage
+from postloom.session import stage, staging
 from postloom.sources.ledger import Ledger
 
 # since -> (messages, account_status), both without run_id
 Ingest = Callable[[dt.datetime], tuple[DataFrame, DataFrame]]
 
 
-def window_start(ledger: Ledger, now: dt.datetime, window_hours: float | None = None) -> dt.datetime:
+def window_start(ledger: Ledger, now: dt.datetime, window_hours: float | None = None,
+                 max_window_hours: float = fixed.MAX_WINDOW_HOURS) -> dt.datetime:
     """Where the fetch starts: the last completed run, within the look-back cap."""
     at = F.lit(now).cast("timestamp_ntz")
     last = ranking.last_completed(ledger.runs())
-    return last.select(fetch_since(at, F.col("finished_at"), window_hours)).first()[0]
+    return last.select(fetch_since(
+        at, F.col("finished_at"), window_hours, max_window_hours)).first()[0]
 
 
 def classify_all(fresh: DataFrame, provider: Callable[[str], str], options: TriageOptions,
@@ -34,7 +37,8 @@ def classify_all(fresh: DataFrame, provider: Callable[[str], str], options: Tria
     Replies are written as they come: a call is never repeated because a later step was.
     """
     batched = stage(prompts.request_batches(fresh), "requests")
-    first = stage(prompts.classify(prompts.build_prompts(batched, options.labels, template), provider,
+    first = stage(prompts.classify(prompts.build_prompts(
+        batched, options.labels, template, options.system_prompt), provider,
                                    parallelism=parallelism), "answers")
     requests = batched.select("run_id", "batch_id", "account_label", "uid")
     if options.repair_attempts == 0:
@@ -50,17 +54,32 @@ def run_once(spark: SparkSession, ledger: Ledger, ingest: Ingest, provider: Call
              now: dt.datetime | None = None, window_hours: float | None = None,
              template: str | None = None, renderer: plan.Renderer = digest.markdown_lines,
              parallelism: int | None = None) -> plan.TriageResult:
-    """Open a run, fetch, skip what is known, classify, render, and record."""
+    """Open a run, fetch, skip what is known, classify, render, and record.
+
+    The tables stored on the way are in one folder; ``release()`` of the result removes it.
+    """
+    with staging() as staged:
+        result = _run_once(spark, ledger, ingest, provider, payload_path, options, now, window_hours, template,
+                           renderer, parallelism)
+        result.staged = staged
+        return result
+
+
+def _run_once(spark: SparkSession, ledger: Ledger, ingest: Ingest, provider: Callable[[str], str],
+              payload_path: str, options: TriageOptions, now: dt.datetime | None, window_hours: float | None,
+              template: str | None, renderer: plan.Renderer, parallelism: int | None) -> plan.TriageResult:
     now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     at = F.lit(now).cast("timestamp_ntz")
-    since = window_start(ledger, now, window_hours)
+    since = window_start(ledger, now, window_hours, options.max_window_hours)
     opened = stage(spark.range(1).select(F.uuid().alias("id"), at.alias("started_at"),
                                          F.lit("").alias("status")), "opened")
     if not options.dry_run:
         ledger.record_runs(opened, at)
     run_id = F.lit(opened.first().id)
+    # the source is read once: every later step sees the same rows
     landed, status = (df.withColumn("run_id", run_id) for df in ingest(since))
-    fetched = messages.search_window(landed, F.lit(since).cast("timestamp_ntz"))
+    fetched = stage(messages.search_window(landed, F.lit(since).cast("timestamp_ntz")), "landed")
+    status = stage(status, "status")
     # the ledger is long, the fetch short: keep the recorded keys that were fetched again
     known = stage(messages.already_processed(
         ledger.read("processed_messages").select(*messages.KEY), fetched), "known")

@@ -274,7 +274,7 @@ class Tables:
         """Messages with the excerpt a digest shows instead of the whole body."""
         from postloom.functions.text import excerpt
         short = self.bodies.select("account_label", "uid", excerpt(
-            F.col("body"), fixed.EXCERPT_LIMIT).alias("body"))
+            F.col("body"), fixed.EXCERPT_LIMIT).alias("excerpt"))
         return self.messages.join(short, ["account_label", "uid"], "left")
 
     @cached_property

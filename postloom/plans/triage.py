@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from postloom import fixed
 from postloom.functions.text import excerpt
 from postloom.operators import asof, digest, flags, highlights, messages, replies, stats
-from postloom.operators.skew import salted_join
 from postloom.params import TriageOptions
-from postloom.session import stage
+from postloom.session import release, stage
 from postloom.sources.ledger import Ledger, write_payloads
 
 
@@ -46,7 +45,7 @@ def processed_rows(entries: DataFrame, at: Column,
     limit = excerpt_limit if excerpt_limit > 0 else fixed.EXCERPT_LIMIT
     return entries.where("classified").select(
         "run_id", "account_label", "uid", "is_read", F.col("label").alias("classification"),
-        excerpt(F.coalesce("body", F.lit("")), limit).alias("digest_excerpt"),
+        excerpt(F.coalesce("excerpt", F.lit("")), limit).alias("digest_excerpt"),
         at.alias("processed_at"))
 
 
@@ -65,6 +64,12 @@ class TriageResult:
     flag_plan: DataFrame
     valid: DataFrame
     failed: DataFrame
+    staged: str = ""
+
+    def release(self) -> None:
+        """Remove the stored tables, when the pass is recorded and its result no longer read."""
+        if self.staged:
+            release(self.entries.sparkSession, self.staged)
 
 
 def select_messages(fetched: DataFrame, account_status: DataFrame, ledger: DataFrame,
@@ -81,12 +86,13 @@ def triage(fetched: DataFrame, requests: DataFrame, answers: DataFrame, account_
            label_snapshot: DataFrame, sender_snapshot: DataFrame,
            options: TriageOptions = TriageOptions(), now: Column | None = None,
            renderer: Renderer = digest.markdown_lines,
-           history: DataFrame | None = None) -> TriageResult:
+           history: DataFrame | None = None, deliveries: DataFrame | None = None) -> TriageResult:
     """Set-at-a-time triage of every run in ``runs``.
 
     ``fetched``: landed messages with ``run_id``; ``requests`` and ``answers``: the prompt batches
     and the classifier's replies (see ``operators.replies.partial_fallback``); ``history``: all runs
-    that may be a predecessor, by default ``runs`` itself. The entries table is written once
+    that may be a predecessor, by default ``runs`` itself; ``deliveries``: a log ``run_id, ok`` of
+    attempts to deliver the digests, a run without a good one among its attempts failed. The entries table is written once
     to the shared folder, because statistics, highlights, digest, flags and ledger rows all start
     from it; so are the small tables of counts that many digest lines read.
     """
@@ -95,8 +101,10 @@ def triage(fetched: DataFrame, requests: DataFrame, answers: DataFrame, account_
     valid, failed, batches = replies.partial_fallback(
         wanted, answers, options.labels, options.repair_attempts)
     failed = stage(failed, "failed")
-    # digest and ledger show an excerpt only: cut it at the scan, before the rows are shuffled
-    short = fresh.withColumn("body", excerpt(F.col("body"), options.digest.max_message_excerpt))
+    # digest and ledger show an excerpt only: cut it at the scan, before the rows are shuffled;
+    # a renderer that wants whole bodies joins them by key
+    short = fresh.withColumn("excerpt", excerpt(
+        F.col("body"), options.digest.max_message_excerpt)).drop("body")
     rows = stage(stats.entries(short, valid, failed), "entries")
 
     senders = stage(stats.sender_counts(rows), "senders")
@@ -130,25 +138,31 @@ def triage(fetched: DataFrame, requests: DataFrame, answers: DataFrame, account_
     shown = runs.select(F.col("id").alias("run_id"), generated.alias("generated_at")).join(
         with_messages.select("run_id", (~F.col("classify_failed") & (F.col("classified") > 0)).alias(
             "main")), "run_id")
-    def part(df: DataFrame, keep: DataFrame, *spread: str) -> DataFrame:
-        ids = keep.select("run_id")
-        if spread:
-            return salted_join(df, ids, ["run_id"], "left_semi", spread)
-        return df.join(ids, "run_id", "left_semi")
+
+    def part(df: DataFrame, keep: DataFrame) -> DataFrame:
+        return df.join(keep.select("run_id"), "run_id", "left_semi")
 
     main = shown.where("main").select("run_id", "generated_at")
     plain = shown.where(~F.col("main")).select("run_id", "generated_at")
     lines = renderer(
-        main, part(totals, main), part(accounts, main), part(rows, main, "uid"),
-        part(notable, main, "key"), options.digest,
+        main, part(totals, main), part(accounts, main), part(rows, main),
+        part(notable, main), options.digest,
     ).unionByName(digest.fallback_lines(
-        plain, part(totals, plain), part(accounts, plain), part(rows, plain, "uid"),
+        plain, part(totals, plain), part(accounts, plain), part(rows, plain),
         options.digest))
     lines = stage(lines, "lines")
-    payloads = stage(digest.assemble(lines), "payloads")
+    if options.digest.max_messages > 0:
+        payloads = digest.assemble(lines).drop("payload")
+    else:
+        payloads = digest.sizes(lines).withColumn("payload_hash", F.lit(None).cast("string"))
+    payloads = stage(payloads, "payloads").withColumn("sent", F.lit(True))
+    if deliveries is not None:
+        outcome = deliveries.groupBy("run_id").agg(F.bool_or(F.coalesce("ok", F.lit(False))).alias("ok"))
+        payloads = payloads.join(outcome, "run_id", "left").withColumn(
+            "sent", F.coalesce("ok", F.col("sent"))).drop("ok")
     digests = payloads.select(
         "run_id", F.lit(options.channel).alias("channel"),
-        F.when(F.col("payload").isNull(), F.lit("failed")).otherwise(F.lit("sent")).alias("status"),
+        F.when(F.col("sent"), F.lit("sent")).otherwise(F.lit("failed")).alias("status"),
         "payload_hash", "bytes")
     statuses = run_status(state.join(
         digests.select("run_id", (F.col("status") == "failed").alias("delivery_failed")),
@@ -171,10 +185,9 @@ def record(result: TriageResult, ledger: Ledger, payload_path: str, at: Column,
     ledger.record_digests(result.digests)
     good = result.statuses.where(~F.col("delivery_failed") & ~F.col("classify_failed")).select("run_id")
     if not options.stateless:
-        recorded = salted_join(result.entries, good, ["run_id"], "left_semi", ["uid"])
+        recorded = result.entries.join(good, ["run_id"], "left_semi")
         ledger.record_messages(processed_rows(recorded, at, options.digest.max_message_excerpt))
-        plan = flags.flag_plan(salted_join(
-            result.valid, good, ["run_id"], "left_semi", ["uid"]), options.custom_labels)
+        plan = flags.flag_plan(result.valid.join(good, ["run_id"], "left_semi"), options.custom_labels)
         ledger.record_flags(plan.select(
             "account_label", "uid", F.col("keyword").alias("flag"), at.alias("applied_at")))
         written += ["processed_messages", "flags_applied"]
@@ -190,6 +203,6 @@ def record(result: TriageResult, ledger: Ledger, payload_path: str, at: Column,
         F.col("fetched").cast("bigint").alias("message_count"),
         F.when(F.col("status") == "ingest_failed", F.format_string(
             "all %d account(s) failed to fetch messages", "errors"))
-        .when(F.col("delivery_failed"), F.lit("payload exceeds the delivery limit"))
+        .when(F.col("delivery_failed"), F.lit("delivery failed"))
         .otherwise(F.lit("")).alias("error")))
     return written + ["snapshots", "runs"]

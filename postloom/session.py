@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +22,8 @@ RECOMMENDED = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
-_local_root: str | None = None
+_own_root: str | None = None
+_scope: ContextVar[str] = ContextVar("postloom_staging", default="session")
 
 
 def local_session(app: str = "postloom", cpus: int | str = "*", shuffle_partitions: int = 8,
@@ -39,20 +42,35 @@ def local_session(app: str = "postloom", cpus: int | str = "*", shuffle_partitio
     return spark
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors see, as named by ``spark.checkpoint.dir``.
+def use_shared_folder(path: str) -> None:
+    """The folder for sessions without ``spark.checkpoint.dir``, as in tests."""
+    global _own_root
+    _own_root = path.rstrip("/")
 
-    Only a local session without the setting falls back to a fresh temporary folder.
-    """
-    global _local_root
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder all executors see: ``spark.checkpoint.dir``, or what ``use_shared_folder`` named."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own_root
+    if not root:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="postloom-")
-    return _local_root
+    return root.rstrip("/")
+
+
+@contextmanager
+def staging() -> Iterator[str]:
+    """Tables staged inside go to one folder, whose name this gives; ``release`` removes it."""
+    name = uuid.uuid4().hex
+    token = _scope.set(name)
+    try:
+        yield name
+    finally:
+        _scope.reset(token)
+
+
+def release(spark: SparkSession, name: str) -> None:
+    """Remove the tables of a ``staging`` block; what reads them is not usable any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/staged/{name}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -61,6 +79,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     Used where several outputs hang on one expensive table: a lost executor then re-reads
     files instead of recomputing the whole lineage.
     """
-    path = f"{shared_root(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(df.sparkSession)}/staged/{_scope.get()}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

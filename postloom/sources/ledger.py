@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom import schemas
-from postloom.operators.skew import salted_join
 from postloom.session import stage
 
 SNAPSHOT_TABLES = ("run_digest_label_counts", "run_digest_sender_counts",
@@ -123,7 +122,7 @@ class Ledger:
         """Insert processed messages; the first writer of a key wins."""
         self._append("processed_messages", first_writes(
             rows, self.read("processed_messages"), ["account_label", "uid"],
-            ["processed_at", "run_id"]))
+            ["processed_at", "run_id", "classification", "digest_excerpt"]))
 
     def record_flags(self, rows: DataFrame) -> None:
         """Insert applied flags, once per key and flag."""
@@ -161,8 +160,7 @@ class Ledger:
     def snapshot_counts(self, key: str) -> DataFrame:
         """``run_id, key, n`` of the latest snapshots; ``key`` is label, sender or domain."""
         latest = self.snapshot_headers().select("run_id", "snapshot_id")
-        return salted_join(self.read(f"run_digest_{key}_counts"), latest,
-                           ["run_id", "snapshot_id"], "left_semi", [key]).drop("snapshot_id")
+        return self.read(f"run_digest_{key}_counts").join(latest, ["run_id", "snapshot_id"], "left_semi").drop("snapshot_id")
 
 
 def write_payloads(lines: DataFrame, path: str) -> None:

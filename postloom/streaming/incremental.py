@@ -84,7 +84,7 @@ def bursts(messages: DataFrame) -> DataFrame:
         "sender", start.alias("run_start"), F.col("pair.end").alias("run_end"), "n", "prev_n")
 
 
-def burst_stream(messages: DataFrame, max_window: str = "1 hour") -> DataFrame:
+def burst_stream(messages: DataFrame, max_window: str = MAX_WINDOW) -> DataFrame:
     """Bursts of the runs that the watermark has closed."""
     return bursts(with_lateness(messages, max_window))
 

@@ -76,3 +76,16 @@ def test_unclear_message_comes_back_next_time(spark, tmp_path):
     assert [r.uid for r in book.read("processed_messages").collect()] == [12]
     statuses = sorted(r.status for r in book.runs().collect())
     assert statuses == ["degraded", "partially_classified"]
+
+
+def test_released_passes_leave_no_tables(spark, tmp_path):
+    import os
+
+    from postloom.session import shared_root
+    book = Ledger(spark, f"{tmp_path}/ledger")
+    result = run_once(spark, book, source(spark, [1, 2, 3]), classifier(), f"{tmp_path}/out", now=T0,
+                      window_hours=24, parallelism=1)
+    folder = f"{shared_root(spark).removeprefix('file:')}/staged/{result.staged}"
+    assert os.listdir(folder)
+    result.release()
+    assert not os.path.exists(folder) and book.read("processed_messages").count() == 3

@@ -60,14 +60,6 @@ def test_split_row_number_equals_a_plain_window(spark):
     assert joined.count() == 20000 and joined.where("n <> m").count() == 0
 
 
-def test_salted_join_keeps_the_rows(spark):
-    facts = spark.range(5000).select(F.lit("hot").alias("k"), F.col("id").alias("uid"))
-    dims = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, v int")
-    assert skew.salted_join(facts, dims, ["k"], "inner", ["uid"]).agg(F.sum("v")).first()[0] == 5000
-    assert skew.salted_join(facts, dims, ["k"], "left_anti", ["uid"]).count() == 0
-    assert skew.salted_join(facts, dims.where("k = 'cold'"), ["k"], "left", ["uid"]).count() == 5000
-
-
 def test_fetch_batches(spark):
     df = spark.createDataFrame([("a", "INBOX", u) for u in (5, 70000, 9, 200001, 7)] + [("b", "INBOX", 1)],
                                "account_label string, folder string, uid bigint")
@@ -256,12 +248,13 @@ def test_quiet_run_says_so(spark):
         ("a", "## Highlights\n— Nothing notable this run."), ("b", "## Highlights\n- Burst")]
 
 
-def test_too_long_a_digest_is_not_put_together(spark):
-    lines = digest.header_lines(spark.createDataFrame([("a", T0), ("b" * 99, T0)],
-                                                      "run_id string, generated_at timestamp_ntz"), DigestOptions())
-    got = {r.run_id[0]: r for r in digest.assemble(lines, max_bytes=100).collect()}
-    assert got["a"].payload is not None and got["a"].bytes == len(got["a"].payload.encode())
-    assert got["b"].payload is None and got["b"].bytes > 100
+def test_a_long_digest_is_whole(spark):
+    """No size turns a digest into a failed one."""
+    lines = spark.range(70).select(
+        F.lit("r").alias("run_id"), F.lit(5).alias("section"), F.lit("g").alias("grp"), F.col("id").alias("item"),
+        F.lit("").alias("key"), F.lit(0).alias("line"), F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    row = digest.assemble(lines).select("bytes", F.length("payload").alias("n"), "payload_hash").first()
+    assert row.bytes == 70 * (1 << 20) + 69 == row.n and row.payload_hash
 
 
 def test_prompt_never_reads_placeholders_in_mail(spark):
