@@ -25,22 +25,26 @@ THRESHOLD = 1
 LEAST = 20
 # Lines sharing a key before its pairs are no longer listed; windows per line and their least size.
 CROWD = 4
-WINDOWS, WINDOW = 32, 8
-# Rows up to which a table read from storage is sent to the other side of a join.
-SENT = 1_000_000
+WINDOWS, WINDOW = 16, 8
+# Rows up to which a narrow table read from storage is sent to the other side of a join.
+SENT = 200_000
 
 
 def _sent(df: DataFrame) -> DataFrame:
-    """``df`` from storage, broadcast if its rows are few; else joins shuffle both sides."""
+    """``df`` of ids and numbers from storage, broadcast if its rows are few; else joins shuffle both sides."""
     return F.broadcast(df) if df.limit(SENT + 1).count() <= SENT else df
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, hash, number, line): the compared lines of each document, numbers from 0."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("hash"),
-                       F.posexplode(F.split(whole(), "\n")).alias("number", "line"))
-    rows = rows.withColumn("line", F.regexp_replace("line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
-    return rows.where(F.length("line") >= LEAST)
+                       F.split(whole(), "\n").alias("lines"))
+    rows = rows.select("doc_id", "hash", F.posexplode("lines").alias("number", "line"))
+    return rows.withColumn("line", _trimmed(F.col("line"))).where(F.length("line") >= LEAST)
+
+
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def digest(line: Column) -> Column:
@@ -55,23 +59,25 @@ def segment(length: Column, number: int, threshold: int) -> tuple[Column, Column
     return (number * base + short + 1).cast("int"), (base + F.when(number >= parts - longer, 1).otherwise(0)).cast("int")
 
 
-def keys(line: Column, threshold: int) -> Column:
-    """array of struct(key, shift): the line's segments, and where segments of lines shorter by ``shift`` fit."""
+def _probes(threshold: int) -> list[tuple[int, int, int]]:
+    """(shift, segment, move) of each key: what a line, and lines longer by ``shift``, are looked up by."""
     out = []
-    size = F.length(line)
     for shift in range(threshold + 1):
-        length = size - shift
         for i in range(threshold + 1):
-            start, width = segment(length, i, threshold)
-            low = max(-i, shift - (threshold - i))
-            high = min(i, shift + (threshold - i))
-            for move in range(low, high + 1):
-                part = F.substring(line, start + move, width)
-                key = F.xxhash64(F.lit(i), length, part)
-                fits = (start + move >= 1) & (start + move + width - 1 <= size)
-                out.append(F.when(fits, F.struct(key.alias("key"), F.lit(shift).alias("shift"),
-                                                 F.lit(0 if shift or move else 1).alias("own"))))
-    return F.filter(F.array(*out), lambda k: k.isNotNull())
+            low, high = max(-i, shift - (threshold - i)), min(i, shift + (threshold - i))
+            out += [(shift, i, move) for move in range(low, high + 1)]
+    return out
+
+
+def keys(line: Column, threshold: int) -> Column:
+    """The line's own segments, and the substrings where segments of shorter lines fit, hashed; in the
+    order of ``_probes``, null where one does not fit."""
+    out, size = [], F.length(line)
+    for shift, i, move in _probes(threshold):
+        start, width = segment(size - shift, i, threshold)
+        key = F.xxhash64(F.lit(i), size - shift, F.substring(line, start + move, width))
+        out.append(F.when((start + move >= 1) & (start + move + width - 1 <= size), key))
+    return F.array(*out)
 
 
 def within(a: Column, b: Column, k: int) -> Column:
@@ -175,22 +181,23 @@ def links(distinct: DataFrame, texts, threshold: int = THRESHOLD, crowd: int = C
 
     ``distinct(id, keys)`` has the lines; ``texts(ids)`` fetches (id, line) for a stored table of ids.
     """
-    members = distinct.select("id", F.explode("keys").alias("k")).select("id", "k.*")
+    probes = _probes(threshold)
+    shifts = F.array(*[F.lit(shift) for shift, _, _ in probes])
+    owns = F.array(*[F.lit(int(shift == 0 and move == 0)) for shift, _, move in probes])
+    members = distinct.select("id", F.posexplode("keys").alias("at", "key")).where("key is not null").select(
+        "id", "key", F.get(shifts, F.col("at")).alias("shift"), F.get(owns, F.col("at")).alias("own"))
     few, many = _split(members, ["key"], crowd)
-    pairs = _pairs(few, ["key"])
-    stars = None
+    many = stage(many, "crowds")
+    pairs = stage(_pairs(few, ["key"]), "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(many.select("id"))
+    line = texts(stage(ids.distinct(), "candidate-ids"))
     if threshold == 1:
-        many = stage(many, "crowds")
-        lined = many.join(_sent(texts(stage(many.select("id").distinct(), "crowded"))), "id")
-        windowed = stage(_windowed(lined), "windows")
+        windowed = stage(_windowed(many.join(line, "id").repartition("id")), "windows")
         few, many = _split(windowed, ["key", "outer"], crowd)
-        pairs = pairs.union(_pairs(few, ["key", "outer"]))
-        stars = _stars(many)
+        pairs = pairs.union(_pairs(few, ["key", "outer"])).union(_stars(many))
     else:
         pairs = pairs.union(_pairs(many, ["key"]))
-    pairs = stage((pairs if stars is None else pairs.union(stars)).distinct(), "candidates")
-    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidate-ids")
-    line = _sent(texts(ids))
+    pairs = stage(pairs.distinct(), "candidates")
     both = pairs.join(line.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(
         line.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     return both.where(within(F.col("x"), F.col("y"), threshold)).select("a", "b")
@@ -198,23 +205,30 @@ def links(distinct: DataFrame, texts, threshold: int = THRESHOLD, crowd: int = C
 
 def decisions(docs: DataFrame, threshold: int = THRESHOLD, crowd: int = CROWD) -> DataFrame:
     """Repeated lines: (doc_id, hash, number, first_doc, first_number), the last two naming the line that stays."""
-    found = lines(docs)
-    seen = stage(found.select("doc_id", "hash", "number", digest(F.col("line")).alias("id")), "lines")
-    distinct = found.select(digest(F.col("line")).alias("id"), keys(F.col("line"), threshold).alias("keys"))
-    distinct = stage(distinct.groupBy("id").agg(F.any_value("keys").alias("keys")), "line-keys")
+    found = lines(docs).withColumn("id", digest(F.col("line")))
+    seen = stage(found.select("doc_id", "hash", "number", "id", keys(F.col("line"), threshold).alias("keys")), "lines")
+    distinct = stage(seen.select("id", "keys").distinct(), "line-keys")
+
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "hash", "number")
 
     def texts(ids: DataFrame) -> DataFrame:
-        every = found.select(digest(F.col("line")).alias("id"), "line")
-        return stage(every.join(_sent(ids), "id", "left_semi").distinct(), "texts")
+        """Candidate lines, read where each is first: their documents are found by id, not cut anew."""
+        at = seen.join(_sent(ids), "id", "left_semi").groupBy("id").agg(F.min(place).alias("at"))
+        at = _sent(stage(at.select("id", F.col("at.doc_id").alias("_id"), F.col("at.hash").alias("_h"), "at.number"), "places"))
+        same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h"))
+        line = _trimmed(F.get(F.split("text", "\n"), F.col("number")))
+        return stage(docs.select("doc_id", "text").join(at, same).select("id", line.alias("line")).distinct(), "texts")
 
     roots = stage(components(links(distinct, texts, threshold, crowd)), "classes")
-    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "hash", "number")
-    per_line = stage(seen.groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+    counts = seen.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    shared = stage(counts.union(roots.select("node")).distinct(), "shared")
+    seen = stage(seen.drop("keys").join(_sent(shared), "id"), "repeated")
+    per_line = stage(seen.groupBy("id").agg(F.min(place).alias("first")), "firsts")
     linked = per_line.join(_sent(roots.withColumnRenamed("node", "id")), "id")
     firsts = linked.groupBy("root").agg(F.min("first").alias("first"))
     linked = linked.drop("first").join(firsts, "root").select("id", "first")
-    again = per_line.where("n > 1").join(_sent(roots.select(F.col("node").alias("id"))), "id", "left_anti")
-    classes = stage(linked.union(again.select("id", "first")), "line-classes")
+    alone = per_line.join(_sent(roots.select(F.col("node").alias("id"))), "id", "left_anti")
+    classes = stage(linked.union(alone), "line-classes")
     rows = seen.join(_sent(classes), "id")
     return rows.where(~place.eqNullSafe(F.col("first"))).select(
         "doc_id", "hash", "number", F.col("first.doc_id").alias("first_doc"), F.col("first.number").alias("first_number"))
