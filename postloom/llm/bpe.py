@@ -25,7 +25,9 @@ from postloom.llm.common import stage, whole
 # Bounds of the table of frequent words: entries, and bytes of a word.
 FREQUENT = 1 << 18
 LONG = 256
-_BUCKETS = 16_381
+# Documents whose ids are put together at once; long texts come in smaller batches anyway.
+ROWS = 1024
+_BUCKETS = 8_191
 _BITS = 20
 _SHIFT = 1 << _BITS
 _NONE = _SHIFT - 2
@@ -38,27 +40,23 @@ class Ranks:
         with open(path, "rb") as lines:
             self.ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         # Rank map from (left id, right id) to the rank of both joined, as a literal: buckets that list
-        # a key and, behind it, its rank. A key is never as small as a rank.
+        # a key and, behind it, its rank. A key is never as small as a rank. The bytes of a token merge
+        # in the same order alone and inside a word, so it is only ever made from one pair.
         buckets: list[list[int]] = [[] for _ in range(_BUCKETS)]
         for token, rank in self.ids.items():
-            for cut in range(1, len(token)):
-                left, right = self.ids.get(token[:cut]), self.ids.get(token[cut:])
-                if left is not None and right is not None:
-                    key = (left + 1) * _SHIFT + right
-                    buckets[key % _BUCKETS] += [key, rank]
+            pair = merge(token, self.ids, 2) if len(token) > 1 else []
+            if len(pair) == 2:
+                key = (pair[0] + 1) * _SHIFT + pair[1]
+                buckets[key % _BUCKETS] += [key, rank]
         self._map = F.from_json(F.lit(json.dumps(buckets)), "array<array<bigint>>")
         self._bytes = F.from_json(F.lit(json.dumps([self.ids[bytes([b])] for b in range(256)])), "array<bigint>")
-        pieces = [""] * (max(self.ids.values()) + 1)
-        for token, rank in self.ids.items():
-            pieces[rank] = token.hex()
-        self._pieces = F.split(F.lit(",".join(pieces)), ",")
 
     def pair(self, left: Column, right: Column) -> Column:
         """Rank of two adjacent pieces joined, or null."""
         key = (left + 1) * _SHIFT + right
         bucket = F.get(self._map, F.pmod(key, F.lit(_BUCKETS)).cast("int"))
-        at = F.array_position(bucket, key).cast("int")
-        return F.when(at > 0, F.get(bucket, at))
+        return _let(bucket, lambda b: _let(F.array_position(b, key).cast("int"), lambda at: F.when(
+            at > 0, F.get(b, at))))
 
     def encode_word(self, word: Column) -> Column:
         """Ids of a non-empty word: the leftmost pair of least rank merges until none has a rank.
@@ -98,24 +96,20 @@ class Ranks:
         return F.aggregate(ids, ids, lambda q, _: step(q), lambda q: F.transform(
             q, lambda x: (x % _SHIFT).cast("int")))
 
-    def decode(self, ids: Column) -> Column:
-        """Bytes of a list of ids: their pieces, concatenated in hex."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self._pieces, i)), ""))
-
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` over a value that is computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of a word by the same merges, over a list while it is short."""
+def merge(word: bytes, ranks: dict[bytes, int], until: int = 1) -> list[int]:
+    """Ids of a word by the same merges, over a list while it is short; down to ``until`` pieces."""
     if len(word) > LONG:
         return heap_merge(word, ranks)
     get, none = ranks.get, len(ranks) << 1
     parts = [word[i:i + 1] for i in range(len(word))]
     pairs = [get(word[i:i + 2], none) for i in range(len(word) - 1)]
-    while pairs and (least := min(pairs)) < none:
+    while len(parts) > until and (least := min(pairs)) < none:
         i = pairs.index(least)
         parts[i] += parts.pop(i + 1)
         del pairs[i]
@@ -170,8 +164,26 @@ def frequent_words(docs: DataFrame, ranks: Ranks, pattern: str, limit: int = FRE
             break
         least, total = size, total + n
     chosen = counts.where(F.lit(False) if least is None else F.col("size") >= least)
-    # Every task receives the literal: few tasks, of bounded size because the table is.
-    return chosen.coalesce(12).select("word", ranks.encode_word(F.col("word")).alias("ids")).toArrow()
+    # Every task receives the literal: few tasks, of bounded size because the table is. The driver
+    # lists the plan of each query; this one is cut short there, or its literal would take megabytes.
+    conf = docs.sparkSession.conf
+    brief = {"spark.sql.maxPlanStringLength": "20000", "spark.sql.ui.explainMode": "simple"}
+    before = {name: conf.get(name) for name in brief}
+    try:
+        for name, value in brief.items():
+            conf.set(name, value)
+        return chosen.coalesce(12).select("word", ranks.encode_word(F.col("word")).alias("ids")).toArrow()
+    finally:
+        for name, value in before.items():
+            conf.set(name, value)
+
+
+def joined_pieces(tokens: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes of the ids between each two bounds: their binary pieces, concatenated."""
+    pieces = tokens.take(pa.array(ids))
+    ends = np.append(0, np.cumsum(pc.binary_length(pieces).to_numpy()))
+    places = pa.array(ends[bounds], pa.int32())
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, places.buffers()[1], pieces.buffers()[2]])
 
 
 def _look_up(known: pa.Table, ranks: dict[bytes, int]):
@@ -181,7 +193,11 @@ def _look_up(known: pa.Table, ranks: dict[bytes, int]):
         words = known["word"].combine_chunks()
         lists = known["ids"].combine_chunks()
         flat_ids, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
-        for batch in batches:
+        by_id = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            by_id[rank] = token
+        tokens = pa.array(by_id, pa.binary())
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, len(b), ROWS)):
             column = batch.column("_pieces")
             flat, bounds = column.flatten(), np.append(0, np.cumsum(column.value_lengths().to_numpy()))
             at = np.array(pc.fill_null(pc.index_in(flat, value_set=words), -1))
@@ -198,13 +214,15 @@ def _look_up(known: pa.Table, ranks: dict[bytes, int]):
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"),
                 "ids": pa.ListArray.from_arrays(places, pa.array(ids, pa.int32())),
-                "packed": pa.Array.from_buffers(pa.binary(), len(batch), [None, bytes_at.buffers()[1], raw])})
+                "packed": pa.Array.from_buffers(pa.binary(), len(batch), [None, bytes_at.buffers()[1], raw]),
+                "decoded": joined_pieces(tokens, ids, ends[bounds])})
 
     return run
 
 
 def encode(docs: DataFrame, ranks: Ranks, pattern: str, limit: int = FREQUENT) -> DataFrame:
-    """(doc_id, ids, packed) per document; packed has the ids as little-endian 32-bit integers."""
+    """(doc_id, ids, packed, decoded) per document: packed has the ids as little-endian 32-bit integers,
+    decoded the bytes that the ids stand for."""
     known = frequent_words(docs, ranks, pattern, limit)
     shared = docs.sparkSession.sparkContext.broadcast((known, ranks.ids))
     split = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), pieces(whole(), pattern).alias("_pieces"))
@@ -212,7 +230,7 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str, limit: int = FREQUENT) -
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _look_up(*shared.value)(batches)
 
-    return split.mapInArrow(look_up, "doc_id bigint, ids array<int>, packed binary")
+    return split.mapInArrow(look_up, "doc_id bigint, ids array<int>, packed binary, decoded binary")
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -220,4 +238,4 @@ def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     ranks = Ranks(path)
     return encode(docs, ranks, pattern).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                       F.sha2("packed", 256).alias("ids_sha256"),
-                      F.sha2(ranks.decode(F.col("ids")), 256).alias("decoded_sha256"))
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
