@@ -23,9 +23,10 @@ from postloom.llm.common import components, packed, stage, whole
 
 THRESHOLD = 1
 LEAST = 20
-# Lines sharing a key before its pairs are no longer listed; windows per line and their least size.
+# Lines sharing a key before its pairs are no longer listed; least width of a window. A window is as wide
+# as the root of the length: that makes the fewest keys over windows and the characters in them.
 CROWD = 4
-WINDOWS, WINDOW = 16, 8
+WINDOW = 8
 # Rows up to which a narrow table read from storage is sent to the other side of a join.
 SENT = 200_000
 
@@ -147,7 +148,7 @@ def _split(members: DataFrame, by: list[str], crowd: int) -> tuple[DataFrame, Da
 def _windowed(members: DataFrame) -> DataFrame:
     """Members with a key per window: all of the line but the window."""
     length = F.length("line") - F.col("shift")
-    width = F.greatest(F.ceil(length / WINDOWS), F.lit(WINDOW)).cast("int")
+    width = F.greatest(F.ceil(F.sqrt(length)), F.lit(WINDOW)).cast("int")
     at = F.explode(F.sequence(F.lit(0), (F.ceil(length / width) - 1).cast("int")))
     rows = members.withColumn("width", width).withColumn("window", at)
     first = F.col("window") * F.col("width")
