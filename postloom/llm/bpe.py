@@ -26,7 +26,8 @@ from postloom.llm.common import stage, whole
 FREQUENT = 1 << 18
 LONG = 256
 # Documents whose ids are put together at once; long texts come in smaller batches anyway.
-ROWS = 1024
+ROWS = 512
+ARROW_BYTES = "8m"
 _BUCKETS = 8_191
 _BITS = 20
 _SHIFT = 1 << _BITS
@@ -226,6 +227,8 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str, limit: int = FREQUENT) -
     known = frequent_words(docs, ranks, pattern, limit)
     shared = docs.sparkSession.sparkContext.broadcast((known, ranks.ids))
     split = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), pieces(whole(), pattern).alias("_pieces"))
+    # Lists of words are several times their text: small Arrow batches keep JVM and Python workers small.
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _look_up(*shared.value)(batches)
