@@ -2,9 +2,10 @@
 
 Lines of at least ``LEAST`` code points are compared without white space at their ends; lines within
 ``THRESHOLD`` edits of each other are linked, and of each class of linked lines the first in order of
-(doc_id, text hash, line number) stays. Shorter lines are left alone. A line is cut into threshold-plus-one
-segments; its own segments, and for each shorter length the substrings where such a segment could lie,
-are its keys. Lines that share a key are candidates, verified by banded bit-parallel edit distance.
+(doc_id, text hash, line number) stays. Shorter lines repeat only exact copies; blank lines stay. A line is
+cut into threshold-plus-one segments; its own segments, and for each shorter length the substrings where such
+a segment could lie, are its keys. Lines that share a key are candidates, verified by banded bit-parallel
+edit distance.
 
 Keys and line digests move, texts only for candidates. A key shared by many lines is refined for one edit:
 two such lines agree on all but one window, so window keys split it, and within one window all but one
@@ -36,12 +37,12 @@ def _sent(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SENT + 1).count() <= SENT else df
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, hash, number, line): the compared lines of each document, numbers from 0."""
+def lines(docs: DataFrame, shortest: int = LEAST) -> DataFrame:
+    """(doc_id, hash, number, line): the lines of each document from some length on, numbers from 0."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("hash"),
                        F.split(whole(), "\n").alias("lines"))
     rows = rows.select("doc_id", "hash", F.posexplode("lines").alias("number", "line"))
-    return rows.withColumn("line", _trimmed(F.col("line"))).where(F.length("line") >= LEAST)
+    return rows.withColumn("line", _trimmed(F.col("line"))).where(F.length("line") >= shortest)
 
 
 def _trimmed(line: Column) -> Column:
@@ -204,11 +205,15 @@ def links(distinct: DataFrame, texts, threshold: int = THRESHOLD, crowd: int = C
     return both.where(within(F.col("x"), F.col("y"), threshold)).select("a", "b")
 
 
-def decisions(docs: DataFrame, threshold: int = THRESHOLD, crowd: int = CROWD) -> DataFrame:
-    """Repeated lines: (doc_id, hash, number, first_doc, first_number), the last two naming the line that stays."""
-    found = lines(docs).withColumn("id", digest(F.col("line")))
-    seen = stage(found.select("doc_id", "hash", "number", "id", keys(F.col("line"), threshold).alias("keys")), "lines")
-    distinct = stage(seen.select("id", "keys").distinct(), "line-keys")
+def decisions(docs: DataFrame, threshold: int = THRESHOLD, crowd: int = CROWD, shortest: int = LEAST) -> DataFrame:
+    """Repeated lines: (doc_id, hash, number, first_doc, first_number), the last two naming the line that stays.
+
+    Lines from ``shortest`` up to ``LEAST`` code points have no keys: they meet their exact copies alone.
+    """
+    found = lines(docs, shortest).withColumn("id", digest(F.col("line")))
+    joined = F.when(F.length("line") >= LEAST, keys(F.col("line"), threshold))
+    seen = stage(found.select("doc_id", "hash", "number", "id", joined.alias("keys")), "lines")
+    distinct = stage(seen.where("keys is not null").select("id", "keys").distinct(), "line-keys")
 
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "hash", "number")
 
@@ -237,7 +242,7 @@ def decisions(docs: DataFrame, threshold: int = THRESHOLD, crowd: int = CROWD) -
 
 def dropped(docs: DataFrame) -> DataFrame:
     """(doc_id, hash, drop): per document the repeated lines, sorted (number, first_doc, first_number)."""
-    rows = decisions(docs).groupBy("doc_id", "hash").agg(F.sort_array(F.collect_set(F.struct(
+    rows = decisions(docs, shortest=1).groupBy("doc_id", "hash").agg(F.sort_array(F.collect_set(F.struct(
         "number", "first_doc", "first_number"))).alias("drop"))
     return stage(rows, "dropped")
 

@@ -89,6 +89,15 @@ def test_documents(documents):
     assert got == expected(docs, lines.THRESHOLD)
 
 
+def test_short_lines(spark):
+    docs = [(1, "Hi there.\n\n漢字かな交じり文\nabc"), (2, "abd\n Hi there. \n\nHi there!"), (3, "漢字かな交じり文"),
+            (None, "Hi there.\nabc"), (None, None)]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    left = {(r.doc_id, r.text) for r in lines.drop_repeated_lines(table).collect()}
+    assert left == {(1, docs[0][1]), (2, "abd\n\nHi there!"), (3, ""), (None, ""), (None, None)}
+    assert {r.doc_id: r.dropped for r in lines.line_digests(table).where("doc_id > 1").collect()} == {2: "1>1:0", 3: "0>1:2"}
+
+
 def test_edges(edges, nothing):
     out = lines.drop_repeated_lines(edges)
     assert out.columns == edges.columns and out.count() == edges.count()
