@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from postloom.llm.common import whole
 
 # Kinds in their order for equal starts; the first three are the base patterns.
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_upper_hex", "entropy_lower", "entropy_upper")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LEAST = 6
 # A run of the class matches whole and left to right, so the least length can stand in the pattern.
@@ -25,11 +25,14 @@ HEX = r"[0-9a-f]{24,}"
 
 WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-# Character class, its alphabet, and the entropy in bits that a window must reach.
+# Character class, its alphabet, and the entropy in bits that a window must reach: the fewer symbols, the less.
 CLASSES = {
     "entropy_hex": (r"[0-9a-f]{20,}", "0123456789abcdef", 3.0),
     "entropy_base64": (r"[A-Za-z0-9+/_=-]{20,}",
                        "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.9),
+    "entropy_upper_hex": (r"[0-9A-F]{20,}", "0123456789ABCDEF", 3.0),
+    "entropy_lower": (r"[a-z0-9]{20,}", "abcdefghijklmnopqrstuvwxyz0123456789", 3.5),
+    "entropy_upper": (r"[A-Z0-9]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 3.5),
 }
 # Words of one case, ruled lines, paths of words, numbers and dates, UUIDs, and stated examples.
 ALLOWED = (r"[A-Z]?[a-z/_=+-]+", r"[A-Z/_=+-]+", r"[0-9TZ:./_+-]+",

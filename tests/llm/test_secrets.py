@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 
 from postloom.llm import secrets
@@ -70,6 +71,18 @@ def test_documents(documents):
     check([r.text or "" for r in rows], secrets.secret_spans(documents).orderBy("doc_id").collect())
 
 
+def test_random_keys_of_one_case(spark):
+    rng, base32, base36 = random.Random(3), "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789"
+    kinds = [(alphabet, n) for alphabet, ns in (("0123456789ABCDEF", (32, 40, 64)), (base32, (32,)), (base36, (32,))) for n in ns]
+    cases = ["a key " + "".join(rng.choice(a) for _ in range(n)) + " alone" for a, n in kinds for _ in range(100)]
+    cases += ["SOMELONGHEADLINEOFUPPERCASELETTERS", "somelongwordoflowercaseletters", "A0" * 20, "AB" * 20]
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id bigint, text string")
+    found = [r.spans != "" for r in secrets.secret_spans(docs).orderBy("doc_id").collect()]
+    shares = [sum(found[k:k + 100]) for k in range(0, 500, 100)]
+    assert all(s >= 99 for s in shares), shares
+    assert not any(found[500:])
+
+
 def test_edges(edges, nothing):
     assert secrets.secret_spans(edges).count() == edges.count()
     assert secrets.secret_spans(nothing).count() == 0
