@@ -32,6 +32,21 @@ def test_every_template_is_found_anywhere(spark):
     assert all(out[k].get(n) == 1.0 for k, n in enumerate(names))
 
 
+def test_common_licenses(spark):
+    gnu = "under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or"
+    cases = {gnu.format("General Public License", 2): "gpl-2.0-header",
+             gnu.format("Lesser General Public License", 2.1): "lgpl-2.1-header",
+             gnu.format("Lesser General Public License", 3): "lgpl-3.0-header",
+             gnu.format("Affero General Public License", 3): "agpl-3.0-header",
+             "Foo is licensed under the MIT License, see below": "mit-licensed-note",
+             "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by-4.0-work",
+             "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa-4.0-work",
+             "All of it is licensed under CC BY-SA 4.0": "cc-by-sa-4.0-note",
+             "To the extent possible under law, Ann has waived all copyright and related or neighboring rights to Foo": "cc0-1.0-waiver"}
+    out = plain(spark, list(cases))
+    assert [out[k] for k in range(len(cases))] == [{name: 1.0} for name in cases.values()]
+
+
 def test_documents(documents, data):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
