@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import bpe, chat, exact, fingerprints, language, licenses, lines, mixing, secrets, simhash
+from postloom.llm import (audit, bpe, chat, exact, fingerprints, language, licenses, lines, mixing, periods, secrets,
+                          simhash)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +102,42 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
 @query("op10_language_id", "documents")
 def language_id(docs: DataFrame) -> DataFrame:
     return language.predict_languages(docs)
+
+
+@query("op12_periodic_runs", "documents")
+def periodic_runs(docs: DataFrame) -> DataFrame:
+    return periods.run_digests(docs)
+
+
+def filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(spark.read.parquet(f"{sf_dir}/documents.parquet"),
+                              spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES["op13_filter_audit"] = filter_audit
+ORACLES["op13_filter_audit"] = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+d AS (SELECT t.doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 3 * length(x) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN t.doc_id > min(t.doc_id) OVER (PARTITION BY x) THEN 'E' ELSE '' END AS fails
+    FROM t LEFT JOIN (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id) l
+    ON l.doc_id = t.doc_id),
+g AS (SELECT part, good, toxic, fails, count(*) AS n FROM d GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k),
+o AS (SELECT a.k || b.k || c.k || d.k || e.k AS filter_order FROM f a, f b, f c, f d, f e
+    WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s AS (SELECT part, filter_order, step, good, toxic, n, contains(fails, filter_order[step]) AS hit, fails = filter_order[step] AS sole,
+    len(list_filter([1, 2, 3, 4], i -> i < step AND contains(fails, filter_order[i]))) > 0 AS gone,
+    CASE WHEN contains(fails, filter_order[step]) THEN 120 // length(fails) * n ELSE 0 END AS share
+    FROM g, o, (SELECT unnest([1, 2, 3, 4, 5]) AS step))
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(sum(CASE WHEN NOT gone AND NOT hit THEN n ELSE 0 END) AS BIGINT) AS kept,
+    CAST(sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS removed,
+    CAST(sum(CASE WHEN hit AND gone THEN n ELSE 0 END) AS BIGINT) AS redundant,
+    CAST(sum(CASE WHEN sole THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+    CAST(sum(CASE WHEN hit AND NOT gone AND good THEN n ELSE 0 END) AS BIGINT) AS good_lost,
+    CAST(sum(CASE WHEN hit AND NOT gone AND toxic THEN n ELSE 0 END) AS BIGINT) AS toxic_lost,
+    CAST(sum(share) AS BIGINT) AS shapley
+FROM s GROUP BY part, filter_order, step"""
