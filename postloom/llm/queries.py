@@ -130,7 +130,7 @@ f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k),
 o AS (SELECT a.k || b.k || c.k || d.k || e.k AS filter_order FROM f a, f b, f c, f d, f e
     WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
 s AS (SELECT part, filter_order, step, good, toxic, n, contains(fails, filter_order[step]) AS hit, fails = filter_order[step] AS sole,
-    len(list_filter([1, 2, 3, 4], i -> i < step AND contains(fails, filter_order[i]))) > 0 AS gone,
+    regexp_matches(fails, '[' || left(filter_order, step - 1) || '_]') AS gone,
     CASE WHEN contains(fails, filter_order[step]) THEN 120 // length(fails) * n ELSE 0 END AS share
     FROM g, o, (SELECT unnest([1, 2, 3, 4, 5]) AS step))
 SELECT part, filter_order, CAST(step AS INT) AS step, CAST(sum(CASE WHEN NOT gone AND NOT hit THEN n ELSE 0 END) AS BIGINT) AS kept,
