@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import (audit, bpe, chat, exact, fingerprints, language, licenses, lines, mixing, periods, secrets,
-                          simhash)
+from postloom.llm import (audit, bpe, chat, exact, fingerprints, language, licenses, lines, mixing, neighbours, periods,
+                          secrets, simhash)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -141,3 +141,8 @@ SELECT part, filter_order, CAST(step AS INT) AS step, CAST(sum(CASE WHEN NOT gon
     CAST(sum(CASE WHEN hit AND NOT gone AND toxic THEN n ELSE 0 END) AS BIGINT) AS toxic_lost,
     CAST(sum(share) AS BIGINT) AS shapley
 FROM s GROUP BY part, filter_order, step"""
+
+
+@query("op11_nearest_neighbours", "embeddings")
+def nearest_neighbours(embeddings: DataFrame) -> DataFrame:
+    return neighbours.nearest_neighbours(embeddings)
