@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from postloom.catalog import query
@@ -9,7 +11,9 @@ from postloom.functions import address, dates
 from postloom.operators import flags, messages, ranking, replies, stats
 from postloom.operators.messages import RUN_KEY
 from postloom.plans.tables import Tables
+from postloom.session import shared_root
 from postloom.sources import ledger, mime
+from postloom.sources.landing import Landing
 
 SINCE = "2024-01-03 00:00:00"
 
@@ -23,6 +27,31 @@ def _(t: Tables):
         "account_label", "uid", "folder", "internal_date", "is_read")
 
 
+def landed(t: Tables) -> Landing:
+    """All messages in a landing table."""
+    columns = ["account_label", "uid", "folder", "internal_date", "is_read"]
+    rows = t.messages.select(*columns)
+    table = Landing(t.spark, f"{shared_root(t.spark)}/landing/{uuid.uuid4().hex}", rows.schema)
+    table.write(rows)
+    return table
+
+
+@query("src_01_landed_window", f"""
+SELECT account_label, uid, folder, internal_date, is_read FROM messages
+WHERE internal_date >= TIMESTAMP '{SINCE}'""")
+def _(t: Tables):
+    return landed(t).since(F.lit(SINCE).cast("timestamp_ntz"))
+
+
+@query("src_01_landed_run_windows", """
+SELECT r.id AS run_id, m.account_label, m.uid FROM runs r
+JOIN messages m ON m.internal_date >= r.started_at AND m.internal_date <= r.finished_at WHERE r.status = 'completed'""")
+def _(t: Tables):
+    windows = t.runs.where(F.col("status") == "completed").select(
+        F.col("id").alias("run_id"), F.col("started_at").alias("since"), F.col("finished_at").alias("until"))
+    return landed(t).windows(windows).select("run_id", "account_label", "uid")
+
+
 @query("src_02_unread_only", f"""
 SELECT account_label, uid, internal_date FROM messages
 WHERE internal_date >= TIMESTAMP '{SINCE}' AND NOT is_read""")
@@ -163,6 +192,15 @@ def _(t: Tables):
     return messages.already_processed(t.messages.select("account_label", "uid"), t.processed_messages)
 
 
+@query("join_01_ledger_lookup", """
+SELECT m.run_id, m.account_label, m.uid FROM messages m WHERE NOT EXISTS (
+  SELECT 1 FROM processed_messages p WHERE p.account_label = m.account_label AND p.uid = m.uid)""")
+def _(t: Tables):
+    book = ledger.Ledger(t.spark, f"{shared_root(t.spark)}/ledgers/{uuid.uuid4().hex}")
+    book.record_messages(t.processed_messages.withColumn("digest_excerpt", F.lit("")))
+    return messages.skip_processed(t.messages, book.lookup("processed_messages", t.messages)).select(*RUN_KEY)
+
+
 @query("join_02_classification_lookup", """
 SELECT m.run_id, m.account_label, m.uid, coalesce(c.label, 'Unknown') AS label, c.uid IS NOT NULL AS classified
 FROM messages m LEFT JOIN classifications c
