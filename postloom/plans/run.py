@@ -80,9 +80,8 @@ def _run_once(spark: SparkSession, ledger: Ledger, ingest: Ingest, provider: Cal
     landed, status = (df.withColumn("run_id", run_id) for df in ingest(since))
     fetched = stage(messages.search_window(landed, F.lit(since).cast("timestamp_ntz")), "landed")
     status = stage(status, "status")
-    # the ledger is long, the fetch short: keep the recorded keys that were fetched again
-    known = stage(messages.already_processed(
-        ledger.read("processed_messages").select(*messages.KEY), fetched), "known")
+    # the ledger is long, the fetch short: only files that may hold a fetched key are read
+    known = stage(ledger.lookup("processed_messages", fetched), "known")
     _, fresh = plan.select_messages(fetched, status, known, options)
     requests, answers = classify_all(fresh, provider, options, template, parallelism)
     runs = ledger.runs().select("id", "finished_at", "status")

@@ -1,45 +1,58 @@
 """Ledger tables on shared storage, with idempotent sinks.
 
-One writer appends to a ledger at a time. Every sink can be repeated after a failure: inserts skip
-keys already stored, a newer snapshot of a run supersedes the older one, and run states are a
-versioned log. Tables only grow by appends, so a reader never meets a half-replaced file.
+Every write is a commit of new segments (``versions``): readers see all of it or nothing, and keep their version. Every
+sink can be repeated after a failure: inserts skip keys already stored, a newer snapshot of a run supersedes the
+older one, and run states are a versioned log. Segments of like size are merged as they add up, so a table has few
+files whatever the number of writes; what is superseded goes in the merge. One writer appends to a ledger at a time;
+a second one fails.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom import schemas
 from postloom.session import stage
+from postloom.sources import keyed
+from postloom.sources.versions import Segment, State, Versions
 
 SNAPSHOT_TABLES = ("run_digest_label_counts", "run_digest_sender_counts",
                    "run_digest_domain_counts", "run_digest_summaries")
+KEYS = {"processed_messages": ["account_label", "uid"], "flags_applied": ["account_label", "uid", "flag"]}
+FIRST_BY = {"processed_messages": ["processed_at", "run_id", "classification", "digest_excerpt"],
+            "flags_applied": ["applied_at"]}
+# So many neighbouring segments of like size are merged; a segment is of the next size with so many times the rows.
+MERGE = 8
+SMALL = 1_000
 
 
-def first_writes(new: DataFrame, stored: DataFrame, keys: list[str],
-                 order: list[str]) -> DataFrame:
-    """Rows of ``new`` whose key is not stored yet, one per key (the smallest in ``order``).
-
-    The stored keys are cut to those of ``new`` first. A batch is small beside the ledger, so Spark
-    broadcasts its keys and the ledger is scanned but not shuffled.
-    """
+def once_per_key(new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row of ``new`` per key, the smallest in ``order``."""
     value = [c for c in new.columns if c not in keys]
     once = new.groupBy(*keys).agg(F.min_by(F.struct(*value), F.struct(*order)).alias("v"))
-    known = stored.select(*keys).join(new.select(*keys), keys, "left_semi")
-    return once.select(*keys, "v.*").join(known, keys, "left_anti").select(*new.columns)
+    return once.select(*keys, "v.*").select(*new.columns)
 
 
-def current_runs(log: DataFrame) -> DataFrame:
-    """Latest state of every run. Fields a later change leaves null keep their value."""
+def latest_fields(log: DataFrame) -> DataFrame:
+    """One row per run: its highest version, and of each field the last value that is not null."""
     fields = ("started_at", "finished_at", "status", "message_count", "error")
 
     def latest(name: str):
         return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("version"))).alias(name)
 
-    return log.groupBy("id").agg(*[latest(f) for f in fields]).select(
+    return log.groupBy("id").agg(*[latest(f) for f in fields], F.max("version").alias("version"))
+
+
+def current_runs(log: DataFrame) -> DataFrame:
+    """Latest state of every run. Fields a later change leaves null keep their value."""
+    return latest_fields(log).select(
         "id", "started_at", "finished_at", "status",
         F.coalesce("message_count", F.lit(0).cast("bigint")).alias("message_count"),
         F.coalesce("error", F.lit("")).alias("error"))
@@ -57,7 +70,7 @@ def new_runs(requests: DataFrame, now) -> DataFrame:
 
 def unknown_updates(log: DataFrame, updates: DataFrame) -> DataFrame:
     """Updates that name no recorded run."""
-    return updates.join(log.where(F.col("version") == 0).select("id"), "id", "left_anti")
+    return updates.join(log.select("id"), "id", "left_anti")
 
 
 def snapshot_counts(counts: DataFrame, key: str) -> DataFrame:
@@ -75,28 +88,157 @@ def get_run(runs: DataFrame, run_id: str) -> DataFrame:
     return runs.where(F.col("id") == run_id)
 
 
+def latest_snapshots(headers: DataFrame) -> DataFrame:
+    """The header with the highest number of every run."""
+    value = [c for c in headers.columns if c not in ("run_id", "seq")]
+    return headers.groupBy("run_id").agg(F.max_by(F.struct(*value), "seq").alias("v"), F.max("seq").alias("seq")).select(
+        "run_id", "v.*", "seq")
+
+
+def mergeable(segments: tuple[Segment, ...], least: int = MERGE) -> tuple[int, int] | None:
+    """The first longest stretch of ``least`` or more neighbouring segments up to some size, smallest sizes first.
+
+    Stretches keep the commit order, as later rows of a log go before earlier ones. One large segment among small
+    ones, half of the stretch's rows and more, is not written again for them.
+    """
+    sizes = [max(0, int(math.log(max(1, s.rows) / SMALL, least)) + 1) if s.rows > SMALL else 0 for s in segments]
+    for size in sorted(set(sizes)):
+        best, start = None, 0
+        for k in range(len(sizes) + 1):
+            if k == len(sizes) or sizes[k] > size:
+                rows = [s.rows for s in segments[start:k]]
+                if len(rows) >= least and sum(rows) >= 2 * max(rows) and (best is None or len(rows) > best[1] - best[0]):
+                    best = (start, k)
+                start = k + 1
+        if best:
+            return best
+    return None
+
+
 class Ledger:
-    """The eight ledger tables below one folder."""
+    """The eight ledger tables below one folder.
 
-    def __init__(self, spark: SparkSession, root: str):
+    ``keep_hours`` is how long readers may use a version after it was superseded.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keep_hours: float = 24.0):
         self.spark = spark
-        self.root = root.rstrip("/")
-        self._made: set[str] = set()
+        self.versions = Versions(spark, root)
+        self.keep_hours = keep_hours
+        self._open: State | None = None
+
+    @property
+    def root(self) -> str:
+        return self.versions.root
+
+    def state(self) -> State:
+        """The newest version, or within a transaction what it has written so far."""
+        return self._open if self._open is not None else self.versions.latest()
 
-    def path(self, table: str) -> str:
-        return f"{self.root}/{table}"
+    def read(self, table: str, state: State | None = None) -> DataFrame:
+        """A stored table, by default of the newest version; empty with the declared schema before the first write."""
+        return self._read(table, (state or self.state()).segments(table))
 
-    def read(self, table: str) -> DataFrame:
-        """A stored table; empty with the declared schema before the first write."""
+    def _read(self, table: str, segments: tuple[Segment, ...]) -> DataFrame:
         schema = schemas.LEDGER[table]
-        if table not in self._made:
-            self.spark.createDataFrame([], schema).write.mode("ignore").parquet(self.path(table))
-            self._made.add(table)
-        return self.spark.read.schema(schema).parquet(self.path(table))
+        if not segments:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{table}/{s.name}" for s in segments])
 
-    def _append(self, table: str, rows: DataFrame) -> None:
+    def lookup(self, table: str, keys: DataFrame) -> DataFrame:
+        """Those of ``keys`` that a keyed table holds, each once; only files that may hold one are read."""
+        return keyed.lookup(keys, KEYS[table], self.versions, table, self.state().segments(table),
+                            schemas.LEDGER[table])
+
+    @contextmanager
+    def transaction(self, stream: str | None = None, batch: int = -1) -> Iterator[bool]:
+        """All writes inside are one commit, with the number of a stream's batch where one is named.
+
+        Gives False where that batch is in the ledger already; the block must then write nothing. An error inside
+        leaves the ledger as it was.
+        """
+        if self._open is not None:
+            raise RuntimeError("transactions do not nest")
+        start = self.versions.latest()
+        if stream is not None and start.batches.get(stream, -1) >= batch:
+            yield False
+            return
+        self._open = start if stream is None else replace(start, batches={**start.batches, stream: batch})
+        try:
+            yield True
+            done = self._open
+        finally:
+            self._open = None
+        if done != start:
+            self.versions.commit(done)
+            self.compact()
+
+    def _publish(self, added: dict[str, Segment]) -> None:
+        """Append segments, in one commit of their own or in the open transaction."""
+        state = self.state()
+        for table, segment in added.items():
+            if segment.rows:
+                state = state.with_table(table, (*state.segments(table), segment))
+        if self._open is not None:
+            self._open = state
+        elif any(s.rows for s in added.values()):
+            self.versions.commit(state)
+            self.compact()
+
+    def _segment(self, table: str, rows: DataFrame, most_rows: int | None = None) -> Segment:
+        """Write rows as a new segment that no version has yet."""
         names = [f.split()[0] for f in schemas.LEDGER[table].split(", ")]
-        rows.select(*names).write.mode("append").parquet(self.path(table))
+        name = uuid.uuid4().hex
+        path = f"{self.root}/{table}/{name}"
+        rows = rows.select(*names)
+        if table in KEYS:
+            most_rows = rows.count() if most_rows is None else most_rows
+            counts = keyed.write(rows, KEYS[table], path, f"{self.root}/_filters/{table}/{name}", most_rows)
+            return Segment(name, *counts)
+        rows.write.parquet(path)
+        return Segment(name, self.spark.read.schema(schemas.LEDGER[table]).parquet(path).count())
+
+    def _append(self, table: str, rows: DataFrame) -> None:
+        self._publish({table: self._segment(table, rows)})
+
+    def _insert(self, table: str, rows: DataFrame) -> None:
+        """Append rows whose key is not stored yet, one per key. The rows are computed once."""
+        once = stage(once_per_key(rows, KEYS[table], FIRST_BY[table]), table)
+        fresh = once.join(self.lookup(table, once), KEYS[table], "left_anti")
+        self._publish({table: self._segment(table, fresh, once.count())})
+
+    def compact(self, least: int = MERGE) -> None:
+        """Merge stretches of like segments until there are none, each by a commit, then retire old versions.
+
+        A failure leaves the version before; a reader is not disturbed. Of the runs log the latest fields stay,
+        of snapshots those that are not superseded.
+        """
+        merged = False
+        for table in schemas.LEDGER:
+            while stretch := mergeable(self.versions.latest().segments(table), least):
+                state, (start, end) = self.versions.latest(), stretch
+                segments = state.segments(table)
+                rows = self._read(table, segments[start:end])
+                if table == "runs":
+                    rows = latest_fields(rows)
+                elif table == "run_digest_summaries":
+                    rows = latest_snapshots(rows)
+                elif table in SNAPSHOT_TABLES:
+                    latest = latest_snapshots(self.read("run_digest_summaries", state))
+                    rows = rows.join(latest.select("run_id", "snapshot_id"), ["run_id", "snapshot_id"], "left_semi")
+                if table not in KEYS:
+                    rows = rows.hint("rebalance")
+                whole = self._segment(table, rows, sum(s.rows for s in segments[start:end]))
+                self.versions.commit(state.with_table(table, (*segments[:start], whole, *segments[end:])))
+                merged = True
+        if merged:
+            self.retire()
+
+    def retire(self) -> list[str]:
+        """Delete what only versions superseded over ``keep_hours`` ago have, and what failed writes left."""
+        gone = self.versions.retire(list(schemas.LEDGER), self.keep_hours * 3600)
+        self.versions.retire([f"_filters/{t}" for t in KEYS], self.keep_hours * 3600)
+        return gone
 
     def runs(self) -> DataFrame:
         return current_runs(self.read("runs"))
@@ -120,42 +262,32 @@ class Ledger:
 
     def record_messages(self, rows: DataFrame) -> None:
         """Insert processed messages; the first writer of a key wins."""
-        self._append("processed_messages", first_writes(
-            rows, self.read("processed_messages"), ["account_label", "uid"],
-            ["processed_at", "run_id", "classification", "digest_excerpt"]))
+        self._insert("processed_messages", rows)
 
     def record_flags(self, rows: DataFrame) -> None:
         """Insert applied flags, once per key and flag."""
-        self._append("flags_applied", first_writes(
-            rows, self.read("flags_applied"), ["account_label", "uid", "flag"], ["applied_at"]))
+        self._insert("flags_applied", rows)
 
     def record_digests(self, rows: DataFrame) -> None:
         self._append("digests", rows)
 
     def save_snapshots(self, header: DataFrame, labels: DataFrame, senders: DataFrame,
                        domains: DataFrame) -> None:
-        """Replace the snapshot of every run in ``header``.
+        """Replace the snapshot of every run in ``header``, in one commit.
 
-        Counts go first and the header last, under one fresh id: a snapshot is visible only when it
-        is whole, and what a failed attempt left behind is never read. Older snapshots of a run are
-        superseded by the sequence number of the header. The rebalance step keeps a run's rows
-        together but splits a large run over several tasks.
+        Older snapshots of a run are superseded by the number of the new one. The rebalance step keeps a run's
+        rows together but splits a large run over several tasks.
         """
         snapshot = F.lit(uuid.uuid4().hex)
-        last = self.read("run_digest_summaries").agg(F.max("seq")).scalar()
-        seq = F.coalesce(last, F.lit(0).cast("bigint")) + 1
+        last = self.read("run_digest_summaries").agg(F.max("seq")).first()[0]
         tables = [snapshot_counts(labels, "label"), snapshot_counts(senders, "sender"),
-                  snapshot_counts(domains, "domain"), header.withColumn("seq", seq)]
-        for name, df in zip(SNAPSHOT_TABLES, tables):
-            self._append(name, df.withColumn("snapshot_id", snapshot).hint(
-                "rebalance", F.col("run_id")))
+                  snapshot_counts(domains, "domain"), header.withColumn("seq", F.lit((last or 0) + 1).cast("bigint"))]
+        self._publish({name: self._segment(name, df.withColumn("snapshot_id", snapshot).hint(
+            "rebalance", F.col("run_id"))) for name, df in zip(SNAPSHOT_TABLES, tables)})
 
     def snapshot_headers(self) -> DataFrame:
         """The latest snapshot header of every run."""
-        stored = self.read("run_digest_summaries")
-        value = [c for c in stored.columns if c not in ("run_id", "seq")]
-        return stored.groupBy("run_id").agg(
-            F.max_by(F.struct(*value), "seq").alias("v")).select("run_id", "v.*")
+        return latest_snapshots(self.read("run_digest_summaries")).drop("seq")
 
     def snapshot_counts(self, key: str) -> DataFrame:
         """``run_id, key, n`` of the latest snapshots; ``key`` is label, sender or domain."""

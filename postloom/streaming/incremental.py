@@ -10,13 +10,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from postloom import fixed
 from postloom.functions.address import senders
-from postloom.session import shared_root
+from postloom.session import settings, shared_root
 from postloom.sources.ledger import Ledger
 
 RUN_LENGTH, RUN_OFFSET = "6 hours", "2 hours"
 RUN_HOURS = 6
 MAX_WINDOW = f"{fixed.MAX_WINDOW_HOURS} hours"
 EVENT_TIME = "event_time"
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass":
+           "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 def run_window(time: Column) -> Column:
@@ -42,17 +44,36 @@ def recent(messages: DataFrame, now: Column, max_hours: int = fixed.MAX_WINDOW_H
     return messages.where(F.col("internal_date") >= now - cap)
 
 
-def record_stream(rows: DataFrame, ledger: Ledger, checkpoint: str) -> StreamingQuery:
-    """Record each micro-batch in the ledger once, whatever was recorded before.
+def record_stream(rows: DataFrame, ledger: Ledger, checkpoint: str, max_window: str | None = None) -> StreamingQuery:
+    """Record each micro-batch in the ledger exactly once, whatever was recorded before.
 
-    A replayed batch finds its keys already stored, so it adds nothing.
+    The ledger's version keeps the number of the last batch beside the data it belongs to, so a batch that was
+    committed before a crash is not looked at again; what an uncommitted one wrote is in no version. Keys that other
+    runs recorded are looked up in the ledger, which opens only files that may hold one. With ``max_window``, keys
+    that come again within it are met in RocksDB state that expires with the watermark on ``processed_at``, before
+    any lookup; rows that are older than the watermark are then too late and dropped.
     """
-
-    def write(batch: DataFrame, _: int) -> None:
-        ledger.record_messages(batch)
-
-    return (rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    spark = rows.sparkSession
+    state = {}
+    if max_window is not None:
+        time = F.col("processed_at").cast("timestamp")
+        rows = rows.withColumn(EVENT_TIME, time).withWatermark(EVENT_TIME, max_window).dropDuplicatesWithinWatermark(
+            ["account_label", "uid"]).drop(EVENT_TIME)
+        state = ROCKSDB
+
+    def write(batch: DataFrame, number: int) -> None:
+        with ledger.transaction(stream_id(spark, checkpoint), number) as new:
+            if new:
+                ledger.record_messages(batch)
+
+    with settings(spark, state):
+        return (rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+                .trigger(availableNow=True).start())
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id a checkpoint was given when it was made; a new checkpoint at the same path has another."""
+    return spark.read.json(f"{checkpoint}/metadata").first()["id"]
 
 
 def run_counts(messages: DataFrame, key: str) -> DataFrame:
