@@ -101,3 +101,31 @@ def _(t: Tables):
     found = incremental.drain(incremental.burst_stream(message_stream(t)), "bursts")
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("run_start", "run_end")})
 
+
+
+@query("stm_05_sender_state", BURST_SQL + """
+AND run_end <= (SELECT max(internal_date) - INTERVAL '72' HOUR FROM messages)""")
+def _(t: Tables):
+    from postloom.streaming.senders import sender_bursts
+    found = incremental.drain(sender_bursts(message_stream(t)), "sender_bursts")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("run_start", "run_end")})
+
+
+@query("stm_01_increments", """
+SELECT concat('increment ', CAST(uid % 2 AS STRING)) AS run_id, account_label, uid FROM messages""")
+def _(t: Tables):
+    from postloom.sources.landing import Landing
+    from postloom.streaming.increments import take_increment
+    base = f"{shared_root(t.spark)}/streams/increments-{uuid.uuid4().hex}"
+    rows = t.messages.select("account_label", "uid", "internal_date", "is_read", F.col("label").alias("classification"))
+    landing, ledger = Landing(t.spark, f"{base}/landed", rows.schema), Ledger(t.spark, f"{base}/ledger")
+
+    def step(batch, number: int) -> None:
+        ledger.record_messages(batch.select(
+            F.lit(f"increment {number}").alias("run_id"), "account_label", "uid", "is_read", "classification",
+            F.lit("").alias("digest_excerpt"), F.col("internal_date").alias("processed_at")))
+
+    for part in (0, 1):  # what lands between two runs is read by the second only
+        landing.write(rows.where(F.col("uid") % 2 == part))
+        take_increment(landing.stream(), ledger, f"{base}/checkpoint", step)
+    return ledger.read("processed_messages").select("run_id", "account_label", "uid")

@@ -19,6 +19,8 @@ MAX_UID = 4294967295
 # --- limits (fixed values) -------------------------------------------------
 DEFAULT_WINDOW_HOURS = 24
 MAX_WINDOW_HOURS = 72
+LLM_CALLS_AT_ONCE = 4
+LLM_TIMEOUT_SECONDS = 120.0
 FETCH_BATCH = 10
 TOP_SENDERS = 5
 BURST_THRESHOLD = 3

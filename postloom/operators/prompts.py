@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +12,7 @@ from postloom.functions.dates import rfc2822
 from postloom.functions.text import label_list
 from postloom.operators.ranking import fetch_batches
 from postloom.operators.replies import BATCH
-
-REPLY_SCHEMA = "run_id string, batch_id string, attempt int, raw string, reply_error string"
+from postloom.sources.answers import Calls, ReplyLedger, call_provider
 
 
 def _text(c: Column) -> Column:
@@ -65,27 +63,13 @@ def build_prompts(batched: DataFrame, labels: Sequence[str] = fixed.DEFAULT_LABE
 
 
 def classify(prompts: DataFrame, provider: Callable[[str], str], attempt: int = 0,
-             parallelism: int | None = None) -> DataFrame:
+             parallelism: int | None = None, calls: Calls = Calls(), replies: ReplyLedger | None = None) -> DataFrame:
     """Run a user-supplied classifier over prompts: ``prompt -> raw reply``.
 
-    An exception of the provider becomes that batch's ``reply_error``. ``parallelism`` bounds how
-    many calls run at once; it is the number of partitions.
+    An exception of the provider becomes that batch's ``reply_error``. ``parallelism`` is the number of partitions,
+    each of which has as many calls on their way as ``calls`` allows. With ``replies`` each answer is durable as it
+    comes, and what was answered before is not asked again.
     """
-
-    def call(text: str) -> tuple[str | None, str | None]:
-        try:
-            return provider(text), None
-        except Exception as exc:  # a failed call is data, not a failed job
-            return None, str(exc)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            answers = [call(text) for text in pdf["prompt"]]
-            yield pd.DataFrame({
-                "run_id": pdf["run_id"], "batch_id": pdf["batch_id"], "attempt": attempt,
-                "raw": [a[0] for a in answers], "reply_error": [a[1] for a in answers]})
-
-    source = prompts.select(*BATCH, "prompt")
-    if parallelism:
-        source = source.repartition(parallelism)
-    return source.mapInPandas(run, REPLY_SCHEMA)
+    if replies is None:
+        return call_provider(prompts, provider, attempt, parallelism, calls)
+    return replies.answer(prompts, provider, attempt, parallelism, calls)

@@ -14,6 +14,7 @@ from postloom.operators import digest, messages, prompts, ranking, replies
 from postloom.params import TriageOptions
 from postloom.plans import triage as plan
 from postloom.session import stage, staging
+from postloom.sources.answers import Calls, ReplyLedger
 from postloom.sources.ledger import Ledger
 
 # since -> (messages, account_status), both without run_id
@@ -30,22 +31,23 @@ def window_start(ledger: Ledger, now: dt.datetime, window_hours: float | None =
 
 
 def classify_all(fresh: DataFrame, provider: Callable[[str], str], options: TriageOptions,
-                 template: str | None = None,
-                 parallelism: int | None = None) -> tuple[DataFrame, DataFrame]:
+                 template: str | None = None, parallelism: int | None = None, calls: Calls = Calls(),
+                 answered: ReplyLedger | None = None) -> tuple[DataFrame, DataFrame]:
     """Prompt batches of the messages, and the classifier's replies with one repair each.
 
-    Replies are written as they come: a call is never repeated because a later step was.
+    Replies are stored before later steps read them. With ``answered`` each is stored as it comes, so a lost task
+    repeats no call that was answered; without, it repeats those of its partition.
     """
     batched = stage(prompts.request_batches(fresh), "requests")
     first = stage(prompts.classify(prompts.build_prompts(
         batched, options.labels, template, options.system_prompt), provider,
-                                   parallelism=parallelism), "answers")
+                                   parallelism=parallelism, calls=calls, replies=answered), "answers")
     requests = batched.select("run_id", "batch_id", "account_label", "uid")
     if options.repair_attempts == 0:
         return requests, first
     parsed = replies.parse_replies(first.where(F.col("reply_error").isNull()), options.labels)
     again = stage(prompts.classify(replies.repair_prompts(parsed, options.labels), provider, 1,
-                                   parallelism), "repairs")
+                                   parallelism, calls, answered), "repairs")
     return requests, first.unionByName(again)
 
 
@@ -53,21 +55,23 @@ def run_once(spark: SparkSession, ledger: Ledger, ingest: Ingest, provider: Call
              payload_path: str, options: TriageOptions = TriageOptions(),
              now: dt.datetime | None = None, window_hours: float | None = None,
              template: str | None = None, renderer: plan.Renderer = digest.markdown_lines,
-             parallelism: int | None = None) -> plan.TriageResult:
+             parallelism: int | None = None, calls: Calls = Calls(),
+             answered: ReplyLedger | None = None) -> plan.TriageResult:
     """Open a run, fetch, skip what is known, classify, render, and record.
 
     The tables stored on the way are in one folder; ``release()`` of the result removes it.
     """
     with staging() as staged:
         result = _run_once(spark, ledger, ingest, provider, payload_path, options, now, window_hours, template,
-                           renderer, parallelism)
+                           renderer, parallelism, calls, answered)
         result.staged = staged
         return result
 
 
 def _run_once(spark: SparkSession, ledger: Ledger, ingest: Ingest, provider: Callable[[str], str],
               payload_path: str, options: TriageOptions, now: dt.datetime | None, window_hours: float | None,
-              template: str | None, renderer: plan.Renderer, parallelism: int | None) -> plan.TriageResult:
+              template: str | None, renderer: plan.Renderer, parallelism: int | None, calls: Calls,
+              answered: ReplyLedger | None) -> plan.TriageResult:
     now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     at = F.lit(now).cast("timestamp_ntz")
     since = window_start(ledger, now, window_hours, options.max_window_hours)
@@ -83,7 +87,7 @@ def _run_once(spark: SparkSession, ledger: Ledger, ingest: Ingest, provider: Cal
     # the ledger is long, the fetch short: only files that may hold a fetched key are read
     known = stage(ledger.lookup("processed_messages", fetched), "known")
     _, fresh = plan.select_messages(fetched, status, known, options)
-    requests, answers = classify_all(fresh, provider, options, template, parallelism)
+    requests, answers = classify_all(fresh, provider, options, template, parallelism, calls, answered)
     runs = ledger.runs().select("id", "finished_at", "status")
     if options.dry_run:
         runs = runs.unionByName(opened.select(

@@ -114,8 +114,9 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what is available now into files of the shared folder and read them."""
     spark: SparkSession = stream.sparkSession
     base = f"{shared_root(spark)}/streams/{name}-{uuid.uuid4().hex}"
-    query = (stream.writeStream.format("parquet").option("path", f"{base}/data")
-             .option("checkpointLocation", f"{base}/checkpoint").outputMode("append")
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
+    with settings(spark, ROCKSDB):
+        query = (stream.writeStream.format("parquet").option("path", f"{base}/data")
+                 .option("checkpointLocation", f"{base}/checkpoint").outputMode("append")
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/data")

@@ -6,8 +6,11 @@ import json
 import pytest
 
 from postloom import schemas
+from postloom.session import settings
+from postloom.sources.landing import Landing
 from postloom.sources.ledger import Ledger
-from postloom.streaming import incremental
+from postloom.streaming import incremental, senders
+from postloom.streaming.increments import run_increment
 
 T0 = dt.datetime(2026, 7, 14)
 
@@ -120,3 +123,79 @@ def test_only_files_with_keys_of_the_batch_are_read(spark, tmp_path, source, mon
     run(stream, book, f"{tmp_path}/c")
     assert len([f for f in opened if f.startswith("processed_messages/")]) == 0
     assert len(uids(book)) == 1020
+
+
+MAIL = "account_label string, uid bigint, from_addr string, internal_date timestamp_ntz"
+
+
+def test_sender_state(spark, tmp_path):
+    """Bursts of closed runs, a run after a gap, late mail, and senders that go idle."""
+    folder, out = f"{tmp_path}/mail", f"{tmp_path}/out"
+    uid = [0]
+
+    def add(sender, *times):
+        rows = []
+        for hour in times:
+            uid[0] += 1
+            rows.append(("a", uid[0], f"{sender}@x.org", T0 + dt.timedelta(hours=hour)))
+        spark.createDataFrame(rows, MAIL).coalesce(1).write.mode("append").parquet(folder)
+
+    def go():
+        stream = spark.readStream.schema(MAIL).parquet(folder)
+        with settings(spark, incremental.ROCKSDB):
+            query = senders.sender_bursts(stream, "10 hours").writeStream.format("parquet").option("path", out).option(
+                "checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+            query.awaitTermination()
+        return sorted((r.sender, (r.run_start - T0).total_seconds() / 3600, r.n, r.prev_n)
+                      for r in spark.read.schema(senders.BURST).parquet(out).collect())
+
+    add("ann", 2, 3, 4)       # run 2-8
+    add("bob", 2, 9, 10, 11)  # runs 2-8 and 8-14
+    add("ann", 9, 10, 11)     # as loud as before: no burst
+    assert go() == []         # nothing is closed yet
+    add("cid", 30)            # closes all runs up to hour 20
+    assert go() == [("ann@x.org", 2, 3, 0), ("bob@x.org", 8, 3, 1)]
+    add("ann", 5, 5.5, 7)     # late: its run is closed
+    add("ann", 26, 27, 28)    # after a gap, the run before counts 0
+    add("cid", 60)
+    assert go() == [("ann@x.org", 2, 3, 0), ("ann@x.org", 26, 3, 0), ("bob@x.org", 8, 3, 1)]
+    add("cid", 100)
+    go()
+    left = spark.read.format("statestore").option("stateVarName", "counts").load(f"{tmp_path}/c")
+    assert {r.key.sender for r in left.select("key").collect()} == {"cid@x.org"}  # idle senders have no state
+
+
+def test_increments_drive_runs(spark, tmp_path):
+    """Each landed file is read by one run; a failed run leaves nothing and its files come again."""
+    book = Ledger(spark, f"{tmp_path}/ledger")
+    landing = Landing(spark, f"{tmp_path}/landed", "account_label string, uid bigint, folder string, subject string, "
+                      "from_addr string, internal_date timestamp_ntz, date timestamp_ntz, is_read boolean, body string")
+
+    def land(*uids_and_hours):
+        rows = [("work", u, "INBOX", f"S{u}", "ann@x.org", T0 + dt.timedelta(hours=h), T0, False, "b")
+                for u, h in uids_and_hours]
+        landing.write(spark.createDataFrame(rows, landing.schema))
+
+    def provider(prompt):
+        import re
+        found = re.findall(r"<<< EMAIL (\w+)/(\d+) >>>", prompt)
+        return json.dumps({"classifications": [
+            {"uid": int(u), "account": a, "label": "Ads", "confidence": 1, "summary": "s", "key_points": ["k"]}
+            for a, u in found]})
+
+    def go(hour, use=provider, where="out"):
+        done = run_increment(spark, book, landing.stream(), use, f"{tmp_path}/{where}", f"{tmp_path}/c",
+                             now=T0 + dt.timedelta(hours=hour), parallelism=1)
+        return [sorted(r.uid for r in d.entries.collect()) for d in done]
+
+    land((1, 0), (2, 1), (3, -100))  # the last is older than the cap
+    assert go(2) == [[1, 2]] and go(3) == []
+    land((4, 3))
+    land((5, -20))  # landed late: a lower bound by the last run would miss it
+    before = book.state()
+    (tmp_path / "file").write_text("")
+    with pytest.raises(Exception):
+        go(5, where="file/not-a-folder")
+    assert book.state() == before
+    assert go(6) == [[4, 5]]
+    assert uids(book) == [1, 2, 4, 5] and book.runs().where("status = 'completed'").count() == 2
