@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from postloom.catalog import query
 from postloom.functions import address, dates
 from postloom.operators import flags, messages, ranking, replies, stats
-from postloom.operators.messages import RUN_KEY
+from postloom.operators.messages import KEY, RUN_KEY
 from postloom.plans.tables import Tables
 from postloom.session import shared_root
-from postloom.sources import ledger, mime
+from postloom.sources import ledger, mailbox, mime
 from postloom.sources.landing import Landing
 
 SINCE = "2024-01-03 00:00:00"
@@ -106,6 +106,39 @@ def _(t: Tables):
                        F.md5("body").alias("body_md5"))
 
 
+RAW_MAIL = r"""
+mail AS (SELECT m.account_label, m.uid, CAST(m.internal_date AS DATE) AS internal_day,
+  concat('Message-ID: <', m.uid, '@postloom>', E'\r\n', 'From: ', trim(m.from_addr), E'\r\n', 'Subject: ', m.subject, E'\r\n') AS head,
+  concat('Content-Type: text/plain; charset=utf-8', E'\r\n\r\n', b.body, E'\r\n') AS plain,
+  concat('Content-Type: text/html; charset=utf-8', E'\r\n\r\n', p.html, E'\r\n') AS html, base64(CAST(m.subject AS BLOB)) AS pdf
+  FROM messages m LEFT JOIN bodies b ON b.account_label = m.account_label AND b.uid = m.uid
+  LEFT JOIN pages p ON p.page_id = m.uid // 40)"""
+
+
+@query("src_06_landed_mailboxes", rf"""
+WITH {RAW_MAIL}
+SELECT account_label, uid, internal_day, md5(head || CASE uid % 3 WHEN 0 THEN plain WHEN 1 THEN html ELSE
+  concat('Content-Type: multipart/mixed; boundary="=_b"', E'\r\n\r\n', '--=_b', E'\r\n', plain, E'\r\n', '--=_b', E'\r\n', html,
+    E'\r\n', '--=_b', E'\r\n', 'Content-Type: application/pdf; name="r.pdf"', E'\r\n',
+    'Content-Disposition: attachment; filename="r.pdf"', E'\r\n', 'Content-Transfer-Encoding: base64', E'\r\n\r\n',
+    pdf, E'\r\n\r\n', '--=_b--', E'\r\n') END || E'\r\n') AS raw_md5
+FROM mail""")
+def _(t: Tables):
+    """Mail written to mbox files by Spark, one folder an account and day, and read through the data source."""
+    mailbox.register(t.spark)
+    folder = f"{shared_root(t.spark)}/mailboxes/{uuid.uuid4().hex}"
+    days = t.messages.select(*KEY, F.to_date("internal_date").alias("internal_day"))
+    mark = F.concat(F.lit("Message-ID: <"), F.col("uid").cast("string"), F.lit("@postloom>\r\n"))
+    text = F.regexp_replace(F.concat(mark, F.col("raw").cast("string")), r"(?m)^(>*From )", ">$1")
+    boxed = t.raw_mail.join(days, KEY).select("account_label", "internal_day", F.concat(
+        F.lit("From postloom\r\n"), text, F.lit("\r\n")).alias("value"))
+    (boxed.hint("rebalance", F.col("account_label"), F.col("internal_day")).write.option("lineSep", "\r\n")
+     .partitionBy("account_label", "internal_day").text(folder))
+    read = t.spark.read.format("mailbox").load(folder)
+    uid = F.regexp_extract(F.col("raw").cast("string"), r"^Message-ID: <(\d+)@", 1).cast("bigint")
+    return read.select("account_label", uid.alias("uid"), "internal_day", F.md5("raw").alias("raw_md5"))
+
+
 @query("src_07_header_body_assembly", """
 SELECT m.run_id, m.account_label, m.uid, m.folder,
   m.subject || CASE WHEN m.k < 30 THEN ' & more €' ELSE '' END AS subject,
