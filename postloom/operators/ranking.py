@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postloom import fixed
 from postloom.operators.messages import priority_rank
-from postloom.operators.skew import split_row_number, uid_block
+from postloom.operators.skew import ranged_row_number, split_row_number, uid_block
 
 UID_BLOCK_BITS = 16
 
@@ -38,24 +38,13 @@ def first_fetched(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def number_entries(rows: DataFrame, group: Sequence[str], name: str = "item") -> DataFrame:
-    """1-based position of an entry in its section, most important first.
-
-    Groups of any size are numbered block by block: hour, second, then blocks of uids of one
-    account and time, which splits an import that has one time.
-    """
-    levels = [
-        [(priority_rank(F.col("priority")), True), (F.date_trunc("hour", "date"), False)],
-        [(F.date_trunc("second", "date"), False)],
-        [(F.col("date"), False), (F.col("account_label"), True),
-         (uid_block(F.col("uid"), UID_BLOCK_BITS), True)],
-    ]
-    return split_row_number(rows, group, levels, _importance(), name)
+    """1-based position of an entry in its section, most important first; groups of any size."""
+    return ranged_row_number(rows, group, _importance(), name)
 
 
 def number_fetch_order(rows: DataFrame, group: Sequence[str], name: str = "item") -> DataFrame:
     """1-based position by ``(account, uid)`` inside groups of any size."""
-    levels = [[(F.col("account_label"), True)], [(uid_block(F.col("uid"), UID_BLOCK_BITS), True)]]
-    return split_row_number(rows, group, levels, [F.asc("uid")], name)
+    return ranged_row_number(rows, group, [F.asc("account_label"), F.asc("uid")], name)
 
 
 def fetch_batches(messages: DataFrame, size: int = fixed.FETCH_BATCH,

@@ -23,58 +23,57 @@ BATCH = ["run_id", "batch_id"]
 _CORRUPT = "_corrupt_record"
 _STRINGS = T.ArrayType(T.StringType())
 
-ITEM = T.StructType([
-    T.StructField("uid", T.LongType()), T.StructField("account", T.StringType()),
-    T.StructField("label", T.StringType()), T.StructField("confidence", T.DoubleType()),
-    T.StructField("reason", T.StringType()), T.StructField("summary", T.StringType()),
-    T.StructField("key_points", _STRINGS), T.StructField("action_items", _STRINGS),
-    T.StructField("priority", T.StringType()), T.StructField("urgency", T.StringType()),
-])
-DOCUMENT = T.StructType([
+_TEXTS = ("account", "label", "reason", "summary", "priority", "urgency")
+_LISTS = ("key_points", "action_items")
+_FIELDS = ("uid", "account", "label", "confidence", "reason", "summary", "key_points", "action_items", "priority", "urgency")
+# Fields are kept as parsed, so that their JSON types can be told; a number of another type is no number here.
+_RAW_ITEM = T.StructType([T.StructField(name, T.VariantType()) for name in _FIELDS])
+_RAW_DOCUMENT = T.StructType([
     T.StructField("schema_version", T.LongType()),
-    T.StructField("classifications", T.ArrayType(ITEM)),
+    T.StructField("classifications", T.ArrayType(_RAW_ITEM)),
 ])
 # The text is parsed as the only element of an array with its hash behind it: a text that closes the
 # array itself, or that is followed by anything, loses that mark.
 _WRAPPED = T.StructType([
-    T.StructField("docs", T.ArrayType(DOCUMENT)), T.StructField("end", T.LongType()),
+    T.StructField("docs", T.ArrayType(_RAW_DOCUMENT)), T.StructField("end", T.LongType()),
     T.StructField(_CORRUPT, T.StringType())])
-_TEXTS = ("account", "label", "reason", "summary", "priority", "urgency")
-_LISTS = ("key_points", "action_items")
 
 
-def _mistyped(document: Column) -> Column:
-    """Whether a text field of an item holds another JSON type, or a list field anything but texts."""
-    items = F.try_variant_get(F.try_parse_json(document), "$.classifications", "array<variant>")
-
-    def wrong(item: Column) -> Column:
-        found = F.lit(False)
-        for name in (*_TEXTS, *_LISTS):
-            kind = F.schema_of_variant(F.try_variant_get(item, f"$.{name}", "variant"))
-            allowed = ("VOID", "STRING") if name in _TEXTS else ("VOID", "ARRAY<VOID>", "ARRAY<STRING>")
-            found = found | ~F.coalesce(kind, F.lit("VOID")).isin(*allowed)
-        return found
-
-    return F.coalesce(F.exists(items, wrong), F.lit(False))
+def _typed(item: Column) -> Column:
+    """An item with its fields as Spark types, and whether one has a wrong JSON type or the uid is out of range."""
+    kinds = {name: F.coalesce(F.schema_of_variant(item[name]), F.lit("VOID")) for name in _FIELDS}
+    fits = kinds["uid"].isin("VOID", "BIGINT") & kinds["confidence"].rlike("^(VOID|BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
+    for name in _TEXTS:
+        fits = fits & kinds[name].isin("VOID", "STRING")
+    for name in _LISTS:
+        fits = fits & kinds[name].isin("VOID", "ARRAY<VOID>", "ARRAY<STRING>")
+    types = dict.fromkeys(_TEXTS, "string") | dict.fromkeys(_LISTS, "array<string>") | {
+        "uid": "bigint", "confidence": "double"}
+    values = {name: F.try_variant_get(item[name], "$", types[name]) for name in _FIELDS}
+    in_range = F.coalesce(values["uid"], F.lit(0)).between(0, fixed.MAX_UID)
+    return F.struct(*[values[name].alias(name) for name in _FIELDS], (~(fits & in_range)).alias("refused"))
 
 
 def parse_documents(replies: DataFrame) -> DataFrame:
-    """Adds ``doc``, the parsed document, and ``malformed``."""
-    document = json_part(strip_fences(F.col("raw")))
-    mark = F.xxhash64(document)
-    wrapped = F.concat(F.lit('{"docs":['), document, F.lit('],"end":'), mark.cast("string"), F.lit("}"))
-    parsed = F.from_json(wrapped, _WRAPPED, {
+    """Adds ``doc``, the parsed document, and ``malformed``. Each text is parsed once.
+
+    The steps are columns of their own: expressions over lists are evaluated where they stand, and would repeat
+    the parse in each place.
+    """
+    found = replies.withColumn("_document", json_part(strip_fences(F.col("raw"))))
+    marked = found.withColumn("_mark", F.xxhash64("_document"))
+    wrapped = F.concat(F.lit('{"docs":['), "_document", F.lit('],"end":'), F.col("_mark").cast("string"), F.lit("}"))
+    parsed = marked.withColumn("_parsed", F.from_json(wrapped, _WRAPPED, {
         "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT,
-        "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"})
-    out = replies.withColumns({"_parsed": parsed, "_mark": mark, "_mistyped": _mistyped(document)})
-    doc = F.get(F.col("_parsed.docs"), F.lit(0))
-    bad_uid = F.exists(
-        F.coalesce(doc["classifications"], F.array().cast(T.ArrayType(ITEM))),
-        lambda item: ~F.coalesce(item["uid"], F.lit(0)).between(0, fixed.MAX_UID))
+        "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}))
+    first = F.get(F.col("_parsed.docs"), F.lit(0))
+    typed = parsed.withColumn("doc", F.when(first.isNotNull(), F.struct(
+        first["schema_version"].alias("schema_version"),
+        F.transform(first["classifications"], _typed).alias("classifications"))))
     malformed = (F.col("_parsed").isNull() | F.col(f"_parsed.{_CORRUPT}").isNotNull()
                  | (F.size("_parsed.docs") != 1) | ~F.col("_parsed.end").eqNullSafe(F.col("_mark"))
-                 | F.col("_mistyped") | bad_uid)
-    return out.withColumns({"doc": doc, "malformed": malformed}).drop("_parsed", "_mark", "_mistyped")
+                 | F.coalesce(F.exists("doc.classifications", lambda x: x["refused"]), F.lit(False)))
+    return typed.withColumn("malformed", malformed).drop("_document", "_mark", "_parsed")
 
 
 def document_error(raw: Column, malformed: Column, doc: Column) -> Column:

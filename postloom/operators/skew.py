@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postloom.session import stage
+
+
 def uid_block(uid: Column, bits: int) -> Column:
     """Block number of a uid; a block holds at most ``2**bits`` uids of one account and folder."""
     return F.shiftright(uid, bits)
@@ -50,3 +53,24 @@ def split_row_number(df: DataFrame, group: Sequence[str],
         starts.select(F.struct(*block).alias("_key"), total.cast("bigint").alias("_start")), "_key")
     inside = F.row_number().over(Window.partitionBy(*block).orderBy(*order)).cast("bigint")
     return out.withColumn(name, F.col("_start") + inside).drop("_start", "_key", *block[len(group):])
+
+
+def ranged_row_number(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """Exact 1-based row numbers inside groups of any size, by one exchange of the rows.
+
+    Rows are dealt by ranges of (group, order), so a hot group spreads over tasks, sorted there and stored with their
+    place. What a partition holds of a group is one small row; the counts of the partitions before give where its
+    numbers begin. The stored rows fix the places: nothing is numbered twice in two ways when a task is lost. ``order``
+    should name a row of a group: rows equal in all of it meet in one task.
+    """
+    by = [*[F.col(g).asc() for g in group], *order]
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumns(
+        {"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()})
+    rows = stage(placed, "numbered")
+    key = F.struct("_part", *group)  # a struct as the key: null equals null in its fields, so no group is lost
+    parts = rows.groupBy("_part", *group).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1
+    shifts = stage(parts.select(key.alias("_key"), shift.alias("_shift")), "shifts")
+    return rows.withColumn("_key", key).join(shifts, "_key").withColumn(
+        name, F.col("_place") + F.col("_shift")).drop("_key", "_shift", "_part", "_place")

@@ -49,4 +49,14 @@ def test_only_one_row_per_day_meets_in_one_task(spark, data):
 def test_replies_are_checked_without_a_shuffle(spark):
     from postloom.operators import replies
     raw = spark.createDataFrame([("r", "b", "{}")], "run_id string, batch_id string, raw string")
-    assert "Exchange" not in physical(replies.valid_items(replies.parse_replies(raw)))
+    text = physical(replies.valid_items(replies.parse_replies(raw)))
+    assert "Exchange" not in text
+    assert text.count("from_json(") == 1 and "parse_json" not in text  # one parse
+
+
+def test_rows_are_exchanged_once_to_be_numbered(spark):
+    from postloom.operators import skew
+    df = spark.range(100).selectExpr("id % 3 AS g", "id AS uid")
+    text = physical(skew.ranged_row_number(df, ["g"], [df.uid.asc()], "n"))
+    rows = text.split("BroadcastExchange")[0]
+    assert "Exchange" not in rows and "numbered" in text  # the exchange was that of the stored rows

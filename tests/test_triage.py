@@ -58,6 +58,20 @@ def test_split_row_number_equals_a_plain_window(spark):
         Window.partitionBy("g").orderBy(F.desc("x"), F.asc("uid"))))
     joined = got.join(want, ["g", "uid", "x"])
     assert joined.count() == 20000 and joined.where("n <> m").count() == 0
+    ranged = skew.ranged_row_number(df, ["g"], [F.desc("x"), F.asc("uid")], "n")
+    joined = ranged.join(want, ["g", "uid", "x"])
+    assert ranged.columns == [*df.columns, "n"]
+    assert joined.count() == 20000 and joined.where("n <> m").count() == 0
+
+
+def test_ranged_row_number_keeps_null_groups_and_splits_one_second(spark):
+    df = spark.range(6000).select(F.when(F.col("id") % 3 > 0, F.lit("g")).alias("g"), F.lit(T0).alias("date"),
+                                  F.col("id").alias("uid"))
+    spread = skew.ranged_row_number(df.repartition(8), ["g"], [F.desc("date"), F.asc("uid")], "n")
+    for group, n in ((None, 2000), ("g", 4000)):
+        own = spread.where(F.col("g").eqNullSafe(F.lit(group))).orderBy("uid").collect()
+        assert [r.n for r in own] == list(range(1, n + 1))
+    assert skew.ranged_row_number(df.limit(0), ["g"], [F.asc("uid")], "n").count() == 0
 
 
 def test_fetch_batches(spark):
