@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from postloom import schemas
 from postloom.catalog import query
-from postloom.catalog.replies import FALLBACK
-from postloom.catalog.statistics import (COUNTS, ENTRIES, SENDERS, accounts, header_snapshot, previous,
+from postloom.catalog.replies import FIRST
+from postloom.catalog.statistics import (COUNTS, ENTRIES, HIGHLIGHT_LINES, SENDERS, accounts, header_snapshot, previous,
                                          run_senders)
 from postloom.operators import digest, highlights, messages, stats
 from postloom.operators.messages import RUN_KEY
@@ -59,7 +60,7 @@ def label_line(table: str, group: str) -> str:
   FROM (SELECT {group}, final_label, count(*) AS n FROM entries GROUP BY {group}, final_label) GROUP BY {group})"""
 
 
-@query("dig_02_summary", f"""
+SUMMARY = f"""
 WITH {ENTRIES}, {SENDERS}, {top('ts', 'run_id', 'sender')}, {top('td', 'run_id', 'domain')}, {label_line('ll', 'run_id')},
 c AS (SELECT run_id, {COUNTS} FROM entries GROUP BY run_id),
 a AS (SELECT run_id, count(*) AS checked, count(*) FILTER (status = 'error') AS bad FROM account_status GROUP BY run_id)
@@ -72,13 +73,16 @@ SELECT c.run_id, '## Summary' || chr(10) || chr(10) || '**Fetched:** ' || CAST(f
   || coalesce(chr(10) || '**Noisiest domains:**' || chr(10) || td.lines, '') || chr(10)
   || '**Messages:** ' || CAST(fetched AS STRING) || ' classified (' || CAST(fetched AS STRING) || ' fetched, '
   || CAST(failed AS STRING) || ' failed)' AS payload
-FROM c JOIN a USING (run_id) JOIN ll USING (run_id) LEFT JOIN ts USING (run_id) LEFT JOIN td USING (run_id)""")
+FROM c JOIN a USING (run_id) JOIN ll USING (run_id) LEFT JOIN ts USING (run_id) LEFT JOIN td USING (run_id)"""
+
+
+@query("dig_02_summary", SUMMARY)
 def _(t: Tables):
     totals = totals_with_lists(t).withColumn("total_messages", F.col("fetched"))
     return assembled(digest.summary_lines(totals, OPTIONS)).select("run_id", "payload")
 
 
-@query("dig_03_account_stats", f"""
+ACCOUNTS = f"""
 WITH {ENTRIES}, {SENDERS}, {top('ts', 'run_id, account_label', 'sender')}, {top('td', 'run_id, account_label', 'domain')},
 {label_line('ll', 'run_id, account_label')},
 c AS (SELECT run_id, account_label, {COUNTS} FROM entries GROUP BY run_id, account_label),
@@ -91,7 +95,10 @@ one AS (SELECT c.run_id, account_label, '### ' || account_label || chr(10) || ch
   FROM c JOIN account_status s USING (run_id, account_label) JOIN ll USING (run_id, account_label)
   LEFT JOIN ts USING (run_id, account_label) LEFT JOIN td USING (run_id, account_label))
 SELECT run_id, '## Account Stats' || chr(10) || string_agg(block, chr(10) ORDER BY account_label) AS payload
-FROM one GROUP BY run_id""")
+FROM one GROUP BY run_id"""
+
+
+@query("dig_03_account_stats", ACCOUNTS)
 def _(t: Tables):
     lines = digest.account_lines(run_ids(t), accounts_with_lists(t), OPTIONS)
     return assembled(lines).select("run_id", "payload")
@@ -120,17 +127,20 @@ def assembled(lines):
     return digest.assemble(stage(lines, "lines"))
 
 
-@query("dig_04_needs_attention", f"""
+ATTENTION = f"""
 WITH {SHOWN}, h AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY date DESC, account_label, uid) AS n
   FROM shown WHERE pr = 0)
 SELECT run_id, '## 🚨 Needs Attention' || chr(10) || string_agg({ENTRY_HEAD} || {ENTRY_PRIORITY}
   || chr(10) || '**Reason:** ' || coalesce(reason, ''), chr(10) ORDER BY n) || chr(10) || '---' AS payload
-FROM h GROUP BY run_id""")
+FROM h GROUP BY run_id"""
+
+
+@query("dig_04_needs_attention", ATTENTION)
 def _(t: Tables):
     return assembled(digest.attention_lines(shown_entries(t), OPTIONS)).select("run_id", "payload")
 
 
-@query("dig_05_label_sections", f"""
+LABEL_SECTIONS = f"""
 WITH {SHOWN}, e AS (SELECT s.*, b.body, row_number() OVER (PARTITION BY run_id, final_label
     ORDER BY pr, date DESC, account_label, uid) AS n
   FROM shown s LEFT JOIN bodies b USING (account_label, uid)),
@@ -145,7 +155,10 @@ sec AS (SELECT run_id, final_label, chr(10) || '## ' || final_label || ' (' || C
     ELSE '> ' || CASE WHEN length(coalesce(body, '')) > 500 THEN left(body, 500) || '…' ELSE coalesce(body, '') END END,
     chr(10) ORDER BY n) AS block
   FROM e GROUP BY run_id, final_label)
-SELECT run_id, md5(string_agg(block, chr(10) ORDER BY final_label)) AS payload_md5 FROM sec GROUP BY run_id""")
+SELECT run_id, string_agg(block, chr(10) ORDER BY final_label) AS payload FROM sec GROUP BY run_id"""
+
+
+@query("dig_05_label_sections", f"WITH text AS ({LABEL_SECTIONS}) SELECT run_id, md5(payload) AS payload_md5 FROM text")
 def _(t: Tables):
     lines = digest.label_lines(shown_entries(t), OPTIONS)
     return assembled(lines).select("run_id", F.md5("payload").alias("payload_md5"))
@@ -164,7 +177,17 @@ def main_lines(t: Tables, options: DigestOptions = OPTIONS):
     return stage(lines, "lines")
 
 
-@query("dig_01_markdown_document")
+@query("dig_01_markdown_document", f"""
+WITH summary AS ({SUMMARY.replace("'**Messages:** ' || CAST(fetched AS STRING)", "'**Messages:** ' || CAST(least(fetched, 100) AS STRING)")}),
+per_account AS ({ACCOUNTS}), attention AS ({ATTENTION}), sections AS ({LABEL_SECTIONS}), told AS ({HIGHLIGHT_LINES}),
+notable AS (SELECT run_id, string_agg(text, chr(10) ORDER BY pos) AS payload FROM told GROUP BY run_id),
+text AS (SELECT r.id AS run_id, '# 📧 Email Digest' || chr(10) || chr(10) || '**Run ID:** ' || r.id || chr(10)
+    || '**Generated:** ' || strftime(r.finished_at, '%Y-%m-%d %H:%M') || chr(10) || n.payload || chr(10) || s.payload || chr(10)
+    || a.payload || coalesce(chr(10) || t.payload, '') || chr(10) || l.payload || chr(10) || chr(10) || '---' || chr(10) || chr(10)
+    || '*Generated by postloom*' || chr(10) AS payload
+  FROM runs r JOIN notable n ON n.run_id = r.id JOIN summary s ON s.run_id = r.id JOIN per_account a ON a.run_id = r.id
+  LEFT JOIN attention t ON t.run_id = r.id JOIN sections l ON l.run_id = r.id)
+SELECT run_id, strlen(payload) AS bytes, sha256(payload) AS payload_hash FROM text""")
 def _(t: Tables):
     return digest.assemble(main_lines(t)).select("run_id", "bytes", "payload_hash")
 
@@ -174,15 +197,16 @@ def _(t: Tables):
     return main_lines(t).select("run_id", *digest.ORDER, "text")
 
 
-@query("dig_06_fallback_document", f"""
+FALLBACK_TEXT = f"""
 WITH {SENDERS}, {top('ts', 'run_id', 'sender')}, {top('td', 'run_id', 'domain')},
 f AS (SELECT m.*, b.body, row_number() OVER (PARTITION BY m.run_id ORDER BY m.account_label, m.uid) AS n
   FROM messages m LEFT JOIN bodies b ON b.account_label = m.account_label AND b.uid = m.uid),
 l AS (SELECT run_id, count(*) AS shown, string_agg({ENTRY_HEAD} || chr(10) || chr(10) || '> '
     || CASE WHEN length(coalesce(body, '')) > 500 THEN left(body, 500) || '…' ELSE coalesce(body, '') END, chr(10) ORDER BY n) AS list
   FROM f WHERE n <= 100 GROUP BY run_id),
+per_account AS ({ACCOUNTS}),
 c AS (SELECT run_id, count(*) AS fetched, count(*) FILTER (is_read) AS read FROM messages GROUP BY run_id)
-SELECT r.id AS run_id, md5('# ⚠️ Email Digest (Fallback)' || chr(10) || chr(10) || '**Run ID:** ' || r.id || chr(10)
+SELECT r.id AS run_id, '# ⚠️ Email Digest (Fallback)' || chr(10) || chr(10) || '**Run ID:** ' || r.id || chr(10)
   || '**Generated:** ' || strftime(r.finished_at, '%Y-%m-%d %H:%M') || chr(10)
   || '**Status:** ⚠️ LLM classification was unavailable — messages are listed without labels.' || chr(10) || chr(10) || '---' || chr(10)
   || '## Summary' || chr(10) || chr(10) || '**Fetched:** ' || CAST(fetched AS STRING) || chr(10) || '**Classified:** 0' || chr(10)
@@ -190,12 +214,15 @@ SELECT r.id AS run_id, md5('# ⚠️ Email Digest (Fallback)' || chr(10) || chr(
   || '**High priority:** 0' || chr(10) || '**Read:** ' || CAST(read AS STRING) || chr(10) || '**Unread:** '
   || CAST(fetched - read AS STRING) || chr(10) || '**Labels:** Unknown=' || CAST(fetched AS STRING)
   || coalesce(chr(10) || '**Top senders:**' || chr(10) || ts.lines, '')
-  || coalesce(chr(10) || '**Noisiest domains:**' || chr(10) || td.lines, '') || chr(10) || chr(10) || '---' || chr(10) || chr(10)
+  || coalesce(chr(10) || '**Noisiest domains:**' || chr(10) || td.lines, '') || chr(10) || a.payload || chr(10) || chr(10) || '---' || chr(10) || chr(10)
   || '## Fetched Messages (' || CAST(shown AS STRING) || ')' || chr(10) || list || chr(10) || chr(10) || '---' || chr(10) || chr(10)
-  || '*Generated by postloom (fallback mode)*' || chr(10)) AS payload_md5
-FROM runs r JOIN c ON c.run_id = r.id JOIN l ON l.run_id = r.id
-LEFT JOIN ts ON ts.run_id = r.id LEFT JOIN td ON td.run_id = r.id""")
-def _(t: Tables):
+  || '*Generated by postloom (fallback mode)*' || chr(10) AS payload
+FROM runs r JOIN per_account a ON a.run_id = r.id JOIN c ON c.run_id = r.id JOIN l ON l.run_id = r.id
+LEFT JOIN ts ON ts.run_id = r.id LEFT JOIN td ON td.run_id = r.id"""
+
+
+def fallback_document(t: Tables):
+    """Lines of the digest of runs whose classification failed, with the accounts as they are known."""
     rows = stage(t.messages_with_excerpt.withColumns({
         "label": F.lit("Unknown"), "priority": F.lit("")}), "rows")
     unknown = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("fetched"),
@@ -208,40 +235,62 @@ def _(t: Tables):
     labels = stats.run_level(stats.label_counts(rows), "label")
     domains = stats.run_level(stats.domain_counts(stats.sender_counts(rows)), "domain")
     listed = digest.with_lists(totals, ["run_id"], labels, run_senders(t), domains)
-    no_accounts = accounts_with_lists(t).limit(0)
-    lines = digest.fallback_lines(run_ids(t), listed, no_accounts, rows, OPTIONS)
-    return assembled(lines).select("run_id", F.md5("payload").alias("payload_md5"))
+    return digest.fallback_lines(run_ids(t), listed, accounts_with_lists(t), rows, OPTIONS)
+
+
+@query("dig_06_fallback_document", f"WITH text AS ({FALLBACK_TEXT}) SELECT run_id, md5(payload) AS payload_md5 FROM text")
+def _(t: Tables):
+    return assembled(fallback_document(t)).select("run_id", F.md5("payload").alias("payload_md5"))
 
 
 @query("snk_08_payload_files", f"""
-WITH {ENTRIES} SELECT run_id, count(*) AS n FROM entries WHERE final_priority = 'high' GROUP BY run_id""")
+WITH text AS ({FALLBACK_TEXT}) SELECT run_id, md5(payload || chr(10)) AS files_md5 FROM text""")
 def _(t: Tables):
-    """Entry lines of the attention section, written as text and read back per run."""
+    """Whole digests written as text files, one folder a run, and read back file by file."""
     path = f"{shared_root(t.spark)}/payloads/{uuid.uuid4().hex}"
-    options = DigestOptions(max_messages=0)
-    write_payloads(digest.attention_lines(messages.only_high_priority(t.entries), options), path)
-    stored = t.spark.read.schema("value string, run_id string").text(path)
-    return stored.where(F.col("value").rlike(r"^### \d+\. ")).groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("n"))
+    write_payloads(stage(fallback_document(t), "lines"), path)
+    files = (t.spark.read.schema("value string, run_id string").text(path, wholetext=True)
+             .select("run_id", F.struct(F.col("_metadata.file_name").alias("name"), "value").alias("file")))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list("file")), lambda f: f["value"]), "")
+    return files.groupBy("run_id").agg(F.md5(text).alias("files_md5"))
 
 
-def run_pass(t: Tables, options: TriageOptions = TriageOptions(), processed=None):
+def run_pass(t: Tables, options: TriageOptions = TriageOptions()):
     labels = stage(stats.run_level(stats.label_counts(t.entries), "label"), "labels")
-    nothing = t.processed_messages.limit(0) if processed is None else processed
     return plan.triage(
         t.messages_with_body, t.requests.select("run_id", "batch_id", "account_label", "uid"), t.replies,
-        t.account_status, t.runs, nothing, stage(header_snapshot(t), "headers"), labels,
+        t.account_status, t.runs, t.processed_messages, stage(header_snapshot(t), "headers"), labels,
         stage(run_senders(t), "senders"), options)
 
 
-# The fallback rules of the replies, over the messages of accounts that did not fail.
-OPEN = FALLBACK.replace(" FROM messages)", """
-  FROM messages m WHERE NOT EXISTS (SELECT 1 FROM account_status s WHERE s.status = 'error'
-    AND s.run_id = m.run_id AND s.account_label = m.account_label))""", 1)
-TRIAGED = OPEN + """,
+# The fallback rules of the replies: all replies are read, and judge the messages that are left when accounts that failed
+# and messages that earlier runs recorded are taken out.
+TRIAGED = FIRST + """,
+usable AS (SELECT r.* FROM req r WHERE NOT EXISTS (SELECT 1 FROM account_status s WHERE s.status = 'error'
+    AND s.run_id = r.run_id AND s.account_label = r.account_label)),
+fresh AS (SELECT r.* FROM usable r WHERE NOT EXISTS (SELECT 1 FROM processed_messages p
+    WHERE p.account_label = r.account_label AND p.uid = r.uid)),
+asked AS (SELECT DISTINCT run_id, batch_id FROM fresh),
+accepted AS (SELECT run_id, account_label, uid, label FROM ok0 WHERE err IS NULL
+  UNION ALL SELECT r.run_id, r.account_label, r.uid, r.label FROM req r
+    JOIN parsed0 p ON p.run_id = r.run_id AND p.batch_id = r.batch_id JOIN asked a ON a.run_id = r.run_id AND a.batch_id = r.batch_id
+    WHERE p.parse_error IS NOT NULL AND r.block % 3 <> 0 AND r.block % 4 <> 1 AND r.k >= 2 AND NOT EXISTS (SELECT 1 FROM ok0 o
+      WHERE o.err IS NULL AND o.run_id = r.run_id AND o.account_label = r.account_label AND o.uid = r.uid)),
+dead AS (SELECT a.run_id FROM asked a JOIN parsed0 p ON p.run_id = a.run_id AND p.batch_id = a.batch_id
+  GROUP BY a.run_id HAVING bool_and(p.call_failed)),
+rejected AS (SELECT r.run_id, r.account_label, r.uid, CASE
+    WHEN p.call_failed THEN 'initial classify: quota exceeded'
+    WHEN r.block % 3 = 0 THEN 'repair failed: no reply'
+    WHEN r.block % 4 = 1 THEN 'repair produced invalid response: parse: invalid schema_version -1 (must be >= 0)'
+    WHEN p.listed_again = 0 THEN 'repair produced invalid response: parse: empty classifications array'
+    ELSE 'repair did not produce valid analysis for this item' END AS error,
+    CASE WHEN p.call_failed THEN 'classify' ELSE 'repair' END AS stage
+  FROM fresh r JOIN parsed0 p ON p.run_id = r.run_id AND p.batch_id = r.batch_id
+  WHERE (p.call_failed OR p.parse_error IS NOT NULL) AND r.run_id NOT IN (SELECT run_id FROM dead)
+    AND NOT EXISTS (SELECT 1 FROM accepted a WHERE a.run_id = r.run_id AND a.account_label = r.account_label AND a.uid = r.uid)),
 fin AS (SELECT r.run_id, r.account_label, r.uid, coalesce(a.label, 'Unknown') AS label, a.uid IS NOT NULL AS classified,
     j.error, j.stage
-  FROM req r LEFT JOIN accepted a ON a.run_id = r.run_id AND a.account_label = r.account_label AND a.uid = r.uid
+  FROM fresh r LEFT JOIN accepted a ON a.run_id = r.run_id AND a.account_label = r.account_label AND a.uid = r.uid
   LEFT JOIN rejected j ON j.run_id = r.run_id AND j.account_label = r.account_label AND j.uid = r.uid)"""
 
 
@@ -251,43 +300,27 @@ def _(t: Tables):
     return run_pass(t).entries.select(*RUN_KEY, "label", "classified", "error", "stage")
 
 
-@query("flow_03_fresh_entries", f"""
-WITH {TRIAGED.replace("AND s.run_id = m.run_id AND s.account_label = m.account_label))", """AND s.run_id = m.run_id
-    AND s.account_label = m.account_label) AND NOT EXISTS (SELECT 1 FROM processed_messages p
-    WHERE p.account_label = m.account_label AND p.uid = m.uid))""", 1)}
-SELECT run_id, account_label, uid FROM fin""")
+@query("flow_03_fresh_entries", f"WITH {TRIAGED} SELECT run_id, account_label, uid FROM fin")
 def _(t: Tables):
     """The pass over a ledger that knows messages: none of them is an entry again."""
-    return run_pass(t, processed=t.processed_messages).entries.select(*RUN_KEY)
-
-
-# Items of failed accounts' replies are valid but unrequested; they count as classified for the run.
-ALL_ITEMS = """
-lost AS (SELECT m.run_id, m.account_label, m.uid, m.k, m.uid >> 6 AS block,
-    count(*) FILTER (m.k >= 4) OVER (PARTITION BY m.run_id, m.account_label, m.uid >> 6) AS listed
-  FROM messages m JOIN account_status s ON s.run_id = m.run_id AND s.account_label = m.account_label
-  WHERE s.status = 'error'),
-extra AS (SELECT run_id, count(*) AS n FROM lost WHERE k >= 17 AND k NOT BETWEEN 20 AND 24 AND k NOT BETWEEN 26 AND 28
-    AND block % 17 <> 0 AND block % 11 <> 0 AND block % 13 <> 0 GROUP BY run_id
-  ),
-extra4 AS (SELECT run_id, count(*) AS n FROM lost WHERE k = 4 AND block % 17 <> 0 AND block % 11 <> 0
-    AND block % 13 <> 0 GROUP BY run_id)"""
+    return run_pass(t).entries.select(*RUN_KEY)
 
 
+# Valid replies that name no message of the pass count as classified for the run.
 @query("flow_03_triage_pass", f"""
-WITH {TRIAGED}, {ALL_ITEMS},
-n AS (SELECT run_id, count(*) AS fetched, count(*) FILTER (classified) AS classified,
-  count(*) FILTER (error IS NOT NULL) AS analysis_failed FROM fin GROUP BY run_id),
+WITH {TRIAGED},
+n AS (SELECT run_id, count(*) AS fetched, count(*) FILTER (error IS NOT NULL) AS analysis_failed FROM fin GROUP BY run_id),
+v AS (SELECT run_id, count(*) AS classified FROM accepted GROUP BY run_id),
+u AS (SELECT run_id, count(*) AS raw FROM usable GROUP BY run_id),
 e AS (SELECT run_id, count(*) FILTER (status = 'error') AS errors FROM account_status GROUP BY run_id),
-s AS (SELECT r.id, e.errors, coalesce(n.fetched, 0) AS fetched,
-    coalesce(n.classified, 0) + coalesce(extra.n, 0) + coalesce(extra4.n, 0) AS classified,
+s AS (SELECT r.id, e.errors, coalesce(u.raw, 0) AS raw, coalesce(n.fetched, 0) AS fetched, coalesce(v.classified, 0) AS classified,
     coalesce(n.analysis_failed, 0) AS analysis_failed, dead.run_id IS NOT NULL AS classify_failed
-  FROM runs r JOIN e ON e.run_id = r.id LEFT JOIN n ON n.run_id = r.id LEFT JOIN extra ON extra.run_id = r.id
-  LEFT JOIN extra4 ON extra4.run_id = r.id LEFT JOIN dead ON dead.run_id = r.id)
-SELECT id, CASE WHEN fetched = 0 AND errors > 0 THEN 'ingest_failed' WHEN fetched = 0 THEN 'completed'
+  FROM runs r JOIN e ON e.run_id = r.id LEFT JOIN u ON u.run_id = r.id LEFT JOIN n ON n.run_id = r.id
+  LEFT JOIN v ON v.run_id = r.id LEFT JOIN dead ON dead.run_id = r.id)
+SELECT id, CASE WHEN raw = 0 AND errors > 0 THEN 'ingest_failed' WHEN fetched = 0 THEN 'completed'
     WHEN classify_failed OR classified = 0 THEN 'degraded' WHEN analysis_failed > 0 THEN 'partially_classified'
     WHEN errors > 0 THEN 'partial' ELSE 'completed' END AS status, fetched AS message_count,
-  CASE WHEN fetched = 0 AND errors > 0 THEN 'all ' || CAST(errors AS STRING) || ' account(s) failed to fetch messages'
+  CASE WHEN raw = 0 AND errors > 0 THEN 'all ' || CAST(errors AS STRING) || ' account(s) failed to fetch messages'
     ELSE '' END AS error, CASE WHEN fetched > 0 THEN 'sent' END AS digest
 FROM s""")
 def _(t: Tables):
@@ -312,9 +345,19 @@ def opened_ledger(t: Tables) -> Ledger:
 
 
 @query("flow_02_dry_run_writes_nothing", """
-SELECT id, 'running' AS status, CAST(0 AS BIGINT) AS message_count FROM runs""")
+SELECT 'runs' AS name, id, 'running' AS status, CAST(0 AS BIGINT) AS n FROM runs
+UNION ALL SELECT unnest(['processed_messages', 'flags_applied', 'digests', 'run_digest_summaries', 'run_digest_label_counts',
+  'run_digest_sender_counts', 'run_digest_domain_counts', 'payloads']), '', '', CAST(0 AS BIGINT)""")
 def _(t: Tables):
+    """Every table and the payload folder behind a dry run: the open runs, and nothing else."""
     options = TriageOptions(dry_run=True)
     book = opened_ledger(t)
     plan.record(run_pass(t, options), book, f"{book.root}/payloads", closed_at(), options)
-    return book.runs().select("id", "status", "message_count")
+    out = book.runs().select(F.lit("runs").alias("name"), "id", "status", F.col("message_count").alias("n"))
+    for name in schemas.LEDGER:
+        if name != "runs":
+            out = out.unionByName(book.read(name).agg(F.count(F.lit(1)).alias("n")).select(
+                F.lit(name).alias("name"), F.lit("").alias("id"), F.lit("").alias("status"), "n"))
+    written = len(book.versions.files("payloads"))
+    return out.unionByName(t.spark.range(1).select(
+        F.lit("payloads").alias("name"), F.lit("").alias("id"), F.lit("").alias("status"), F.lit(written).cast("bigint").alias("n")))

@@ -18,9 +18,11 @@ from postloom.sources import envelopes
 REQUESTS = """
 req AS (SELECT *, account_label || '/' || CAST(uid >> 6 AS STRING) AS batch_id, uid >> 6 AS block FROM messages)"""
 ITEMS = REQUESTS + """,
-its AS (SELECT r.*, copy, row_number() OVER (PARTITION BY run_id, batch_id ORDER BY uid, copy) - 1 AS pos
-  FROM req r CROSS JOIN (SELECT unnest([1, 2]) AS copy) c WHERE k >= 4 AND (copy = 1 OR k BETWEEN 17 AND 19)),
+its AS (SELECT r.*, attempt, copy, row_number() OVER (PARTITION BY run_id, batch_id, attempt ORDER BY uid, copy) - 1 AS pos
+  FROM req r CROSS JOIN (SELECT unnest([0, 1]) AS attempt) a CROSS JOIN (SELECT unnest([1, 2]) AS copy) c
+  WHERE CASE attempt WHEN 0 THEN k >= 4 AND (copy = 1 OR k BETWEEN 17 AND 19) ELSE block % 3 <> 0 AND k >= 2 AND copy = 1 END),
 errs AS (SELECT *, account_label || '/' || CAST(uid AS STRING) AS ky, unnest(CASE
+    WHEN attempt = 1 THEN [NULL]
     WHEN copy = 2 THEN ['duplicate key ' || account_label || '/' || CAST(uid AS STRING)]
     WHEN k BETWEEN 5 AND 9 THEN ['unknown label "Nope" for ' || account_label || '/' || CAST(uid AS STRING)]
     WHEN k BETWEEN 26 AND 28 THEN ['confidence 1.500000 out of range [0,1] for ' || account_label || '/' || CAST(uid AS STRING)]
@@ -32,114 +34,124 @@ errs AS (SELECT *, account_label || '/' || CAST(uid AS STRING) AS ky, unnest(CAS
     ELSE [NULL] END) AS err FROM its),
 bat AS (SELECT run_id, batch_id, block, count(*) AS expected, count(*) FILTER (k >= 4) AS listed,
     count(*) FILTER (k >= 2) AS listed_again FROM req GROUP BY run_id, batch_id, block),
-doc AS (SELECT *, block % 17 = 0 AS call_failed, CASE WHEN block % 11 = 0 THEN 'parse: invalid JSON'
+doc AS (SELECT *, 0 AS attempt, block % 17 = 0 AS call_failed, CASE WHEN block % 11 = 0 THEN 'parse: invalid JSON'
     WHEN block % 13 = 0 THEN 'parse: unsupported schema_version 2 (max supported: 1)'
-    WHEN listed = 0 THEN 'parse: empty classifications array' END AS refused FROM bat),
-ok AS (SELECT e.* FROM errs e JOIN doc d ON d.run_id = e.run_id AND d.batch_id = e.batch_id
+    WHEN listed = 0 THEN 'parse: empty classifications array' END AS refused FROM bat
+  UNION ALL SELECT *, 1, false, CASE WHEN block % 4 = 1 THEN 'parse: invalid schema_version -1 (must be >= 0)'
+    WHEN listed_again = 0 THEN 'parse: empty classifications array' END FROM bat WHERE block % 3 <> 0),
+ok AS (SELECT e.* FROM errs e JOIN doc d ON d.run_id = e.run_id AND d.batch_id = e.batch_id AND d.attempt = e.attempt
   WHERE NOT call_failed AND refused IS NULL),
-summ AS (SELECT run_id, batch_id, count(err) AS n_err, count(DISTINCT pos) AS n_all,
+summ AS (SELECT run_id, batch_id, attempt, count(err) AS n_err, count(DISTINCT pos) AS n_all,
     count(*) FILTER (err IS NULL) AS n_valid,
     string_agg('item ' || CAST(pos AS STRING) || ': ' || err, '; ' ORDER BY pos, err) AS detail
-  FROM ok GROUP BY run_id, batch_id),
-parsed AS (SELECT d.run_id, d.batch_id, d.block, d.call_failed, d.expected, d.listed, d.listed_again, s.n_err, s.n_all, s.n_valid,
+  FROM ok GROUP BY run_id, batch_id, attempt),
+parsed AS (SELECT d.run_id, d.batch_id, d.attempt, d.block, d.call_failed, d.expected, d.listed, d.listed_again, s.n_err, s.n_all, s.n_valid,
     CASE WHEN d.call_failed THEN NULL WHEN d.refused IS NOT NULL THEN d.refused
       WHEN s.n_err = 0 THEN NULL
       WHEN s.n_valid > 0 THEN 'parse: ' || CAST(n_err AS STRING) || '/' || CAST(n_all AS STRING) || ' items invalid: ' || detail
       ELSE 'parse: all ' || CAST(n_all AS STRING) || ' items invalid: ' || detail END AS parse_error
-  FROM doc d LEFT JOIN summ s ON s.run_id = d.run_id AND s.batch_id = d.batch_id)"""
+  FROM doc d LEFT JOIN summ s ON s.run_id = d.run_id AND s.batch_id = d.batch_id AND s.attempt = d.attempt)"""
+# The first replies alone, which decide what is asked again.
+FIRST = ITEMS + """,
+ok0 AS (SELECT * FROM ok WHERE attempt = 0), parsed0 AS (SELECT * FROM parsed WHERE attempt = 0)"""
 
 
-def first_replies(t: Tables):
-    return t.replies.where((F.col("attempt") == 0) & F.col("reply_error").isNull())
+# First replies and repairs are told apart by their attempt.
+REPLY = ["run_id", "batch_id", "attempt"]
+
+
+def heard(t: Tables):
+    return t.replies.where(F.col("reply_error").isNull())
 
 
 def parsed(t: Tables):
-    return replies.parse_replies(first_replies(t))
+    return replies.parse_replies(heard(t))
 
 
 @query("json_01_parse_documents", f"""
-WITH {ITEMS} SELECT d.run_id, d.batch_id, block % 11 = 0 AS malformed,
-  CASE WHEN block % 11 = 0 THEN NULL ELSE coalesce(i.n, 0) END AS n_items
-FROM doc d LEFT JOIN (SELECT run_id, batch_id, count(*) AS n FROM its GROUP BY run_id, batch_id) i
-  ON i.run_id = d.run_id AND i.batch_id = d.batch_id WHERE NOT call_failed""")
+WITH {ITEMS} SELECT d.run_id, d.batch_id, d.attempt, d.attempt = 0 AND block % 11 = 0 AS malformed,
+  CASE WHEN d.attempt = 1 OR block % 11 <> 0 THEN coalesce(i.n, 0) END AS n_items
+FROM doc d LEFT JOIN (SELECT run_id, batch_id, attempt, count(*) AS n FROM its GROUP BY run_id, batch_id, attempt) i
+  ON i.run_id = d.run_id AND i.batch_id = d.batch_id AND i.attempt = d.attempt WHERE NOT call_failed""")
 def _(t: Tables):
-    docs = replies.parse_documents(first_replies(t))
+    docs = replies.parse_documents(heard(t))
     n = F.when(~F.col("malformed"), F.size("doc.classifications").cast("bigint"))
-    return docs.select("run_id", "batch_id", "malformed", n.alias("n_items"))
+    return docs.select(*REPLY, "malformed", n.alias("n_items"))
 
 
 @query("json_02_schema_version", f"""
-WITH {ITEMS} SELECT run_id, batch_id, refused FROM doc WHERE NOT call_failed""")
+WITH {ITEMS} SELECT run_id, batch_id, attempt, refused FROM doc WHERE NOT call_failed""")
 def _(t: Tables):
-    docs = replies.parse_documents(first_replies(t))
-    return docs.select("run_id", "batch_id", replies.document_error(
+    docs = replies.parse_documents(heard(t))
+    return docs.select(*REPLY, replies.document_error(
         F.col("raw"), F.col("malformed"), F.col("doc")).alias("refused"))
 
 
 @query("json_03_invalid_items", f"""
-WITH {ITEMS} SELECT run_id, batch_id, account_label, uid, CAST(pos AS INT) AS pos,
+WITH {ITEMS} SELECT run_id, batch_id, attempt, account_label, uid, CAST(pos AS INT) AS pos,
   'item ' || CAST(pos AS STRING) || ': ' || err AS error FROM ok WHERE err IS NOT NULL""")
 def _(t: Tables):
-    return replies.invalid_items(parsed(t))
+    return replies.invalid_items(parsed(t), REPLY)
 
 
 @query("json_03_valid_items", f"""
-WITH {ITEMS} SELECT run_id, batch_id, account_label, uid, label, CAST(k AS DOUBLE) / 100 AS confidence,
-  'r' || CAST(k AS STRING) AS reason, 'summary ' || CAST(uid AS STRING) AS summary,
-  'p1,p2,p3' AS key_points, CASE WHEN k = 25 OR priority = '' THEN 'medium' ELSE priority END AS priority
+WITH {ITEMS} SELECT run_id, batch_id, attempt, account_label, uid, label,
+  CASE attempt WHEN 0 THEN CAST(k AS DOUBLE) / 100 ELSE 0.5 END AS confidence, 'r' || CAST(k AS STRING) AS reason,
+  CASE attempt WHEN 0 THEN 'summary ' ELSE 'repaired ' END || CAST(uid AS STRING) AS summary,
+  CASE attempt WHEN 0 THEN 'p1,p2,p3' ELSE 'p1' END AS key_points, CASE WHEN (attempt = 0 AND k = 25) OR priority = '' THEN 'medium' ELSE priority END AS priority
 FROM ok WHERE err IS NULL""")
 def _(t: Tables):
-    rows = replies.valid_items(parsed(t))
-    return rows.select("run_id", "batch_id", "account_label", "uid", "label", "confidence", "reason",
+    rows = replies.valid_items(parsed(t), REPLY)
+    return rows.select(*REPLY, "account_label", "uid", "label", "confidence", "reason",
                        "summary", F.array_join("key_points", ",").alias("key_points"), "priority")
 
 
 @query("json_04_partial_or_total", f"""
-WITH {ITEMS} SELECT run_id, batch_id, coalesce(n_valid, 0) AS n_valid, CASE
+WITH {ITEMS} SELECT run_id, batch_id, attempt, coalesce(n_valid, 0) AS n_valid, CASE
   WHEN parse_error IS NULL THEN 'all valid' WHEN coalesce(n_valid, 0) > 0 THEN 'some valid' ELSE 'none valid' END AS outcome
 FROM parsed WHERE NOT call_failed""")
 def _(t: Tables):
     good = F.size(F.filter("items", lambda x: F.size(x["errors"]) == 0))
     n = F.greatest(F.coalesce(good, F.lit(0)), F.lit(0)).cast("bigint")
-    return parsed(t).select("run_id", "batch_id", n.alias("n_valid"), F.when(
+    return parsed(t).select(*REPLY, n.alias("n_valid"), F.when(
         F.col("parse_error").isNull(), F.lit("all valid")).when(n > 0, F.lit("some valid")).otherwise(
         F.lit("none valid")).alias("outcome"))
 
 
 @query("agg_16_error_rollup", f"""
-WITH {ITEMS} SELECT run_id, batch_id, parse_error FROM parsed WHERE NOT call_failed""")
+WITH {ITEMS} SELECT run_id, batch_id, attempt, parse_error FROM parsed WHERE NOT call_failed""")
 def _(t: Tables):
-    return parsed(t).select("run_id", "batch_id", "parse_error")
+    return parsed(t).select(*REPLY, "parse_error")
 
 
 @query("win_03_duplicate_keys", f"""
-WITH {ITEMS} SELECT run_id, batch_id, account_label, uid, CAST(pos AS INT) AS pos FROM ok WHERE copy = 2""")
+WITH {ITEMS} SELECT run_id, batch_id, attempt, account_label, uid, CAST(pos AS INT) AS pos FROM ok WHERE copy = 2""")
 def _(t: Tables):
-    bad = replies.invalid_items(parsed(t))
+    bad = replies.invalid_items(parsed(t), REPLY)
     return bad.where(F.contains("error", F.lit(": duplicate key "))).drop("error")
 
 
 @query("json_06_validate_counts", f"""
 WITH {ITEMS}, conf AS (SELECT run_id, batch_id, string_agg('item ' || CAST(pos AS STRING) ||
     ': confidence 1.500000 out of range', '; ' ORDER BY pos) AS detail
-  FROM its WHERE k BETWEEN 26 AND 28 GROUP BY run_id, batch_id)
-SELECT p.run_id, p.batch_id, CASE WHEN n_all IS NULL THEN 'validate: no classifications'
+  FROM its WHERE attempt = 0 AND k BETWEEN 26 AND 28 GROUP BY run_id, batch_id)
+SELECT p.run_id, p.batch_id, p.attempt, CASE WHEN n_all IS NULL THEN 'validate: no classifications'
   WHEN n_all <> expected THEN 'validate: expected ' || CAST(expected AS STRING) || ' classifications, got ' || CAST(n_all AS STRING)
   WHEN detail IS NOT NULL THEN 'validate: ' || detail END AS count_error
-FROM parsed p LEFT JOIN conf c ON c.run_id = p.run_id AND c.batch_id = p.batch_id WHERE NOT call_failed""")
+FROM parsed p LEFT JOIN conf c ON c.run_id = p.run_id AND c.batch_id = p.batch_id AND p.attempt = 0 WHERE NOT call_failed""")
 def _(t: Tables):
     expected = t.requests.groupBy("run_id", "batch_id").agg(F.count(F.lit(1)).alias("expected"))
     joined = parsed(t).join(expected, ["run_id", "batch_id"])
     return replies.validate_counts(joined, F.col("expected")).select(
-        "run_id", "batch_id", "count_error")
+        *REPLY, "count_error")
 
 
-FALLBACK = ITEMS + """,
-again AS (SELECT r.* FROM req r JOIN parsed p ON p.run_id = r.run_id AND p.batch_id = r.batch_id
+FALLBACK = FIRST + """,
+again AS (SELECT r.* FROM req r JOIN parsed0 p ON p.run_id = r.run_id AND p.batch_id = r.batch_id
   WHERE p.parse_error IS NOT NULL AND r.block % 3 <> 0 AND r.block % 4 <> 1 AND r.k >= 2),
-accepted AS (SELECT run_id, account_label, uid, label, CAST(0 AS INT) AS attempt FROM ok WHERE err IS NULL
+accepted AS (SELECT run_id, account_label, uid, label, CAST(0 AS INT) AS attempt FROM ok0 WHERE err IS NULL
   UNION ALL SELECT a.run_id, a.account_label, a.uid, a.label, CAST(1 AS INT) FROM again a WHERE NOT EXISTS (
-    SELECT 1 FROM ok o WHERE o.err IS NULL AND o.run_id = a.run_id AND o.account_label = a.account_label AND o.uid = a.uid)),
+    SELECT 1 FROM ok0 o WHERE o.err IS NULL AND o.run_id = a.run_id AND o.account_label = a.account_label AND o.uid = a.uid)),
 dead AS (SELECT run_id FROM bat GROUP BY run_id HAVING bool_and(block % 17 = 0)),
 rejected AS (SELECT r.run_id, r.account_label, r.uid, CASE
     WHEN p.call_failed THEN 'initial classify: quota exceeded'
@@ -148,7 +160,7 @@ rejected AS (SELECT r.run_id, r.account_label, r.uid, CASE
     WHEN p.listed_again = 0 THEN 'repair produced invalid response: parse: empty classifications array'
     ELSE 'repair did not produce valid analysis for this item' END AS error,
     CASE WHEN p.call_failed THEN 'classify' ELSE 'repair' END AS stage
-  FROM req r JOIN parsed p ON p.run_id = r.run_id AND p.batch_id = r.batch_id
+  FROM req r JOIN parsed0 p ON p.run_id = r.run_id AND p.batch_id = r.batch_id
   WHERE (p.call_failed OR p.parse_error IS NOT NULL) AND r.run_id NOT IN (SELECT run_id FROM dead)
     AND NOT EXISTS (SELECT 1 FROM accepted a WHERE a.run_id = r.run_id AND a.account_label = r.account_label AND a.uid = r.uid))"""
 
@@ -169,13 +181,13 @@ def _(t: Tables):
 
 
 @query("llm_04_failed_classification", f"""
-WITH {ITEMS} SELECT r.run_id, r.account_label, r.uid, 'Unknown' AS label,
+WITH {FIRST} SELECT r.run_id, r.account_label, r.uid, 'Unknown' AS label,
   CASE WHEN p.call_failed THEN 'initial classify: quota exceeded' ELSE 'parse/validation failed: ' || p.parse_error END AS error,
   CASE WHEN p.call_failed THEN 'classify' ELSE 'parse' END AS stage
-FROM req r JOIN parsed p ON p.run_id = r.run_id AND p.batch_id = r.batch_id
+FROM req r JOIN parsed0 p ON p.run_id = r.run_id AND p.batch_id = r.batch_id
 WHERE (p.call_failed OR p.parse_error IS NOT NULL)
   AND r.run_id NOT IN (SELECT run_id FROM bat GROUP BY run_id HAVING bool_and(block % 17 = 0))
-  AND NOT EXISTS (SELECT 1 FROM ok o WHERE o.err IS NULL AND o.run_id = r.run_id
+  AND NOT EXISTS (SELECT 1 FROM ok0 o WHERE o.err IS NULL AND o.run_id = r.run_id
     AND o.account_label = r.account_label AND o.uid = r.uid)""")
 def _(t: Tables):
     return fallback(t, attempts=0)[1]
@@ -256,9 +268,10 @@ def _(t: Tables):
 
 
 ENVELOPES = REQUESTS + """,
-env AS (SELECT DISTINCT run_id, batch_id, block, CASE block % 4 WHEN 0 THEN 'gemini' WHEN 1 THEN 'mistral'
-    WHEN 2 THEN 'openrouter' ELSE 'ollama' END AS provider, block % 19 = 0 AS refused, block % 17 = 0 AS blank,
-    block % 4 = 3 AND block % 29 = 0 AS unfinished FROM req),
+env AS (SELECT DISTINCT run_id, batch_id, block, attempt, CASE block % 4 WHEN 0 THEN 'gemini' WHEN 1 THEN 'mistral'
+    WHEN 2 THEN 'openrouter' ELSE 'ollama' END AS provider, block % 19 = 0 AS refused, attempt = 0 AND block % 17 = 0 AS blank,
+    block % 4 = 3 AND block % 29 = 0 AS unfinished FROM req CROSS JOIN (SELECT unnest([0, 1]) AS attempt) a
+  WHERE attempt = 0 OR block % 3 <> 0),
 ext AS (SELECT *, CASE WHEN refused THEN provider || '.classify: 429'
     WHEN unfinished THEN provider || '.classify: response not complete'
     WHEN blank THEN provider || CASE WHEN provider = 'gemini' THEN '.classify: empty candidate text' ELSE '.classify: empty response content' END
@@ -268,24 +281,24 @@ ext AS (SELECT *, CASE WHEN refused THEN provider || '.classify: 429'
 
 
 @query("src_09_reply_envelopes", f"""
-WITH {ENVELOPES} SELECT run_id, batch_id, provider, reply_error, NOT (refused OR unfinished OR blank) AS has_text,
+WITH {ENVELOPES} SELECT run_id, batch_id, attempt, provider, reply_error, NOT (refused OR unfinished OR blank) AS has_text,
   prompt_tokens, completion_tokens, prompt_tokens + completion_tokens AS total_tokens FROM ext""")
 def _(t: Tables):
     done = envelopes.extract_replies(t.raw_replies)
     return done.select(
-        "run_id", "batch_id", "provider",
+        *REPLY, "provider",
         F.regexp_replace("reply_error", r"(?s)^(\w+\.classify: [^:]*).*\z", "$1").alias("reply_error"),
         (F.col("raw") != "").alias("has_text"), "prompt_tokens", "completion_tokens", "total_tokens")
 
 
 @query("json_05_envelope_items", f"""
-WITH {ITEMS} SELECT run_id, batch_id, account_label, uid, label FROM ok
+WITH {ITEMS} SELECT run_id, batch_id, attempt, account_label, uid, label FROM ok
 WHERE err IS NULL AND block % 19 <> 0 AND NOT (block % 4 = 3 AND block % 29 = 0)
   AND NOT (block % 4 = 0 AND block % 23 = 0)""")
 def _(t: Tables):
     done = envelopes.extract_replies(t.raw_replies).where(F.col("reply_error").isNull())
-    return replies.valid_items(replies.parse_replies(done)).select(
-        "run_id", "batch_id", "account_label", "uid", "label")
+    return replies.valid_items(replies.parse_replies(done), REPLY).select(
+        *REPLY, "account_label", "uid", "label")
 
 
 @query("agg_14_token_usage", f"""

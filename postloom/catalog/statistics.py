@@ -357,7 +357,7 @@ def _(t: Tables):
     return highlights.more_failures(totals, previous(t), header_snapshot(t)).select("run_id", "text")
 
 
-@query("hl_06_highlight_list", f"""
+HIGHLIGHT_LINES = f"""
 WITH {ENTRIES}, {DELTA},
 ads AS (SELECT run_id, final_label, count(*) AS n FROM entries WHERE final_label = 'Ads' GROUP BY run_id, final_label),
 f AS (SELECT run_id, count(*) FILTER (status = 'error') AS n FROM account_status GROUP BY run_id),
@@ -379,7 +379,10 @@ lines AS (SELECT run_id, kind, weight, key, '- ' || text AS text FROM told
   UNION ALL SELECT id, 0, -1, '', '## Highlights' FROM runs
   UNION ALL SELECT id, 0, 0, '', '— Nothing notable this run.' FROM runs
     WHERE id NOT IN (SELECT run_id FROM told))
-SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY kind, weight, key) AS pos, text FROM lines""")
+SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY kind, weight, key) AS pos, text FROM lines"""
+
+
+@query("hl_06_highlight_list", HIGHLIGHT_LINES)
 def _(t: Tables):
     from pyspark.sql import Window
 

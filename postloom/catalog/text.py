@@ -150,13 +150,14 @@ def _(t: Tables):
 
 
 @query("str_16_json_part", f"""
-SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN '{{' || text || '}}' ELSE trim(text, {WS}) END) AS text_md5
-FROM documents WHERE strpos(text, '{{') = 0 AND strpos(text, '}}') = 0""")
+WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Here: {{' || text || '}} bye' ELSE text END AS x FROM documents),
+p AS (SELECT *, strpos(x, '{{') AS a, strpos(reverse(x), '}}') AS z FROM t)
+SELECT doc_id, md5(CASE WHEN a > 0 AND z > 0 AND a < length(x) - z + 1 THEN substr(x, a, length(x) - z + 2 - a)
+  ELSE trim(x, {WS}) END) AS text_md5 FROM p""")
 def _(t: Tables):
-    plain = t.documents.where(~F.contains("text", F.lit("{")) & ~F.contains("text", F.lit("}")))
     wrapped = F.when(F.col("doc_id") % 2 == 0, F.concat(
         F.lit("Here: {"), "text", F.lit("} bye"))).otherwise(F.col("text"))
-    return plain.select("doc_id", F.md5(reply_text.json_part(wrapped)).alias("text_md5"))
+    return t.documents.select("doc_id", F.md5(reply_text.json_part(wrapped)).alias("text_md5"))
 
 
 @query("str_17_priority", """

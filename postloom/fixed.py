@@ -129,6 +129,7 @@ Rules:
 """
 
 # --- digest texts (fixed values) ------------------------------------------------
+NO_TIME = "0001-01-01 00:00"  # how a missing date is shown
 DIGEST_TITLE = "# 📧 Email Digest"
 FALLBACK_TITLE = "# ⚠️ Email Digest (Fallback)"
 FALLBACK_STATUS = (

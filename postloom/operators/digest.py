@@ -109,7 +109,7 @@ def account_lines(runs: DataFrame, accounts: DataFrame, options: DigestOptions,
     """``accounts``: account counts with ``labels`` text, ``top_senders`` and ``top_domains``."""
     with_rows = accounts.select("run_id").distinct()
     counts = F.array_compact(F.array(
-        F.concat(F.lit("### "), "account_label"), F.lit(""),
+        F.concat(F.lit("### "), _text("account_label")), F.lit(""),
         F.format_string("**Fetched:** %d | **Classified:** %d | **Failed:** %d",
                         "fetched", "classified", "failed"),
         *_if(options.include_read_status,
@@ -127,11 +127,16 @@ def account_lines(runs: DataFrame, accounts: DataFrame, options: DigestOptions,
     return _head_line(runs, ACCOUNTS, "## Account Stats").unionByName(body).unionByName(none)
 
 
+def _text(c: Column | str) -> Column:
+    """A text, empty where null: a missing field leaves its line."""
+    return F.coalesce(c, F.lit(""))
+
+
 def _entry_head(options: DigestOptions) -> list[Column]:
     return [
-        F.format_string("### %d. %s", "item", "subject"), F.lit(""),
-        F.concat(F.lit("**From:** "), "from_addr", F.lit(" | **Date:** "),
-                 minute_text(F.col("date"))),
+        F.concat(F.lit("### "), _number("item"), F.lit(". "), _text("subject")), F.lit(""),
+        F.concat(F.lit("**From:** "), _text("from_addr"), F.lit(" | **Date:** "),
+                 F.coalesce(minute_text(F.col("date")), F.lit(fixed.NO_TIME))),
         *_if(options.include_read_status,
              F.concat(F.lit("**Status:** "), read_badge(F.col("is_read")))),
     ]
@@ -142,7 +147,7 @@ def _priority_line() -> Column:
 
 
 def _reason_line() -> Column:
-    return F.concat(F.lit("**Reason:** "), F.coalesce("reason", F.lit("")))
+    return F.concat(F.lit("**Reason:** "), _text("reason"))
 
 
 def attention_lines(rows: DataFrame, options: DigestOptions) -> DataFrame:
@@ -158,7 +163,7 @@ def attention_lines(rows: DataFrame, options: DigestOptions) -> DataFrame:
 
 def _list_lines(title: Sequence[str], items: Column) -> Column:
     return F.concat(F.array(*[F.lit(t) for t in title]),
-                    F.transform(items, lambda s: F.concat(F.lit("- "), s)))
+                    F.transform(items, lambda s: F.concat(F.lit("- "), _text(s))))
 
 
 def _analysis_lines(options: DigestOptions) -> Column:
@@ -180,7 +185,7 @@ def _analysis_lines(options: DigestOptions) -> Column:
     raw = F.concat(F.lit("> "), excerpt(F.coalesce("excerpt", F.lit("")), options.max_message_excerpt))
     after_error = raw if options.include_raw_excerpt_fallback else F.lit(fixed.OMITTED_AFTER_ERROR)
     no_summary = raw if options.include_raw_excerpt_fallback else F.lit(fixed.OMITTED_NO_SUMMARY)
-    failed = F.concat(F.lit("⚠️ **Analysis failed ("), "stage", F.lit("):** "), "error")
+    failed = F.concat(F.lit("⚠️ **Analysis failed ("), _text("stage"), F.lit("):** "), _text("error"))
     has_summary = trim_space(F.coalesce("summary", F.lit(""))) != ""
     return (F.when(has_summary, F.concat(*parts))
             .when(F.col("error").isNotNull(), F.array(failed, after_error))
@@ -191,7 +196,8 @@ def label_lines(rows: DataFrame, options: DigestOptions) -> DataFrame:
     """One section per label, entries numbered by importance."""
     numbered = ranking.number_entries(rows, ["run_id", "label"])
     sizes = rows.groupBy("run_id", "label").agg(F.count(F.lit(1)).alias("n"))
-    head = _place(sizes, LABELS, F.array(F.lit(""), F.format_string("## %s (%d)", "label", "n")),
+    head = _place(sizes, LABELS, F.array(F.lit(""), F.concat(
+        F.lit("## "), _text("label"), F.lit(" ("), _number("n"), F.lit(")"))),
                   grp=F.col("label"))
     entry = F.concat(
         F.array(*_entry_head(options), _priority_line(),

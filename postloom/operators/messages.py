@@ -56,12 +56,12 @@ def drop_failed_accounts(messages: DataFrame, account_status: DataFrame) -> Data
 
 
 def assemble(headers: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Header rows with their bodies; the envelope date wins over the internal date."""
+    """Header rows with their bodies; the envelope date wins over the internal date, a missing text is empty."""
     joined = headers.join(bodies, KEY, "left")
     return joined.select(
         *[c for c in headers.columns if c not in ("subject", "from_addr", "envelope_date", "date")],
-        text.sanitize_header(F.col("subject")).alias("subject"),
-        text.sanitize_address_field(F.col("from_addr")).alias("from_addr"),
+        F.coalesce(text.sanitize_header(F.col("subject")), F.lit("")).alias("subject"),
+        F.coalesce(text.sanitize_address_field(F.col("from_addr")), F.lit("")).alias("from_addr"),
         F.coalesce("envelope_date", "internal_date").alias("date"),
         F.coalesce("body", F.lit("")).alias("body"),
     )

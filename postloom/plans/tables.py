@@ -215,9 +215,8 @@ class Tables:
 
     @cached_property
     def raw_replies(self) -> DataFrame:
-        """First replies in the response shapes of four providers."""
-        first = self.replies.where(F.col("attempt") == 0).withColumn(
-            "raw", F.coalesce("raw", F.lit("")))
+        """First replies and repairs in the response shapes of four providers."""
+        every = self.replies.withColumn("raw", F.coalesce("raw", F.lit("")))
         b = F.col("block")
         provider = (F.when(b % 4 == 0, F.lit("gemini")).when(b % 4 == 1, F.lit("mistral"))
                     .when(b % 4 == 2, F.lit("openrouter")).otherwise(F.lit("ollama")))
@@ -239,7 +238,7 @@ class Tables:
             used.alias("prompt_eval_count"), made.alias("eval_count")))
         body = F.when(provider == "gemini", candidate).when(
             provider == "ollama", local).otherwise(chat)
-        return first.select("run_id", "batch_id", "block", provider.alias("provider"),
+        return every.select("run_id", "batch_id", "attempt", "block", provider.alias("provider"),
                             status.alias("http_status"), body.alias("body"))
 
     @cached_property

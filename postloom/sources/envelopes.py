@@ -75,7 +75,8 @@ def _local() -> tuple[Column, tuple[Column, ...], Column, Column]:
 
 
 def extract_replies(raw_replies: DataFrame) -> DataFrame:
-    """``run_id, batch_id, provider, http_status, raw, *_tokens, reply_error`` per response.
+    """``run_id, batch_id, provider, http_status, raw, *_tokens, reply_error`` per response, and ``attempt`` where the
+    input has it.
 
     One projection over one scan; the shape follows from the provider. A response of an unknown
     provider, or of none, stays as a row with a ``reply_error``.
@@ -101,7 +102,8 @@ def extract_replies(raw_replies: DataFrame) -> DataFrame:
                  .otherwise(F.when(failure.isNotNull(), F.concat(provider, F.lit(".classify: "), failure))))
         error = F.when(is_one, found).otherwise(error)
     names = ("prompt_tokens", "completion_tokens", "total_tokens")
-    return df.select("run_id", "batch_id", "provider", "http_status", text.alias("raw"),
+    keys = [c for c in ("run_id", "batch_id", "attempt") if c in raw_replies.columns]
+    return df.select(*keys, "provider", "http_status", text.alias("raw"),
                      *[t.alias(n) for t, n in zip(tokens, names)], error.alias("reply_error"))
 
 

@@ -340,3 +340,32 @@ def test_ads_highlight_needs_a_predecessor_with_ads(spark):
     snap = spark.createDataFrame([("a", "Ads", 1)], "run_id string, label string, n bigint")
     assert [r.text for r in highlights.ads_increase(labels, prev, snap).collect()] == [
         "Advertisements up by 2 (was 1, now 3)"]
+
+
+def test_missing_header_fields_leave_their_lines(spark):
+    """Null subject, sender and date: empty texts and a zero time, in all three lists of entries."""
+    from postloom.operators import digest as d
+    entry = ("r1", "work", 1, None, None, None, None, "Useful", "high", True, 0.5, None, "s", ["k", None], [], None, None, "b")
+    rows = spark.createDataFrame([entry], "run_id string, account_label string, uid bigint, subject string, from_addr string, "
+                                 "date timestamp_ntz, is_read boolean, label string, priority string, classified boolean, "
+                                 "confidence double, reason string, summary string, key_points array<string>, "
+                                 "action_items array<string>, error string, stage string, excerpt string")
+    options = DigestOptions()
+    head = ["### 1. ", "", "**From:**  | **Date:** 0001-01-01 00:00", "**Status:** 🆕 Unread"]
+
+    def lines(df):
+        return [r.text for r in df.orderBy(*d.ORDER).collect()]
+
+    assert lines(d.attention_lines(rows, options))[1:5] == head
+    listed = lines(d.label_lines(rows, options))
+    assert listed[2:6] == head and "- " in listed and not any("null" in x for x in listed)
+    runs = spark.createDataFrame([("r1", T0)], "run_id string, generated_at timestamp_ntz")
+    none = spark.createDataFrame([], "run_id string, account_label string")
+    plain = d.fallback_lines(runs, none.select("run_id"), none, rows, DigestOptions(
+        include_global_stats=False, include_account_stats=False))
+    assert head == lines(plain)[lines(plain).index("### 1. "):][:4]
+    headers = spark.createDataFrame([("a", 1, None, None, None, T0)], "account_label string, uid bigint, subject string, "
+                                    "from_addr string, envelope_date timestamp_ntz, internal_date timestamp_ntz")
+    bodies = spark.createDataFrame([], "account_label string, uid bigint, body string")
+    row = messages.assemble(headers, bodies).first()
+    assert (row.subject, row.from_addr, row.date, row.body) == ("", "", T0, "")
