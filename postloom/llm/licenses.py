@@ -7,15 +7,15 @@ windows of ``WINDOW`` shingles; a text is read in windows that overlap by half.
 and a verbatim stretch meets its own window surely. A template too short for windows is met by any of its
 shingles. A template is found where the text holds ``CONTAINED`` of its shingles.
 
-Null text counts as empty: nothing is found. A template or a line shorter than a shingle is one shingle
-whole. Repeated rows get equal results.
+A template shorter than a shingle is one run of its own number of words, looked for anywhere in the text. Null text
+counts as empty: nothing is found. Texts are read whole, whatever their length. Repeated rows get equal results.
 """
 
 from __future__ import annotations
 
 import json
 import random
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,6 +101,7 @@ TEMPLATES = {
         "terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version "
         "3 of the License"),
     "mit-licensed-note": "Licensed under the MIT License.",
+    "mit-short-note": "under the MIT License",
     "mit-warranty": (
         'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT '
         'LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO '
@@ -122,20 +123,23 @@ def plain_words(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _short_lines(text: Column, least: int = 1) -> Column:
-    """The words of lines too short for a shingle, joined; a line of a short text is met either way."""
-    listed = F.transform(F.filter(F.split(text, "\n"), lambda x: F.length(x) < 400), plain_words)
-    return F.transform(F.filter(listed, lambda w: (F.size(w) >= least) & (F.size(w) < WIDTH)),
-                       lambda w: F.concat_ws(" ", w))
+def _runs(width: int, of) -> Column:
+    """``of`` each run of ``width`` words; none in a text of fewer."""
+    return F.when(F.size("_words") >= width, shingles("_words", width, of)).otherwise(F.array().cast("array<string>"))
+
+
+def _hashed_runs(width: int) -> Column:
+    return F.when(F.size("_words") >= width, shingles("_words", width, F.xxhash64)).otherwise(
+        F.array().cast("array<bigint>"))
 
 
 def _tokens(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("_words", plain_words(F.col("text"))).withColumn("_lines", _short_lines(F.col("text")))
+    return rows.withColumn("_words", plain_words(F.col("text")))
 
 
-def _strings(rows: DataFrame) -> Column:
-    """All shingles of a text as strings."""
-    return F.array_distinct(F.concat(shingles("_words", WIDTH, lambda s: s), F.col("_lines")))
+def _strings(widths: Sequence[int]) -> Column:
+    """All shingles of a text as strings, and its runs of the ``widths`` of short templates."""
+    return F.array_distinct(F.concat(shingles("_words", WIDTH, lambda s: s), *[_runs(n, lambda s: s) for n in widths]))
 
 
 def _window_keys(hashes: str) -> Column:
@@ -157,7 +161,7 @@ def _window_keys(hashes: str) -> Column:
 def template_table(spark: SparkSession, templates: Mapping[str, str]) -> list[tuple[str, list[int], list[str]]]:
     """(name, keys, shingles) of each template; as large as the templates are."""
     rows = _tokens(spark.createDataFrame(sorted(templates.items()), "name string, text string"))
-    rows = rows.select("name", _strings(rows).alias("strings"), shingles("_words", WIDTH, F.xxhash64).alias("hashes"))
+    rows = rows.select("name", _strings(()).alias("strings"), shingles("_words", WIDTH, F.xxhash64).alias("hashes"))
     out = []
     for row in rows.collect():
         if len(row.hashes) < SHORT:
@@ -174,13 +178,14 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, contained: f
     table = template_table(docs.sparkSession, templates)
     literal = F.from_json(F.lit(json.dumps([{"name": n, "keys": k, "shingles": s} for n, k, s in table])),
                           "array<struct<name:string,keys:array<bigint>,shingles:array<string>>>")
+    widths = sorted({len(s[0].split(" ")) for _, _, s in table if len(s) == 1} - {WIDTH})
     keys = F.from_json(F.lit(json.dumps(sorted({k for _, ks, _ in table for k in ks}))), "array<bigint>")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole().alias("text"))
     rows = _tokens(rows).withColumn("_hashes", shingles("_words", WIDTH, F.xxhash64))
-    own = F.concat("_hashes", _window_keys("_hashes"), F.transform("_lines", lambda x: F.xxhash64(x)))
+    own = F.concat("_hashes", _window_keys("_hashes"), *map(_hashed_runs, widths))
     rows = rows.withColumn("_met", F.array_intersect(own, keys))
     met = F.size("_met") > 0
-    rows = rows.withColumn("_strings", F.when(met, _strings(rows)))
+    rows = rows.withColumn("_strings", F.when(met, _strings(widths)))
 
     def share(t: Column) -> Column:
         return F.struct(t["name"].alias("name"), (F.size(F.array_intersect(t["shingles"], F.col("_strings"))) / F.size(
@@ -209,14 +214,14 @@ def brute_force_sql(templates: Mapping[str, str] = TEMPLATES, contained: float =
 
     shingled = (f"CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(1, greatest(len(w) - {WIDTH - 2}, 2)), "
                 f"lambda i: array_to_string(w[i:i + {WIDTH - 1}], ' ')) END")
-    short = (f"list_transform(list_filter(list_transform(list_filter(string_split(text, chr(10)), lambda x: length(x) < 400), "
-             f"lambda x: {tokens('x')}), lambda v: len(v) BETWEEN 1 AND {WIDTH - 1}), lambda v: array_to_string(v, ' '))")
-    strings = f"list_distinct(list_concat({shingled}, {short}))"
+    lengths = f"SELECT DISTINCT len(w) AS n FROM template WHERE len(w) < {WIDTH}"
     return f"""
-WITH t AS (SELECT name, {strings} AS s FROM (SELECT name, text, {tokens('text')} AS w FROM (VALUES {listed}) v(name, text))),
-d AS (SELECT doc_id, {strings} AS s FROM (SELECT doc_id, text, {tokens('text')} AS w
-    FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))),
-e AS (SELECT doc_id, unnest(s) AS s FROM d),
+WITH template AS (SELECT name, {tokens('text')} AS w FROM (VALUES {listed}) v(name, text)),
+t AS (SELECT name, list_distinct({shingled}) AS s FROM template),
+d AS (SELECT doc_id, {tokens('text')} AS w FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+e AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest({shingled}) AS s FROM d UNION ALL
+    SELECT doc_id, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS s
+    FROM d, ({lengths}) WHERE len(w) >= n)),
 m AS (SELECT e.doc_id, u.name, count(*) / any_value(u.n) AS c FROM e
     JOIN (SELECT name, len(s) AS n, unnest(s) AS s FROM t) u ON e.s = u.s GROUP BY e.doc_id, u.name),
 f AS (SELECT doc_id, count(*) AS n, string_agg(name || ':' || printf('%.3f', c), ',' ORDER BY name) AS l
