@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from postloom.catalog import query
+from postloom.catalog.text import CONTROLS, WS, decoded, stripped
 from postloom.functions import address, dates
 from postloom.operators import flags, messages, ranking, replies, stats
 from postloom.operators.messages import KEY, RUN_KEY
@@ -98,7 +99,13 @@ def _(t: Tables):
                        F.array_join(shown, ";").alias("attachments"))
 
 
-@query("src_06_mime_bodies")
+@query("src_06_mime_bodies", f"""
+WITH leaf AS (SELECT m.account_label, m.uid, regexp_replace(CASE WHEN m.uid % 3 = 1 THEN {stripped("coalesce(p.html, '')")}
+    ELSE coalesce(b.body, '') END, '{CONTROLS}', '', 'g') AS s
+  FROM messages m LEFT JOIN bodies b ON b.account_label = m.account_label AND b.uid = m.uid LEFT JOIN pages p ON p.page_id = m.uid // 40),
+{decoded('leaf', 'uid', 's')}
+SELECT l.account_label, l.uid, length(coalesce(trim(d.text, {WS}), '')) AS body_length, md5(coalesce(trim(d.text, {WS}), '')) AS body_md5
+FROM leaf l LEFT JOIN decoded d ON d.uid = l.uid""")
 def _(t: Tables):
     key = ["account_label", "uid"]
     done = mime.bodies_and_attachments(mime.message_leaves(t.raw_mail))

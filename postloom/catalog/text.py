@@ -38,11 +38,25 @@ outs AS (SELECT {key}, pos, CASE
 decoded AS (SELECT {key}, string_agg(out, '' ORDER BY pos) AS text FROM outs GROUP BY {key})"""
 
 
+def stripped(column: str) -> str:
+    """Text of a page in SQL, for pages whose attributes hold no '>': comments, scripts and styles go, then block tags
+    become line ends and other tags go; lines are trimmed, empty ones dropped."""
+    steps = [r"(?is)<!--.*?(-->|\z)", r"(?is)<(script|style)([^a-z0-9>-][^>]*)?>.*?(</(script|style)[^>]*(>|\z)|\z)"]
+    block = "(?is)</?(" + "|".join(fixed.BLOCK_TAGS) + r")([^a-z0-9>-][^>]*)?(>|\z)"
+    other = r"(?is)</[^>]*(>|\z)|<[a-z!][^>]*(>|\z)"
+    for pattern in steps:
+        column = f"regexp_replace({column}, {literal(pattern)}, '', 'g')"
+    column = f"regexp_replace(regexp_replace({column}, {literal(block)}, chr(10), 'g'), {literal(other)}, '', 'g')"
+    return (f"array_to_string(list_filter(list_transform(string_split({column}, chr(10)), lambda line: trim(line, {WS})), "
+            f"lambda line: line <> ''), chr(10))")
+
+
 def summary(key: str, c):
     return [F.col(key), F.length(c).cast("bigint").alias("n"), F.md5(c).alias("text_md5")]
 
 
-@query("str_01_strip_html")
+@query("str_01_strip_html", f"""
+SELECT page_id, length(x) AS n, md5(x) AS text_md5 FROM (SELECT page_id, {stripped('html')} AS x FROM pages)""")
 def _(t: Tables):
     return t.pages.withColumn("text", text.strip_html(F.col("html"))).select(
         *summary("page_id", F.col("text")))
@@ -98,7 +112,15 @@ def _(t: Tables):
         *summary("uid", F.col("text")))
 
 
-@query("str_05_sanitize_header")
+CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{7F}-\x{9F}]"
+
+
+@query("str_05_sanitize_header", f"""
+WITH plain AS (SELECT page_id, regexp_replace({stripped('html')}, '{CONTROLS}', '', 'g') AS s FROM pages),
+{decoded('plain', 'page_id', 's')}
+SELECT p.page_id, length(x) AS n, md5(x) AS text_md5 FROM (SELECT p.page_id, CASE
+    WHEN regexp_matches(html, '[<&\\x00-\\x1F\\x{{7F}}-\\x{{9F}}]') THEN coalesce(trim(d.text, {WS}), '') ELSE trim(html, {WS}) END AS x
+  FROM pages p LEFT JOIN decoded d ON d.page_id = p.page_id) p""")
 def _(t: Tables):
     return t.pages.withColumn("text", text.sanitize_header(F.col("html"))).select(
         *summary("page_id", F.col("text")))

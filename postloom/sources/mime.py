@@ -1,8 +1,7 @@
-"""Decoding of raw mail messages.
+"""Decoding of raw mail messages, in the row of the message: nothing is shuffled and equal keys stay apart.
 
-Only the MIME walk needs Python; it runs in Arrow batches and adds the leaves of a message to its row,
-so nothing is shuffled and equal keys stay apart. HTML stripping, entity decoding and the choice of
-the body stay column expressions.
+Heads, parts, transfer encodings, HTML stripping, entity decoding and the choice of the body are column expressions.
+Python, in Arrow batches, walks only messages with other charsets, encoded file names or deep nesting.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from email.header import decode_header, make_header
 from email.message import Message
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.functions.text import (decode_bytes, decode_entities, strip_control_chars, strip_html,
@@ -63,15 +62,129 @@ def _leaves(raw: bytes | None) -> list[tuple]:
     return [leaf for leaf in found if leaf is not None]
 
 
+# A header block: lines with a name, and the lines that go on with blank space. Possessive, so that long heads
+# neither backtrack nor grow the matcher's stack.
+_HEAD = r"^(?:[\x21-\x39\x3B-\x7E]++[ \t]*+:[^\n]*+(?:\n|\z)(?:[ \t][^\n]*+(?:\n|\z))*+)*+"
+_UTF8, _ASCII, _LATIN = ("utf-8", "utf8"), ("us-ascii", "ascii"), ("iso-8859-1", "latin1", "latin-1")
+_PLAIN = ("", "7bit", "8bit", "binary")
+# Levels of multiparts that are cut in columns; deeper ones go to the walk in Python.
+LEVELS = 3
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)``, the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _part(text: Column) -> Column:
+    """struct(head, body) of a message or part; the head is unfolded. Bytes are characters 0 to 255 here."""
+    return _let(F.regexp_extract(text, _HEAD, 0), lambda head: F.struct(
+        F.regexp_replace(head, r"\r?\n(?=[ \t])", "").alias("head"),
+        F.regexp_replace(F.substring(text, F.length(head) + 1, F.length(text)), r"^\r?\n", "").alias("body")))
+
+
+def _header(head: Column, name: str) -> Column:
+    return F.regexp_extract(head, rf"(?im)^{name}[ \t]*:[ \t]*([^\r\n]*)", 1)
+
+
+def _parameter(value: Column, name: str) -> Column:
+    """A parameter of a header, null where it has none."""
+    pattern = rf'(?i);\s*{name}\s*=\s*(?:"((?:[^"\\]|\\.)*+)"|([^;\s]*+))'
+    text = F.concat(F.regexp_replace(F.regexp_extract(value, pattern, 1), r"\\(.)", "$1"),
+                    F.regexp_extract(value, pattern, 2))
+    return F.when(value.rlike(pattern), text)
+
+
+def _type(head: Column) -> Column:
+    """The content type; text/plain where it is missing or no type."""
+    given = F.lower(F.trim(F.substring_index(_header(head, "content-type"), ";", 1)))
+    return F.when(given.rlike("^[^/]+/[^/]+$"), given).otherwise(F.lit("text/plain"))
+
+
+def _cut(part: Column) -> Column:
+    """The parts of a multipart between its boundaries, or the part alone."""
+    def between(boundary: Column) -> Column:
+        mark = F.concat(F.lit("\r?\n--\\Q"), boundary, F.lit("\\E"))
+        whole = F.get(F.split(F.concat(F.lit("\n"), part["body"]), F.concat(mark, F.lit("--[ \\t]*(?:\r?\n|\\z)")), 2), F.lit(0))
+        pieces = F.split(whole, F.concat(mark, F.lit("[ \\t]*(?=\r?\n|\\z)")), -1)
+        return F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
+                           lambda p: _part(F.regexp_replace(p, r"^\r?\n", "")))
+
+    boundary = _parameter(_header(part["head"], "content-type"), "boundary")
+    inner = F.when(_type(part["head"]).startswith("multipart/") & (F.coalesce(boundary, F.lit("")) != ""), between(boundary))
+    return _let(inner, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(part)))
+
+
+def _unquoted(text: Column) -> Column:
+    """Quoted-printable: soft line ends go, ``=XX`` is a byte, any other ``=`` stays."""
+    def piece(p: Column, i: Column) -> Column:
+        code = F.chr(F.conv(F.substring(p, 1, 2), 16, 10).cast("bigint"))
+        code = F.when(F.substring(p, 1, 2) == "00", F.lit("\0")).otherwise(code)
+        return (F.when(i == 0, p)
+                .when(p.rlike(r"^[0-9A-Fa-f]{2}"), F.concat(code, F.substring(p, F.lit(3), F.length(p))))
+                .when(p.rlike(r"^[ \t]*\r?\n"), F.regexp_replace(p, r"^[ \t]*\r?\n", ""))
+                .otherwise(F.concat(F.lit("="), p)))
+
+    return F.array_join(F.transform(F.split(text, "="), piece), "")
+
+
+def _native_leaf(part: Column) -> Column:
+    """struct(leaf, odd): a leaf, and whether it needs the walk in Python: other charsets and encodings, encoded or
+    continued file names, types of multiparts that change their parts."""
+    def leaf(h: Column) -> Column:
+        given = F.coalesce(_parameter(h["disposition"], "filename"), _parameter(h["content"], "name"))
+        attached = (F.lower(F.trim(F.substring_index(h["disposition"], ";", 1))) == "attachment") | given.isNotNull() | (
+            h["type"] == "message/rfc822")
+        packed = F.regexp_replace(part["body"], "[^A-Za-z0-9+/=]", "")
+        unpacked = F.decode(F.try_to_binary(packed, F.lit("base64")), "ISO-8859-1")
+        payload = F.when(h["encoding"] == "base64", unpacked).when(
+            h["encoding"] == "quoted-printable", _unquoted(part["body"])).otherwise(part["body"])
+        charset = F.coalesce(F.lower(F.trim(_parameter(h["content"], "charset"))), F.lit("utf-8"))
+        is_text = h["type"].startswith("text/") & ~attached
+
+        def read(data: Column) -> Column:
+            text = (F.when(charset.isin(*_UTF8), F.make_valid_utf8(F.encode(data, "ISO-8859-1").cast("string")))
+                    .when(charset.isin(*_ASCII), F.regexp_replace(data, r"[\x80-\xFF]", "\uFFFD")).otherwise(data))
+            odd = (data.isNull() | ~h["encoding"].isin(*_PLAIN, "base64", "quoted-printable")
+                   | (is_text & ~charset.isin(*_UTF8, *_ASCII, *_LATIN)) | (h["type"] == "multipart/digest")
+                   | F.coalesce(given, F.lit("")).contains("=?") | F.concat_ws(";", h["content"], h["disposition"]).rlike(
+                       r"(?i);\s*(?:file)?name\*") | given.rlike(r"[\x80-\xFF]"))
+            return F.struct(
+                F.struct(h["type"].alias("mime_type"), F.coalesce(given, F.lit("")).alias("filename"),
+                         attached.alias("is_attachment"), F.length(data).cast("bigint").alias("size"),
+                         F.when(is_text, text).alias("text")).alias("leaf"),
+                F.coalesce(odd, F.lit(False)).alias("odd"))
+
+        return _let(payload, read)
+
+    heads = F.struct(_header(part["head"], "content-type").alias("content"), _type(part["head"]).alias("type"),
+                     _header(part["head"], "content-disposition").alias("disposition"),
+                     F.lower(F.trim(_header(part["head"], "content-transfer-encoding"))).alias("encoding"))
+    return _let(heads, leaf)
+
+
 def message_leaves(raw: DataFrame, column: str = "raw") -> DataFrame:
-    """``raw`` with the MIME leaves of each message as ``leaves`` in place of the binary column."""
+    """``raw`` with the MIME leaves of each message as ``leaves`` in place of the binary column.
+
+    Heads, boundaries, transfer encodings and the common charsets are column expressions in the message's row. Messages
+    with an odd leaf, or multiparts nested deeper than ``LEVELS``, go through the walk in Python instead.
+    """
 
     @F.pandas_udf(LEAVES)
-    def leaves(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def walked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([_leaves(data) for data in batch], dtype="object")
 
-    return raw.withColumn("leaves", leaves(column)).drop(column)
+    rows = raw.withColumn("_parts", F.array(_part(F.decode(F.col(column), "ISO-8859-1"))))
+    for _ in range(LEVELS):
+        rows = rows.withColumn("_parts", F.flatten(F.transform("_parts", _cut)))
+    rows = rows.withColumn("_leaves", F.transform("_parts", _native_leaf))
+    deeper = F.exists("_parts", lambda p: F.size(_cut(p)) > 1)
+    odd = F.exists("_leaves", lambda x: x["odd"]) | deeper
+    rows = rows.withColumn("_odd", F.coalesce(odd, F.lit(False))).drop("_parts")
+    native = F.coalesce(F.transform("_leaves", lambda x: x["leaf"]), F.array().cast(LEAVES))
+    own = walked(F.when(F.col("_odd"), F.col(column)))
+    return rows.withColumn("leaves", F.when(F.col("_odd"), own).otherwise(native)).drop(column, "_leaves", "_odd")
 
 
 def bodies_and_attachments(decoded: DataFrame) -> DataFrame:

@@ -1,5 +1,9 @@
 """Raw messages in, body and attachments out."""
 
+import base64
+import quopri
+import random
+
 import pytest
 
 from postloom.sources import mime
@@ -82,3 +86,55 @@ def test_no_row_ends_the_job(spark):
     df = spark.createDataFrame([(1, None if b is None else bytearray(b)) for b in bad], "uid bigint, raw binary")
     out = [r.body for r in mime.bodies_and_attachments(mime.message_leaves(df)).collect()]
     assert len(out) == len(bad) and {"one", "two", ""} <= set(out)
+
+
+def random_mail(rng, depth=0):
+    """A message or part of random structure, types, encodings and names."""
+    eol = rng.choice(["\r\n", "\n"])
+    if depth < 3 and rng.random() < (0.6 if depth == 0 else 0.3):
+        boundary = rng.choice(["=_b", "=_b2", "x(y)+z", "--in--"]) + str(depth)
+        kind = rng.choice(["mixed", "alternative", "related"])
+        quoted = f'"{boundary}"' if rng.random() < 0.7 or "(" in boundary else boundary
+        lines = [f"Content-Type: multipart/{kind};", f" boundary={quoted}", "", rng.choice(["", "preamble --" + boundary])]
+        for _ in range(rng.randrange(0, 4)):
+            lines += [f"--{boundary}{rng.choice(['', ' '])}", random_mail(rng, depth + 1)]
+        if rng.random() < 0.9:
+            lines += [f"--{boundary}--", rng.choice(["", "epilogue", f"--{boundary}"])]
+        return eol.join(lines)
+    text = rng.choice(["", "Plain text.", "a = b & c\n\nd", "<p>x</p>", "J'ai réussi", "café ✓ " * 10, "From x"])
+    encoding = rng.choice(["", "7bit", "8bit", "base64", "quoted-printable", "QUOTED-PRINTABLE"])
+    charset = rng.choice(["utf-8", "UTF-8", "iso-8859-1", "us-ascii", "latin1", ""])
+    data = text.replace("\n", eol).encode("utf-8" if charset.lower() in ("utf-8", "") else "latin-1", "replace")
+    if encoding == "base64":
+        body = base64.encodebytes(data).decode().replace("\n", eol)
+    elif encoding.lower() == "quoted-printable":
+        body = quopri.encodestring(data).decode("latin-1").replace("\n", "\n")
+    else:
+        body = data.decode("latin-1")
+    heads = [f"X-{k}: y" for k in range(rng.randrange(3))]
+    if rng.random() < 0.9:
+        kind = rng.choice(["text/plain", "text/html", "TEXT/Plain", "application/pdf", "image/png", "message/rfc822", "bad"])
+        heads.append(f"Content-Type: {kind}" + (f"; charset={charset}" if charset else "") + rng.choice(
+            ["", "; name=r.pdf", ';\n\tname="a \\" b.txt"']).replace("\n", eol))
+    if encoding:
+        heads.append(f"{rng.choice(['Content-Transfer-Encoding', 'content-transfer-encoding'])}: {encoding}")
+    if rng.random() < 0.3:
+        heads.append(rng.choice(["Content-Disposition: inline", "Content-Disposition: attachment",
+                                 'Content-Disposition: Attachment; filename="x y.csv"', 'Content-Disposition: inline; filename=""']))
+    rng.shuffle(heads)
+    return eol.join([*heads, "", body])
+
+
+def test_columns_and_walk_agree(spark):
+    """Leaves from column expressions and from the walk in Python, over mails of random structure."""
+    rng = random.Random(11)
+    mails = [random_mail(rng).encode("latin-1", "replace") for _ in range(600)]
+    df = spark.createDataFrame([(k, bytearray(m)) for k, m in enumerate(mails)], "uid bigint, raw binary")
+
+    def compared(rows):
+        """Of nested mails the walk gives the size of a new rendering; multiparts without parts are neither text nor
+        attachment."""
+        return [x[:3] + (None if x[0] == "message/rfc822" else x[3], x[4]) for x in rows if not x[0].startswith("multipart/")]
+
+    for r in mime.message_leaves(df).collect():
+        assert compared(map(tuple, r.leaves)) == compared(mime._leaves(mails[r.uid])), mails[r.uid]
