@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import Window
@@ -9,15 +10,17 @@ from pyspark.sql import functions as F
 
 from postloom import schemas
 from postloom.catalog import query
-from postloom.catalog.replies import FIRST
+from postloom.catalog.replies import FIRST, rule_provider
 from postloom.catalog.statistics import (COUNTS, ENTRIES, HIGHLIGHT_LINES, SENDERS, accounts, header_snapshot, previous,
                                          run_senders)
 from postloom.operators import digest, highlights, messages, stats
 from postloom.operators.messages import RUN_KEY
 from postloom.params import DigestOptions, TriageOptions
 from postloom.plans import triage as plan
+from postloom.plans.run import run_once
 from postloom.plans.tables import Tables
 from postloom.session import shared_root, stage
+from postloom.sources.landing import Landing
 from postloom.sources.ledger import Ledger, write_payloads
 
 OPTIONS = DigestOptions()
@@ -333,6 +336,26 @@ def _(t: Tables):
         "id", "status", "message_count", "error", "digest")
 
 
+@query("udf_03_user_interfaces", """
+SELECT account_label || '/' || CAST(uid AS STRING) || ' ' || CASE WHEN is_read THEN 'Useful' ELSE 'Ads' END AS line FROM messages""")
+def _(t: Tables):
+    """A whole run with the user's own source (a landing table), classifier and renderer; the lines it rendered."""
+    base = f"{shared_root(t.spark)}/users/{uuid.uuid4().hex}"
+    rows = t.messages_with_body.select("account_label", "uid", "folder", "subject", "from_addr", "internal_date", "date",
+                                       "is_read", "body")
+    landing = Landing(t.spark, f"{base}/landed", rows.schema)
+    landing.write(rows)
+
+    def renderer(runs, totals, accounts, entries, notable, options):
+        text = F.concat("account_label", F.lit("/"), F.col("uid").cast("string"), F.lit(" "), "label")
+        return entries.select("run_id", F.lit(0).alias("section"), F.col("account_label").alias("grp"),
+                              F.col("uid").alias("item"), F.lit("").alias("key"), F.lit(0).alias("line"), text.alias("text"))
+
+    result = run_once(t.spark, Ledger(t.spark, f"{base}/ledger"), landing.ingest(), rule_provider, f"{base}/payloads",
+                      now=dt.datetime(2024, 2, 1), window_hours=24 * 366, renderer=renderer, parallelism=8)
+    return result.lines.select(F.col("text").alias("line"))
+
+
 def closed_at():
     return F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
 

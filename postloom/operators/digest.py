@@ -17,6 +17,7 @@ from postloom.operators import ranking, stats
 from postloom.operators.messages import (confidence_percent, only_high_priority, priority_text,
                                          read_badge)
 from postloom.params import DigestOptions
+from postloom.session import stage
 
 ORDER = ["section", "grp", "item", "key", "line"]
 HEADER, HIGHLIGHTS, SUMMARY, ACCOUNTS, ATTENTION, LABELS, FOOTER = range(7)
@@ -284,14 +285,16 @@ def sizes(lines: DataFrame) -> DataFrame:
     return lines.groupBy("run_id").agg(size.alias("bytes"))
 
 
-def assemble(lines: DataFrame) -> DataFrame:
+def assemble(lines: DataFrame, most_bytes: int = fixed.PAYLOAD_LIMIT) -> DataFrame:
     """``run_id, bytes, payload, payload_hash`` per run: the whole digest as one text.
 
-    ``max_messages`` bounds a digest. Without that bound the line table and its range-partitioned
-    files are the product, and no text is put together.
+    A digest of more than ``most_bytes``, measured before any text is put together, has neither payload nor hash: no
+    channel takes it, and its lines, in the line table and its range-partitioned files, are the product. What
+    ``max_messages`` does not bound, such as the lines of a run's accounts, never meets in one row beyond that.
     """
+    measured = stage(sizes(lines), "sizes")
+    fits = measured.where(F.col("bytes") <= most_bytes)
     ordered = F.sort_array(F.collect_list(F.struct(*ORDER, "text")))
-    size = F.sum(F.octet_length("text") + 1) - 1
-    texts = lines.groupBy("run_id").agg(size.alias("bytes"), F.array_join(
+    texts = lines.join(fits.select("run_id"), "run_id", "left_semi").groupBy("run_id").agg(F.array_join(
         F.transform(ordered, lambda r: r["text"]), "\n").alias("payload"))
-    return texts.withColumn("payload_hash", F.sha2("payload", 256))
+    return measured.join(texts, "run_id", "left").withColumn("payload_hash", F.sha2("payload", 256))

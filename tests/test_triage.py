@@ -369,3 +369,13 @@ def test_missing_header_fields_leave_their_lines(spark):
     bodies = spark.createDataFrame([], "account_label string, uid bigint, body string")
     row = messages.assemble(headers, bodies).first()
     assert (row.subject, row.from_addr, row.date, row.body) == ("", "", T0, "")
+
+
+def test_large_digests_are_not_put_together(spark):
+    """A text beyond the limit has its size alone; the others are whole."""
+    from postloom.operators import digest as d
+    rows = [("r1", 0, "", k, "", 0, "x" * 10) for k in range(5)] + [("r2", 0, "", 0, "", 0, "short"), ("r2", 0, "", 1, "", 0, "")]
+    lines = spark.createDataFrame(rows, "run_id string, section int, grp string, item bigint, key string, line int, text string")
+    out = {r.run_id: (r.bytes, r.payload, r.payload_hash is None) for r in d.assemble(lines, 20).collect()}
+    assert out == {"r1": (54, None, True), "r2": (6, "short\n", False)}
+    assert d.assemble(lines).where("payload is null").count() == 0
