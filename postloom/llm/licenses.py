@@ -128,9 +128,15 @@ def _runs(width: int, of) -> Column:
     return F.when(F.size("_words") >= width, shingles("_words", width, of)).otherwise(F.array().cast("array<string>"))
 
 
-def _hashed_runs(width: int) -> Column:
-    return F.when(F.size("_words") >= width, shingles("_words", width, F.xxhash64)).otherwise(
-        F.array().cast("array<bigint>"))
+def _hashed_runs(width: int, firsts: Sequence[str]) -> Column:
+    """Hashes of the runs of ``width`` words that begin with one of some words: no other can be a short template."""
+    w = F.col("_words")
+
+    def run(x: Column, i: Column) -> Column:
+        rest = [F.get(w, i + k) for k in range(1, width)]
+        return F.when(x.isin(*firsts) & (i + width <= F.size(w)), F.xxhash64(F.concat_ws(" ", x, *rest)))
+
+    return F.filter(F.transform(w, run), lambda h: h.isNotNull())
 
 
 def _tokens(rows: DataFrame) -> DataFrame:
@@ -178,11 +184,13 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, contained: f
     table = template_table(docs.sparkSession, templates)
     literal = F.from_json(F.lit(json.dumps([{"name": n, "keys": k, "shingles": s} for n, k, s in table])),
                           "array<struct<name:string,keys:array<bigint>,shingles:array<string>>>")
-    widths = sorted({len(s[0].split(" ")) for _, _, s in table if len(s) == 1} - {WIDTH})
+    short = [s[0].split(" ") for _, _, s in table if len(s) == 1 and s[0].count(" ") < WIDTH - 1]
+    widths = sorted({len(words) for words in short})
     keys = F.from_json(F.lit(json.dumps(sorted({k for _, ks, _ in table for k in ks}))), "array<bigint>")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole().alias("text"))
     rows = _tokens(rows).withColumn("_hashes", shingles("_words", WIDTH, F.xxhash64))
-    own = F.concat("_hashes", _window_keys("_hashes"), *map(_hashed_runs, widths))
+    own = F.concat("_hashes", _window_keys("_hashes"), *[
+        _hashed_runs(n, sorted({words[0] for words in short if len(words) == n})) for n in widths])
     rows = rows.withColumn("_met", F.array_intersect(own, keys))
     met = F.size("_met") > 0
     rows = rows.withColumn("_strings", F.when(met, _strings(widths)))
