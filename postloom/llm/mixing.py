@@ -3,17 +3,19 @@
 A source is an endless stream of its documents in hashed order, cut into blocks. Block ``k`` of a
 source with share ``a / period`` is released at slot ``floor(k * period / a)`` and due by
 ``ceil((k + 1) * period / a)``; earliest deadline first gives every released block its slot in time, so
-a source is never a whole block away from its share. The schedule repeats after ``period`` slots: only
-one period is scheduled, and every block finds its slot there.
+a source is never a whole block away from its share.
 
-No document is lost: the mixture ends when every source was used up once; sources of higher target
-than their size start over (``copy`` counts). Null is a source of its own; repeated rows are documents of
-their own; rows with a null doc_id are ordered by text.
+The mixture is as long as the targets ask: until the source that is largest beside its target was used up once. This
+length is cut into equal frames of at most ``PERIOD`` slots; a frame gives each source whole slots, one is scheduled,
+and every block finds its slot there. No document is lost: a source has slots for all of it. Sources of higher target
+than their size start over (``copy`` counts). A target under one slot a frame is met with one slot. Null is a
+source of its own; repeated rows are documents of their own; rows with a null doc_id are ordered by text.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Mapping
 from fractions import Fraction
 
@@ -23,21 +25,34 @@ from pyspark.sql import functions as F
 from postloom.llm.common import packed, unpacked
 
 BLOCK = 32
-PERIOD = 4096
+PERIOD = 1 << 16
+# Sources have slots each in a plan that is made in the driver and sent to every task: so many at most, else an error.
+SOURCES = 1 << 14
 EXPONENT = 0.8
 NUMBERING = 4096
 
 
-def shares(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole slots per period for each source: in proportion, at least one, ``period`` in sum."""
-    named = sorted(k for k, w in weights.items() if w > 0)
-    total = sum(weights[k] for k in named)
-    spare = period - len(named)
-    exact = {k: Fraction(weights[k] / total) * spare for k in named}
-    out = {k: 1 + int(exact[k]) for k in named}
-    for k in sorted(named, key=lambda k: (int(exact[k]) - exact[k], k))[:period - sum(out.values())]:
+def frame(weights: Mapping[str, float], sizes: Mapping[str, int], block: int = BLOCK,
+          longest: int = PERIOD) -> tuple[dict[str, int], int]:
+    """Whole slots of each source in a frame, and the number of frames.
+
+    The frames are as long as all sources need to be used up once at their targets: size / share of the one
+    that needs longest. A source has at least the slots that its blocks need, so a frame may be longer than the targets
+    ask by less than a slot a source.
+    """
+    named = sorted(k for k, w in weights.items() if w > 0 and sizes[k] > 0)
+    if not named:
+        return {}, 0
+    total = sum(Fraction(weights[k]) for k in named)
+    share = {k: Fraction(weights[k]) / total for k in named}
+    length = max(math.ceil(Fraction(sizes[k], block) / share[k]) for k in named)
+    frames = -(-length // longest)
+    slots = -(-length // frames)
+    out = {k: max(int(share[k] * slots), -(-(-(-sizes[k] // block)) // frames)) for k in named}
+    spare = max(0, slots - sum(out.values()))
+    for k in sorted(named, key=lambda k: (out[k] - share[k] * slots, k))[:spare]:
         out[k] += 1
-    return out
+    return out, frames
 
 
 def pfair(slots: Mapping[str, int]) -> list[tuple[str, int, int]]:
@@ -98,31 +113,23 @@ def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, block:
     else:
         named = {"" if k is None else f"={k}": w for k, w in weights.items()}
         weights = {k: named.get(k, 0.0) for k in sizes}
-    period = PERIOD
-    while period < 16 * len(sizes):
-        period *= 2
-    slots = shares(weights, period) if any(w > 0 for w in weights.values()) else {}
-    # Slots until the last source was used up once: its last block is number ceil(n / block) - 1.
-    plan = pfair(slots)
-    at = {(s, k): slot for s, k, slot in plan}
-    end = 0
-    for s, a in slots.items():
-        last = -(-sizes[s] // block) - 1
-        end = max(end, last // a * period + at[s, last % a] + 1)
-    table = spark.createDataFrame(
-        [(s, k, slot, slots[s], sizes[s]) for s, k, slot in plan],
-        "_source string, _k bigint, _slot bigint, _a bigint, _size bigint")
+    if len(sizes) > SOURCES:
+        raise ValueError(f"{len(sizes)} sources; join small ones to at most {SOURCES}")
+    slots, frames = frame(weights, sizes, block)
+    period = sum(slots.values())
+    table = spark.createDataFrame(pfair(slots), "_source string, _k bigint, _slot bigint")
     per_source = spark.createDataFrame(
-        [(s, slots[s], sizes[s], -(-end * slots[s] * block // (period * sizes[s])) + 1) for s in slots],
+        [(s, a, sizes[s], -(-frames * a * block // sizes[s]) - 1) for s, a in slots.items()],
         "_source string, _a bigint, _size bigint, _copies bigint")
+    # Both tables are bounded: by PERIOD slots and one more a source, and by the sources.
     placed = _numbered(rows, ["text"]).join(F.broadcast(per_source), "_source")
     placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies"))))
     placed = placed.withColumn("_at", F.col("_index") + F.col("copy") * F.col("_size"))
     placed = placed.withColumn("block", F.floor(F.col("_at") / block)).withColumn(
         "_k", F.col("block") % F.col("_a")).drop("_size")
     slot = F.floor(F.col("block") / F.col("_a")) * period + F.col("_slot")
-    placed = placed.join(F.broadcast(table.select("_source", "_k", "_slot")), ["_source", "_k"]).withColumn(
-        "slot", slot).where(F.col("slot") < end)
+    placed = placed.where(F.col("block") < F.lit(frames) * F.col("_a")).join(
+        F.broadcast(table), ["_source", "_k"]).withColumn("slot", slot)
     return placed.withColumn("position", F.col("slot") * block + F.col("_at") % block)
 
 
