@@ -2,7 +2,9 @@
 
 Each bit of a language's codeword is predicted by a binary naive Bayes classifier; decoding takes the
 codeword of least weighted loss and flags a narrow win. Null text and text without a letter are
-``und`` with score 0. Without any labelled row everything is ``und``. Repeated rows get equal results.
+``und`` with score 0. Without any labelled row everything is ``und``. Repeated rows get equal results; a row
+without an id is no part of the sample and is predicted as any other. Of languages of equal loss the first by name
+is taken. Long texts are read whole, in pieces.
 """
 
 from __future__ import annotations
@@ -100,14 +102,23 @@ def fold(docs: DataFrame):
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """At most ``per_language`` labelled rows of each language, none of fold 0; whole texts."""
+    """At most ``per_language`` labelled documents of each language, none of fold 0; whole texts.
+
+    Ids are counted per language first; a hash threshold then leaves about twice as many as wanted, and only those are
+    ranked by their hash. So the task that ranks a language gets a bounded number of rows, however many there
+    are. Of several rows with one id and language the least text counts.
+    """
     labelled = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text").where(
         (fold(docs) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    hashed = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 31) - 1))
+    # One row a language; the rows left are bounded in number, and go to the texts.
+    near = labelled.select("doc_id", "lang").join(F.broadcast(counts), "lang").where(
+        hashed * F.col("n").cast("double") <= F.lit(float(2 * per_language << 31))).select("doc_id", "lang").distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("doc_id", "lang").distinct().withColumn("_at", F.row_number().over(order)).where(
-        F.col("_at") <= per_language).drop("_at")
-    # The ids are bounded by the sample, so they go to the texts.
-    return labelled.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    ids = near.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= per_language).drop("_at")
+    found = labelled.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
+    return found.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def _bucket_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
