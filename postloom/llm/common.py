@@ -85,7 +85,8 @@ def components(edges: DataFrame) -> DataFrame:
     state = stage(state.distinct(), "edges")
     seen = None
     while True:
-        mark = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        # equal counts and equal exact sums of 64-bit hashes: the same edges
+        mark = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(mark) == seen:
             return state.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
                 state.select("v", "v").distinct())
