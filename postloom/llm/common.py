@@ -49,12 +49,17 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, BLANKS), lambda w: w != "")
 
 
-def shingles(word_list: str, width: int, of) -> Column:
+def let(value: Column, use) -> Column:
+    """``use(value)``: the value is computed once, whatever the optimizer does with the columns it comes from."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def shingles(word_list: str | Column, width: int, of) -> Column:
     """``of(joined words)`` for each run of ``width`` words; fewer words make one shingle, none none.
 
-    ``word_list`` names a column: inside the lambda a column is read, not computed again.
+    ``word_list`` names a column, or is the variable of ``let``: inside the lambda it is read, not computed again.
     """
-    w = F.col(word_list)
+    w = F.col(word_list) if isinstance(word_list, str) else word_list
 
     def at(x: Column, i: Column) -> Column:
         rest = [F.get(w, i + k) for k in range(1, width)]

@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postloom.llm.common import ascii_lower, shingles, stage, whole, words
+from postloom.llm.common import ascii_lower, let, shingles, stage, whole, words
 
 K = 128
 WIDTH = 5
 # Documents of 2**BLOCK consecutive ids are neighbours in one task.
-BLOCK = 12
+BLOCK = 8
+# Scripts that are written without spaces: each character is a word of its own.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
 def bottom(hashes: Column, k: int = K) -> Column:
@@ -25,9 +27,9 @@ def bottom(hashes: Column, k: int = K) -> Column:
 
 
 def with_sketch(rows: DataFrame, text: Column, name: str) -> DataFrame:
-    """``rows`` with the sketch of a text."""
-    rows = rows.withColumn("_words", words(ascii_lower(text)))
-    return rows.withColumn(name, bottom(shingles("_words", WIDTH, F.xxhash64))).drop("_words")
+    """``rows`` with the sketch of a text: shingles of words, or of characters where a script has no spaces."""
+    spaced = F.when(text.rlike(UNSPACED), F.regexp_replace(text, f"({UNSPACED})", " $1 ")).otherwise(text)
+    return rows.withColumn(name, let(words(ascii_lower(spaced)), lambda w: bottom(shingles(w, WIDTH, F.xxhash64))))
 
 
 def merge(a: Column, b: Column, k: int = K) -> Column:

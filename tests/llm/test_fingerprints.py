@@ -48,6 +48,18 @@ def test_documents(documents):
     assert sum(close) / len(close) < 0.05
 
 
+def test_scripts_without_spaces(spark):
+    """Texts that differ in their last character are alike, in any script; spaced words are left as they are."""
+    han = "今日天气很好我们去公园散步然后回家吃饭睡觉了"
+    kana, thai = "きょうはとてもよいてんきですね", "วันนี้อากาศดีมากเราไปเดินเล่น"
+    cases = [han, han[:-1] + "吗", kana, kana[:-1] + "よ", thai, thai[:-1] + "ก", "one two three four five", f"a {han} b"]
+    rows = spark.createDataFrame(list(enumerate(cases)), "doc_id int, text string")
+    got = {r.doc_id: r.sketch for r in fp.with_sketch(rows, F.col("text"), "sketch").collect()}
+    assert all(likeness(got[k], got[k + 1]) > 0.8 for k in (0, 2, 4))
+    assert likeness(got[0], got[2]) == 0 and len(got[6]) == 1 and 0.6 < likeness(got[0], got[7]) < 1
+    assert got[6] == sketch(cases[6]) and got[0] == sketch(" ".join(han))
+
+
 def test_merge_equals_whole(spark, documents):
     rows = fp.with_sketch(documents.select("doc_id", "text"), F.coalesce("text", F.lit("")), "sketch")
     rows = rows.withColumn("part", F.col("doc_id") % 3)
