@@ -96,16 +96,16 @@ def triage(fetched: DataFrame, requests: DataFrame, answers: DataFrame, account_
     to the shared folder, because statistics, highlights, digest, flags and ledger rows all start
     from it; so are the small tables of counts that many digest lines read.
     """
-    usable, fresh = select_messages(fetched, account_status, ledger, options)
+    # Digest and ledger show an excerpt only: it is cut at the scan, and what was fetched is stored once without its
+    # bodies. A renderer that wants whole bodies joins them by key.
+    short = stage(fetched.withColumn("excerpt", excerpt(
+        F.col("body"), options.digest.max_message_excerpt)).drop("body"), "fetched")
+    usable, fresh = select_messages(short, account_status, ledger, options)
     wanted = requests.join(fresh.select(*messages.RUN_KEY), messages.RUN_KEY, "left_semi")
     valid, failed, batches = replies.partial_fallback(
         wanted, answers, options.labels, options.repair_attempts)
     failed = stage(failed, "failed")
-    # digest and ledger show an excerpt only: cut it at the scan, before the rows are shuffled;
-    # a renderer that wants whole bodies joins them by key
-    short = fresh.withColumn("excerpt", excerpt(
-        F.col("body"), options.digest.max_message_excerpt)).drop("body")
-    rows = stage(stats.entries(short, valid, failed), "entries")
+    rows = stage(stats.entries(fresh, valid, failed), "entries")
 
     senders = stage(stats.sender_counts(rows), "senders")
     domains, labels = stats.domain_counts(senders), stats.label_counts(rows)
