@@ -250,10 +250,20 @@ def _(t: Tables):
     return t.documents.select("doc_id", F.md5(hidden).alias("text_md5"))
 
 
-@query("str_25_convert_charset", "SELECT doc_id, md5(text) AS text_md5 FROM documents")
+@query("str_25_convert_charset", r"""
+SELECT doc_id, md5(CASE WHEN doc_id % 5 = 3 THEN regexp_replace(text, '[^\x00-\x7F]', '', 'g')
+  WHEN doc_id % 5 = 4 THEN regexp_replace(text, '[^\x00-\x{FF}]', '', 'g') ELSE text END) AS text_md5 FROM documents""")
 def _(t: Tables):
-    back = text.convert_charset(F.encode("text", "UTF-16LE"), "UTF-16LE")
-    return t.documents.select("doc_id", F.md5(back).alias("text_md5"))
+    """Each document through one of five charsets, named by its row."""
+    names = ["UTF-8", "UTF-16LE", "UTF-16BE", "us-ascii", "ISO-8859-1"]
+    plain = {"us-ascii": r"[^\x00-\x7F]", "ISO-8859-1": r"[^\x00-\xFF]"}
+    kind, raw, charset = F.col("doc_id") % 5, F.lit(None).cast("binary"), F.lit(None).cast("string")
+    for k, name in enumerate(names):
+        kept = F.regexp_replace("text", plain[name], "") if name in plain else F.col("text")
+        raw = F.when(kind == k, F.encode(kept, name.upper())).otherwise(raw)
+        charset = F.when(kind == k, F.lit(name)).otherwise(charset)
+    rows = t.documents.select("doc_id", raw.alias("raw"), charset.alias("charset"))
+    return rows.select("doc_id", F.md5(text.convert_charset(F.col("raw"), F.col("charset"))).alias("text_md5"))
 
 
 @query("set_01_label_set", """

@@ -1,4 +1,4 @@
-"""Text cleaning as column expressions; only the decoding of charsets runs Python, in Arrow batches.
+"""Text cleaning as column expressions; only the decoding of rare charsets runs Python, in Arrow batches.
 
 A function uses its argument once where it can: an argument repeated in an expression is evaluated
 again, and nested functions would multiply that.
@@ -211,10 +211,21 @@ def decode_bytes(data: bytes, charset: str | None) -> str | None:
         return None
 
 
+# Charsets that column expressions read (names in lower case); any other goes through Python.
+UTF8, ASCII, LATIN = ("utf-8", "utf8"), ("us-ascii", "ascii"), ("iso-8859-1", "latin1", "latin-1")
+
+
 def convert_charset(raw: Column, charset: Column | str = "UTF-8") -> Column:
     """Bytes to text; the charset may differ by row. A row never ends the job: bad bytes become the
-    replacement character, an unknown charset gives null. Decoded in Arrow batches."""
-    return _decoded(raw, F.lit(charset) if isinstance(charset, str) else charset)
+    replacement character, an unknown charset gives null, a null one means UTF-8. Bytes in UTF-8, ASCII and Latin-1 are
+    read by column expressions; only those of other charsets go to Python, in Arrow batches."""
+    given = F.lit(charset) if isinstance(charset, str) else charset
+    name = F.lower(F.trim(F.coalesce(given, F.lit("utf-8"))))
+    latin = F.decode(raw, "ISO-8859-1")
+    other = F.when(~name.isin(*UTF8, *ASCII, *LATIN), raw)
+    return (F.when(name.isin(*UTF8), F.make_valid_utf8(raw.cast("string")))
+            .when(name.isin(*ASCII), F.regexp_replace(latin, r"[\x80-\xFF]", "\uFFFD"))
+            .when(name.isin(*LATIN), latin).otherwise(_decoded(other, given)))
 
 
 def payload_hash(c: Column) -> Column:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postloom.functions.text import (decode_bytes, decode_entities, strip_control_chars, strip_html,
+from postloom.functions.text import (ASCII, LATIN, UTF8, decode_bytes, decode_entities, strip_control_chars, strip_html,
                                      trim_space)
 
 LEAVES = ("array<struct<mime_type:string,filename:string,is_attachment:boolean,size:bigint,text:string>>")
@@ -65,7 +65,6 @@ def _leaves(raw: bytes | None) -> list[tuple]:
 # A header block: lines with a name, and the lines that go on with blank space. Possessive, so that long heads
 # neither backtrack nor grow the matcher's stack.
 _HEAD = r"^(?:[\x21-\x39\x3B-\x7E]++[ \t]*+:[^\n]*+(?:\n|\z)(?:[ \t][^\n]*+(?:\n|\z))*+)*+"
-_UTF8, _ASCII, _LATIN = ("utf-8", "utf8"), ("us-ascii", "ascii"), ("iso-8859-1", "latin1", "latin-1")
 _PLAIN = ("", "7bit", "8bit", "binary")
 # Levels of multiparts that are cut in columns; deeper ones go to the walk in Python.
 LEVELS = 3
@@ -143,10 +142,10 @@ def _native_leaf(part: Column) -> Column:
         is_text = h["type"].startswith("text/") & ~attached
 
         def read(data: Column) -> Column:
-            text = (F.when(charset.isin(*_UTF8), F.make_valid_utf8(F.encode(data, "ISO-8859-1").cast("string")))
-                    .when(charset.isin(*_ASCII), F.regexp_replace(data, r"[\x80-\xFF]", "\uFFFD")).otherwise(data))
+            text = (F.when(charset.isin(*UTF8), F.make_valid_utf8(F.encode(data, "ISO-8859-1").cast("string")))
+                    .when(charset.isin(*ASCII), F.regexp_replace(data, r"[\x80-\xFF]", "\uFFFD")).otherwise(data))
             odd = (data.isNull() | ~h["encoding"].isin(*_PLAIN, "base64", "quoted-printable")
-                   | (is_text & ~charset.isin(*_UTF8, *_ASCII, *_LATIN)) | (h["type"] == "multipart/digest")
+                   | (is_text & ~charset.isin(*UTF8, *ASCII, *LATIN)) | (h["type"] == "multipart/digest")
                    | F.coalesce(given, F.lit("")).contains("=?") | F.concat_ws(";", h["content"], h["disposition"]).rlike(
                        r"(?i);\s*(?:file)?name\*") | given.rlike(r"[\x80-\xFF]"))
             return F.struct(
