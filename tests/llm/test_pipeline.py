@@ -1,3 +1,5 @@
+import hashlib
+
 import corpus_pipeline
 from postloom.llm import simhash
 from postloom.llm.common import stage as written
@@ -20,8 +22,24 @@ def test_stages(spark, data, documents):
 
 
 def test_edges(spark, edges, nothing):
-    for docs_in in (edges, nothing):
-        docs = docs_in
-        for name, stage in corpus_pipeline.STAGES:
-            docs = written(stage(spark, docs, ""), name)
-        assert docs.count() == (0 if docs_in is nothing else docs.count())
+    """What each stage keeps of nulls, empty and long texts, repeated rows and rows of one id; texts by their digest."""
+    def ids(rows):
+        return sorted((r.doc_id for r in rows), key=lambda d: (d is None, d))
+
+    docs, seen = edges, {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, ""), name)
+        seen[name] = docs.collect()
+    assert ids(seen["language_id"]) == [0, 4, 4, 4, 7, 8, 9, 5000, 9000, None]  # null, blank and letterless texts go
+    assert ids(seen["line_dedup"]) == ids(seen["language_id"])
+    lines = {(r.doc_id, r.text) for r in seen["line_dedup"]}
+    assert {(4, ""), (4, "another text under the same id"), (None, "a row without an id")} <= lines
+    assert ids(seen["simhash_dedup"]) == [0, 4, 7, 8, 9, 5000, 9000, None]  # rows of one id are one document
+    texts = {hashlib.sha256(r.text.encode()).hexdigest() for r in seen["simhash_dedup"]}
+    mixed = [(r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in seen["mix_sources"]]
+    assert {t for _, t in mixed} == texts and set(ids(seen["mix_sources"])) == set(ids(seen["simhash_dedup"]))
+    assert sorted((r.doc_id or -1, r.decoded_sha256) for r in seen["byte_bpe"]) == sorted((d or -1, t) for d, t in mixed)
+    docs = nothing
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, ""), name)
+        assert docs.count() == 0
