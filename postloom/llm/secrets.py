@@ -9,6 +9,7 @@ candidates that are plainly no secrets. Null text counts as empty: no spans. Pos
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,13 @@ ALLOWED = (r"[A-Z]?[a-z/_=+-]+", r"[A-Z/_=+-]+", r"[0-9TZ:./_+-]+",
            r".*(?i:example|sample|placeholder|dummy|changeme).*")
 
 
+# Pieces that words, slugs, paths and identifiers are made of: words of four letters and more, capitalised words, short
+# words and constants that stand between separators, the head of a camel-case name, numbers of up to eight digits.
+WORDLIKE = (r"[a-z]{4,}+", r"[A-Z][a-z]{2,}+", r"(?<![A-Za-z0-9])[A-Za-z]{1,3}+(?![A-Za-z0-9])",
+            r"(?<![A-Za-z0-9])[A-Z]{4,}+(?![A-Za-z0-9])", r"(?<![A-Za-z0-9])[a-z]{1,3}(?=[A-Z][a-z])",
+            r"(?<![0-9])[0-9]{1,8}+(?![0-9])", r"[-/_+=]++")
+
+
 def _span(start: Column, kind: str, end: Column) -> Column:
     return F.struct(start.cast("bigint").alias("start"), F.lit(KINDS.index(kind)).alias("kind"),
                     end.cast("bigint").alias("end"))
@@ -130,10 +138,15 @@ def _by_class(kind: str):
     return spans
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, base and all (sorted arrays of start, kind index, end)."""
+def scan(docs: DataFrame, allowed: Sequence[str] = ALLOWED, wordlike: Sequence[str] = WORDLIKE) -> DataFrame:
+    """One row per document: doc_id, base and all (sorted arrays of start, kind index, end).
+
+    The allow-list suppresses candidates for the entropy windows that match one of ``allowed`` whole, or that
+    consist of ``wordlike`` pieces; the base patterns it does not touch. Repeated rows get equal results, a null doc_id
+    stays null, and texts are read whole, whatever their length.
+    """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole().alias("text"))
-    allowed = "^(?:" + "|".join(ALLOWED) + ")$"
+    whole_match, pieces = "^(?:" + "|".join(allowed) + ")$", "|".join(wordlike)
     text = F.col("text")
     rows = rows.withColumns({
         "m_assign": F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(0)),
@@ -150,7 +163,7 @@ def scan(docs: DataFrame) -> DataFrame:
         "candidates": F.filter(F.transform(
             located(text, CANDIDATE, "hex", F.col("m_candidate")),
             lambda s, i: F.struct(s["start"].alias("start"), F.get(F.col("m_candidate"), i).alias("string"))),
-            lambda c: ~c["string"].rlike(allowed))})
+            lambda c: ~c["string"].rlike(whole_match) & (F.regexp_replace(c["string"], pieces, "") != ""))})
     for kind in CLASSES:
         rows = rows.withColumn(kind, F.when(F.size("candidates") > 0, F.flatten(F.transform(
             "candidates", _by_class(kind)))).otherwise(_none()))
