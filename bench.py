@@ -37,6 +37,9 @@ HEADLINE = [
     "src_06_mime_bodies",
     "llm_03_accepted",
     "flow_03_triage_pass",
+    "src_01_landed_window",
+    "join_01_ledger_lookup",
+    "stm_05_sender_state",
 ]
 
 
