@@ -28,13 +28,18 @@ LEAST = 20
 # as the root of the length: that makes the fewest keys over windows and the characters in them.
 CROWD = 4
 WINDOW = 8
-# Rows up to which a narrow table read from storage is sent to the other side of a join.
+# Rows up to which a narrow table read from storage is sent to the other side of a join, and elements of its lists.
+# A row has ids, digests and numbers of fixed size, an element three numbers: under 60 MB are sent.
 SENT = 200_000
+SENT_ELEMENTS = 800_000
 
 
-def _sent(df: DataFrame) -> DataFrame:
-    """``df`` of ids and numbers from storage, broadcast if its rows are few; else joins shuffle both sides."""
-    return F.broadcast(df) if df.limit(SENT + 1).count() <= SENT else df
+def _sent(df: DataFrame, listed: str | None = None) -> DataFrame:
+    """``df`` of ids and numbers from storage, broadcast if its rows, and the elements of its list column, are
+    few; else joins shuffle both sides."""
+    elements = F.sum(F.size(listed)) if listed else F.lit(0)
+    rows, many = df.limit(SENT + 1).agg(F.count(F.lit(1)), F.coalesce(elements, F.lit(0))).first()
+    return F.broadcast(df) if rows <= SENT and many <= SENT_ELEMENTS else df
 
 
 def lines(docs: DataFrame, shortest: int = LEAST) -> DataFrame:
@@ -254,7 +259,7 @@ def without(text: Column, numbers: Column) -> Column:
 
 
 def _joined(rows: DataFrame, drop: DataFrame) -> DataFrame:
-    drop = _sent(drop.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_h"), "drop"))
+    drop = _sent(drop.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_h"), "drop"), "drop")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h"))
     out = rows.join(drop, same, "left").drop("_id", "_h")
     return out.withColumn("_numbers", F.coalesce(F.transform("drop", lambda d: d["number"]), F.array().cast("array<int>")))

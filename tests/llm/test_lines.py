@@ -98,6 +98,18 @@ def test_short_lines(spark):
     assert {r.doc_id: r.dropped for r in lines.line_digests(table).where("doc_id > 1").collect()} == {2: "1>1:0", 3: "0>1:2"}
 
 
+def test_long_lists_are_not_sent(spark, monkeypatch):
+    """Beyond the bounds of rows or elements, joins shuffle: the same lines go."""
+    docs = [(k, "\n".join(["a line that all of the documents share"] * 30 + [f"own {k}"])) for k in range(20)]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = sorted(map(tuple, lines.line_digests(table).collect()))
+    assert [r[2] for r in want] == [29] + [30] * 19
+    for name in ("SENT", "SENT_ELEMENTS"):
+        with monkeypatch.context() as m:
+            m.setattr(lines, name, 3)
+            assert sorted(map(tuple, lines.line_digests(table).collect())) == want
+
+
 def test_edges(edges, nothing):
     out = lines.drop_repeated_lines(edges)
     assert out.columns == edges.columns and out.count() == edges.count()
