@@ -26,7 +26,6 @@ TOP_SENDERS = 5
 BURST_THRESHOLD = 3
 LIST_RUNS_LIMIT = 10
 EXCERPT_LIMIT = 500
-PAYLOAD_LIMIT = 45 * 1024 * 1024
 HIGHLIGHT_ERROR_LIMIT = 80
 HIGHLIGHT_ERROR_KEEP = 77
 

@@ -279,17 +279,21 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+# Half of what a text in a row can hold.
+MOST_BYTES = 1 << 30
+
+
 def sizes(lines: DataFrame) -> DataFrame:
     """``run_id, bytes`` of the digests that the lines make up."""
     size = F.sum(F.octet_length("text") + 1) - 1
     return lines.groupBy("run_id").agg(size.alias("bytes"))
 
 
-def assemble(lines: DataFrame, most_bytes: int = fixed.PAYLOAD_LIMIT) -> DataFrame:
+def assemble(lines: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """``run_id, bytes, payload, payload_hash`` per run: the whole digest as one text.
 
-    A digest of more than ``most_bytes``, measured before any text is put together, has neither payload nor hash: no
-    channel takes it, and its lines, in the line table and its range-partitioned files, are the product. What
+    A digest of more than ``most_bytes``, measured before any text is put together, has neither payload nor hash: no row
+    holds it, and its lines, in the line table and its range-partitioned files, are the product. What
     ``max_messages`` does not bound, such as the lines of a run's accounts, never meets in one row beyond that.
     """
     measured = stage(sizes(lines), "sizes")
