@@ -12,20 +12,27 @@ from postloom.functions.dates import rfc2822
 from postloom.functions.text import label_list
 from postloom.operators.ranking import fetch_batches
 from postloom.operators.replies import BATCH
+from postloom.operators.texts import Find, with_texts
 from postloom.sources.answers import Calls, ReplyLedger, call_provider
 
+# Batches that share a block of texts, as a power of two.
+BATCH_BITS = 6
+
 
 def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def message_block(body: Column) -> Column:
+FIELDS = ["account_label", "uid", "from_addr", "subject", "date", "is_read"]
+
+
+def message_block(body: Column, field: Callable[[str], Column] = F.col) -> Column:
     """One message between its fences; a missing field is empty, the message stays."""
-    key = F.concat(_text(F.col("account_label")), F.lit("/"), _text(F.col("uid").cast("string")))
+    key = F.concat(_text(field("account_label")), F.lit("/"), _text(field("uid").cast("string")))
     return F.concat(
-        F.lit("\n<<< EMAIL "), key, F.lit(" >>>\nFrom: "), _text(F.col("from_addr")),
-        F.lit("\nSubject: "), _text(F.col("subject")), F.lit("\nDate: "), _text(rfc2822(F.col("date"))),
-        F.lit("\nStatus: "), F.when(F.col("is_read"), F.lit("Read")).otherwise(F.lit("Unread")),
+        F.lit("\n<<< EMAIL "), key, F.lit(" >>>\nFrom: "), _text(field("from_addr")),
+        F.lit("\nSubject: "), _text(field("subject")), F.lit("\nDate: "), _text(rfc2822(field("date"))),
+        F.lit("\nStatus: "), F.when(field("is_read"), F.lit("Read")).otherwise(F.lit("Unread")),
         F.lit("\n\nBody:\n"), body, F.lit("\n<<< END EMAIL "), key, F.lit(" >>>\n"))
 
 
@@ -37,9 +44,12 @@ def request_batches(messages: DataFrame, size: int = fixed.FETCH_BATCH) -> DataF
 
 
 def build_prompts(batched: DataFrame, labels: Sequence[str] = fixed.DEFAULT_LABELS,
-                  template: str | None = None, system_prompt: str = "") -> DataFrame:
+                  template: str | None = None, system_prompt: str = "", texts: DataFrame | None = None) -> DataFrame:
     """One prompt per batch. A group has at most the batch size in rows.
 
+    Messages hold their ``body``, or with ``texts`` (``body_ref, body``) the columns ``body_ref`` and ``body_nth``. Then
+    batches are made of references, and a text goes once to the neighbouring batches that hold it.
+
     A ``system_prompt`` goes before the prompt, with a blank line between.
 
     ``template`` replaces the built-in text; it may hold ``{labels}`` and ``{messages}``, and message
@@ -51,15 +61,30 @@ def build_prompts(batched: DataFrame, labels: Sequence[str] = fixed.DEFAULT_LABE
         pieces = [head, tail]
     else:
         pieces = [part.replace("{labels}", names) for part in template.split("{messages}")]
-    block = message_block(F.coalesce("body", F.lit("")))
-    blocks = F.sort_array(F.collect_list(F.struct("uid", block.alias("block"))))
-    grouped = batched.groupBy(*BATCH).agg(
-        F.count(F.lit(1)).alias("n_messages"), blocks.alias("blocks"))
-    text = F.array_join(F.transform("blocks", lambda b: b["block"]), "")
-    parts: list[Column] = [F.lit(f"{system_prompt}\n\n" if system_prompt else ""), F.lit(pieces[0])]
-    for piece in pieces[1:]:
-        parts += [text, F.lit(piece)]
-    return grouped.select(*BATCH, "n_messages", F.concat(*parts).alias("prompt"))
+    def prompt(blocks: Column) -> Column:
+        """The batch as one text, its messages by uid."""
+        text = F.array_join(F.transform(blocks, lambda b: b["block"]), "")
+        parts: list[Column] = [F.lit(f"{system_prompt}\n\n" if system_prompt else ""), F.lit(pieces[0])]
+        for piece in pieces[1:]:
+            parts += [text, F.lit(piece)]
+        return F.concat(*parts)
+
+    size = F.count(F.lit(1)).alias("n_messages")
+    if texts is None:
+        block = message_block(F.coalesce("body", F.lit("")))
+        blocks = F.sort_array(F.collect_list(F.struct("uid", block.alias("block"))))
+        return batched.groupBy(*BATCH).agg(size, blocks.alias("blocks")).select(
+            *BATCH, "n_messages", prompt(F.col("blocks")).alias("prompt"))
+
+    def made(batch: Column, find: Find) -> Column:
+        blocks = F.sort_array(F.transform(batch["messages"], lambda m: F.struct(m["uid"].alias("uid"), message_block(
+            _text(find("bodies", m["body_ref"], m["body_nth"])), lambda name: m[name]).alias("block"))))
+        return F.struct(*[batch[c].alias(c) for c in (*BATCH, "n_messages")], prompt(blocks).alias("prompt"))
+
+    batches = batched.groupBy(*BATCH).agg(size, F.collect_list(F.struct(*FIELDS, "body_ref", "body_nth")).alias(
+        "messages"), F.min("uid").alias("first_uid"))
+    return with_texts(batches, [F.col("run_id"), F.col("first_uid"), F.col("batch_id")],
+                      {"bodies": (F.col("messages.body_ref"), texts)}, made, BATCH_BITS)
 
 
 def classify(prompts: DataFrame, provider: Callable[[str], str], attempt: int = 0,
