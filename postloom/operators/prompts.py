@@ -44,11 +44,13 @@ def request_batches(messages: DataFrame, size: int = fixed.FETCH_BATCH) -> DataF
 
 
 def build_prompts(batched: DataFrame, labels: Sequence[str] = fixed.DEFAULT_LABELS,
-                  template: str | None = None, system_prompt: str = "", texts: DataFrame | None = None) -> DataFrame:
+                  template: str | None = None, system_prompt: str = "", texts: DataFrame | None = None,
+                  parallelism: int | None = None) -> DataFrame:
     """One prompt per batch. A group has at most the batch size in rows.
 
     Messages hold their ``body``, or with ``texts`` (``body_ref, body``) the columns ``body_ref`` and ``body_nth``. Then
-    batches are made of references, and a text goes once to the neighbouring batches that hold it.
+    batches are made of references, and a text goes once to the neighbouring batches that hold it. ``parallelism`` is the
+    number of partitions the prompts then come in: references are dealt to them, so that whole prompts need not be.
 
     A ``system_prompt`` goes before the prompt, with a blank line between.
 
@@ -84,7 +86,7 @@ def build_prompts(batched: DataFrame, labels: Sequence[str] = fixed.DEFAULT_LABE
     batches = batched.groupBy(*BATCH).agg(size, F.collect_list(F.struct(*FIELDS, "body_ref", "body_nth")).alias(
         "messages"), F.min("uid").alias("first_uid"))
     return with_texts(batches, [F.col("run_id"), F.col("first_uid"), F.col("batch_id")],
-                      {"bodies": (F.col("messages.body_ref"), texts)}, made, BATCH_BITS)
+                      {"bodies": (F.col("messages.body_ref"), texts)}, made, BATCH_BITS, parallelism)
 
 
 def classify(prompts: DataFrame, provider: Callable[[str], str], attempt: int = 0,

@@ -32,16 +32,19 @@ def window_start(ledger: Ledger, now: dt.datetime, window_hours: float | None =
 
 def classify_all(fresh: DataFrame, provider: Callable[[str], str], options: TriageOptions,
                  template: str | None = None, parallelism: int | None = None, calls: Calls = Calls(),
-                 answered: ReplyLedger | None = None) -> tuple[DataFrame, DataFrame]:
+                 answered: ReplyLedger | None = None, texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Prompt batches of the messages, and the classifier's replies with one repair each.
 
+    With ``texts`` messages hold references to their bodies, see ``build_prompts``; prompts are then dealt as references.
+
     Replies are stored before later steps read them. With ``answered`` each is stored as it comes, so a lost task
     repeats no call that was answered; without, it repeats those of its partition.
     """
     batched = stage(prompts.request_batches(fresh), "requests")
-    first = stage(prompts.classify(prompts.build_prompts(
-        batched, options.labels, template, options.system_prompt), provider,
-                                   parallelism=parallelism, calls=calls, replies=answered), "answers")
+    made = prompts.build_prompts(batched, options.labels, template, options.system_prompt, texts, parallelism)
+    first = stage(prompts.classify(
+        made, provider, parallelism=parallelism if texts is None or answered is not None else None, calls=calls,
+        replies=answered), "answers")
     requests = batched.select("run_id", "batch_id", "account_label", "uid")
     if options.repair_attempts == 0:
         return requests, first
@@ -82,12 +85,16 @@ def _run_once(spark: SparkSession, ledger: Ledger, ingest: Ingest, provider: Cal
     run_id = F.lit(opened.first().id)
     # the source is read once: every later step sees the same rows
     landed, status = (df.withColumn("run_id", run_id) for df in ingest(since))
-    fetched = stage(messages.search_window(landed, F.lit(since).cast("timestamp_ntz")), "landed")
+    fetched = stage(messages.search_window(landed, F.lit(since).cast("timestamp_ntz")).withColumns(
+        {"body_ref": F.monotonically_increasing_id(), "body_nth": F.lit(1)}), "landed")
+    # bodies stay where they are stored until prompts are put together
+    refs, texts = fetched.drop("body"), fetched.select("body_ref", "body")
+    fetched = fetched.drop("body_ref", "body_nth")
     status = stage(status, "status")
     # the ledger is long, the fetch short: only files that may hold a fetched key are read
     known = stage(ledger.lookup("processed_messages", fetched), "known")
-    _, fresh = plan.select_messages(fetched, status, known, options)
-    requests, answers = classify_all(fresh, provider, options, template, parallelism, calls, answered)
+    _, fresh = plan.select_messages(refs, status, known, options)
+    requests, answers = classify_all(fresh, provider, options, template, parallelism, calls, answered, texts)
     runs = ledger.runs().select("id", "finished_at", "status")
     if options.dry_run:
         runs = runs.unionByName(opened.select(
