@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pandas as pd
 import pytest
 
 from postloom import schemas
@@ -165,6 +166,63 @@ def test_sender_state(spark, tmp_path):
     assert {r.key.sender for r in left.select("key").collect()} == {"cid@x.org"}  # idle senders have no state
 
 
+def test_sender_state_is_one_value_and_one_timer():
+    """The calls to the store for a sender do not grow with its runs; a run that ends at the watermark waits."""
+    calls = []
+
+    class Value:
+        now = None
+
+        def exists(self):
+            return self.now is not None
+
+        def get(self):
+            return self.now
+
+        def update(self, value):
+            calls.append("update")
+            self.now = value
+
+        def clear(self):
+            self.now = None
+
+    class Handle:
+        timers: set[int] = set()
+
+        def getValueState(self, name, schema):
+            return Value()
+
+        def registerTimer(self, at):
+            calls.append("timer")
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    class At:
+        def __init__(self, at):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: at
+
+    state, handle = senders.SenderBursts(), Handle()
+    state.init(handle)
+    run = senders.RUN_MS
+    starts = pd.DataFrame({"run_start_ms": [k * run for k in range(50) for _ in range(k + 1)]})
+    list(state.handleInputRows(("ann",), iter([starts]), None))
+    assert sorted(calls) == ["timer", "update"] and handle.timers == {run}
+
+    def expire(watermark):
+        found = []
+        while handle.timers and (first := min(handle.timers)) < watermark:
+            handle.timers.remove(first)
+            found += [b for b in state.handleExpiredTimer(("ann",), At(watermark), At(first))]
+        return [row for b in found for row in zip(b["run_start"].astype("datetime64[ms]").astype("int64") // run, b["n"], b["prev_n"])]
+
+    assert expire(40 * run) == [(k, k + 1, k) for k in range(2, 39)]
+    assert len(calls) == 4 and handle.timers == {40 * run}
+    assert expire(200 * run) == [(k, k + 1, k) for k in range(39, 50)]
+    assert not state.counts.exists() and not handle.timers
+
+
 def test_increments_drive_runs(spark, tmp_path):
     """Each landed file is read by one run; a failed run leaves nothing and its files come again."""
     book = Ledger(spark, f"{tmp_path}/ledger")
