@@ -68,6 +68,8 @@ _HEAD = r"^(?:[\x21-\x39\x3B-\x7E]++[ \t]*+:[^\n]*+(?:\n|\z)(?:[ \t][^\n]*+(?:\n
 _PLAIN = ("", "7bit", "8bit", "binary")
 # Levels of multiparts that are cut in columns; deeper ones go to the walk in Python.
 LEVELS = 3
+# A length that reaches the end of any text.
+_END = 2**31 - 1
 
 
 def _let(value: Column, use) -> Column:
@@ -75,11 +77,23 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _after(text: Column, start: Column | int) -> Column:
+    """``text`` from a place on, without a line end that stands there."""
+    def line(rest: Column) -> Column:
+        return F.when(rest.startswith("\r\n"), F.substring(rest, 3, _END)).when(
+            rest.startswith("\n"), F.substring(rest, 2, _END)).otherwise(rest)
+
+    return _let(F.substring(text, F.lit(start) if isinstance(start, int) else start, F.lit(_END)), line)
+
+
 def _part(text: Column) -> Column:
-    """struct(head, body) of a message or part; the head is unfolded. Bytes are characters 0 to 255 here."""
-    return _let(F.regexp_extract(text, _HEAD, 0), lambda head: F.struct(
-        F.regexp_replace(head, r"\r?\n(?=[ \t])", "").alias("head"),
-        F.regexp_replace(F.substring(text, F.length(head) + 1, F.length(text)), r"^\r?\n", "").alias("body")))
+    """struct(head, body) of a message or part; the head is unfolded. Bytes are characters 0 to 255 here.
+
+    A head ends before the first blank line, so what is behind that is not given to the regular expression.
+    """
+    top = F.concat(F.substring_index(F.substring_index(text, "\n\r\n", 1), "\n\n", 1), F.lit("\n"))
+    return _let(F.regexp_extract(top, _HEAD, 0), lambda head: F.struct(
+        F.regexp_replace(head, r"\r?\n(?=[ \t])", "").alias("head"), _after(text, F.length(head) + 1).alias("body")))
 
 
 def _header(head: Column, name: str) -> Column:
@@ -106,12 +120,17 @@ def _cut(part: Column) -> Column:
         mark = F.concat(F.lit("\r?\n--\\Q"), boundary, F.lit("\\E"))
         whole = F.get(F.split(F.concat(F.lit("\n"), part["body"]), F.concat(mark, F.lit("--[ \\t]*(?:\r?\n|\\z)")), 2), F.lit(0))
         pieces = F.split(whole, F.concat(mark, F.lit("[ \\t]*(?=\r?\n|\\z)")), -1)
-        return F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
-                           lambda p: _part(F.regexp_replace(p, r"^\r?\n", "")))
+        return _let(pieces, lambda found: F.transform(
+            F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0))), lambda p: _let(_after(p, 1), _part)))
 
-    boundary = _parameter(_header(part["head"], "content-type"), "boundary")
-    inner = F.when(_type(part["head"]).startswith("multipart/") & (F.coalesce(boundary, F.lit("")) != ""), between(boundary))
-    return _let(inner, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(part)))
+    def inner(content: Column) -> Column:
+        return _let(_parameter(content, "boundary"), lambda boundary: F.when(
+            F.coalesce(boundary, F.lit("")) != "", between(boundary)))
+
+    # most parts are no multiparts, and their heads are looked at no further
+    several = F.lower(part["head"]).contains("multipart/") & _type(part["head"]).startswith("multipart/")
+    return F.when(several, _let(_let(_header(part["head"], "content-type"), inner), lambda found: F.when(
+        F.size(found) > 0, found).otherwise(F.array(part)))).otherwise(F.array(part))
 
 
 def _unquoted(text: Column) -> Column:
@@ -174,7 +193,7 @@ def message_leaves(raw: DataFrame, column: str = "raw") -> DataFrame:
         for batch in batches:
             yield pd.Series([_leaves(data) for data in batch], dtype="object")
 
-    rows = raw.withColumn("_parts", F.array(_part(F.decode(F.col(column), "ISO-8859-1"))))
+    rows = raw.withColumn("_parts", F.array(_let(F.decode(F.col(column), "ISO-8859-1"), _part)))
     for _ in range(LEVELS):
         rows = rows.withColumn("_parts", F.flatten(F.transform("_parts", _cut)))
     rows = rows.withColumn("_leaves", F.transform("_parts", _native_leaf))
@@ -190,10 +209,17 @@ def bodies_and_attachments(decoded: DataFrame) -> DataFrame:
     """Body = first non-empty text leaf, cleaned; attachments in leaf order. One row per message."""
     # the first leaf with text decides; only HTML that strips to nothing lets the next one try
     texts = F.filter("leaves", lambda x: F.coalesce(x["text"], F.lit("")) != "")
-    plain = F.transform(texts, lambda x: F.when(
-        x["mime_type"] == "text/html", strip_html(x["text"])).otherwise(x["text"]))
-    body = F.get(F.filter(plain, lambda x: x != ""), F.lit(0))
+
+    def plain(x: Column) -> Column:
+        return F.when(x["mime_type"] == "text/html", strip_html(x["text"])).otherwise(x["text"])
+
+    def any_plain(found: Column) -> Column:
+        return _let(plain(F.get(found, F.lit(0))), lambda first: F.when(first != "", first).otherwise(
+            F.get(F.filter(F.transform(found, plain), lambda x: x != ""), F.lit(0))))
+
+    body = _let(texts, any_plain)
     found = F.transform(F.filter("leaves", lambda x: x["is_attachment"]), lambda x: F.struct(
         x["filename"].alias("filename"), x["mime_type"].alias("mime_type"), x["size"].alias("size")))
-    clean = trim_space(decode_entities(strip_control_chars(F.coalesce(body, F.lit("")))))
+    clean = _let(strip_control_chars(F.coalesce(body, F.lit(""))), lambda x: trim_space(
+        F.when(F.contains(x, F.lit("&")), decode_entities(x)).otherwise(x)))
     return decoded.withColumns({"body": clean, "attachments": found}).drop("leaves")

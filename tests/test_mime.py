@@ -138,3 +138,22 @@ def test_columns_and_walk_agree(spark):
 
     for r in mime.message_leaves(df).collect():
         assert compared(map(tuple, r.leaves)) == compared(mime._leaves(mails[r.uid])), mails[r.uid]
+
+
+def test_a_multipart_is_split_once_at_each_level(spark):
+    """Expressions over lists are evaluated wherever they stand: a multipart is split at its end and at its marks, once."""
+    df = spark.createDataFrame([(1, bytearray(b""))], "uid bigint, raw binary")
+    plan = mime.message_leaves(df)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 2 * (mime.LEVELS + 1) + 1  # and once for quoted-printable
+    text = mime.bodies_and_attachments(mime.message_leaves(df))._jdf.queryExecution().analyzed().toString()
+    assert "Contains(" in text or "contains(" in text
+
+
+@pytest.mark.parametrize("raw, body", [
+    ("\nNo head", "No head"), ("X: y", ""), ("X: y\n z", ""), ("X: y\nno header line", "no header line"),
+    ("X: y\n \n\nA\n\nB", "A\n\nB"), ("X: y\nContent-Type: text/plain\n\n\nA", "A"),
+    (multi("mixed", part("text/html", "<p> </p>"), part("text/plain", "A & B")), "A & B"),
+])
+def test_heads_end_at_the_first_blank_line(spark, raw, body):
+    assert read(spark, raw)[0].replace("\r\n", "\n") == body
+    assert read(spark, raw.encode())[0] == body
