@@ -172,3 +172,16 @@ def test_count_validation(spark):
     assert {r.batch_id: r.count_error for r in rows} == {
         "a": None, "b": "validate: expected 2 classifications, got 1", "c": "validate: no classifications",
         "d": "validate: item 0: empty label for work/1; item 0: confidence 3.000000 out of range"}
+
+
+def test_bare_documents_meet_no_pattern(spark):
+    """Texts without fences and without anything around the braces are taken as they are; others as the patterns say."""
+    from postloom.functions.reply_text import json_part, strip_fences
+    texts = ['{"a": 1}', ' {"a": 1}\n', '```json\n{"a": 1}\n```', 'So: {"a": {}} done', '} {', '{', '', None, '```', '{"a": "```"}']
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").repartition(2)
+    found = df.select("i", strip_fences(F.col("x")).alias("bare")).select("i", "bare", json_part(F.col("bare")).alias("part"))
+    assert [(r.bare, r.part) for r in found.orderBy("i").collect()] == [
+        ('{"a": 1}', '{"a": 1}'), ('{"a": 1}', '{"a": 1}'), ('{"a": 1}', '{"a": 1}'),
+        ('So: {"a": {}} done', '{"a": {}}'), ('} {', '} {'), ('{', '{'), ('', ''), (None, None), ('', ''), ('{"a": "', '{"a": "')]
+    for function in (strip_fences, json_part):
+        assert "CASE WHEN" in df.select(function(F.col("x")))._jdf.queryExecution().optimizedPlan().toString()
