@@ -48,7 +48,9 @@ def classify_all(fresh: DataFrame, provider: Callable[[str], str], options: Tria
     requests = batched.select("run_id", "batch_id", "account_label", "uid")
     if options.repair_attempts == 0:
         return requests, first
-    parsed = replies.parse_replies(first.where(F.col("reply_error").isNull()), options.labels)
+    # a filter on what is parsed would be pushed below the parse, with the parse in it again for each use of a column
+    parsed = stage(replies.parse_replies(first.where(F.col("reply_error").isNull()), options.labels).select(
+        *replies.BATCH, "raw", "parse_error"), "first")
     again = stage(prompts.classify(replies.repair_prompts(parsed, options.labels), provider, 1,
                                    parallelism, calls, answered), "repairs")
     return requests, first.unionByName(again)

@@ -89,3 +89,18 @@ def test_released_passes_leave_no_tables(spark, tmp_path):
     assert os.listdir(folder)
     result.release()
     assert not os.path.exists(folder) and book.read("processed_messages").count() == 3
+
+
+def test_repairs_read_stored_parses(spark, tmp_path, monkeypatch):
+    """A filter on parsed columns is pushed below the parse and repeats it for every use, unless the parse is stored."""
+    from postloom.operators import prompts
+    plans, classify = [], prompts.classify
+
+    def watched(made, *more, **named):
+        plans.append(made._jdf.queryExecution().optimizedPlan().toString())
+        return classify(made, *more, **named)
+
+    monkeypatch.setattr(prompts, "classify", watched)
+    run_once(spark, Ledger(spark, f"{tmp_path}/ledger"), source(spark, [12, 13]), classifier(), f"{tmp_path}/out",
+             now=T0, window_hours=24, parallelism=1)
+    assert len(plans) == 2 and "from_json" not in plans[1]
