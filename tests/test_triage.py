@@ -209,6 +209,55 @@ def test_whole_pass(spark, tmp_path):
             "id string, finished_at timestamp_ntz, status string, message_count bigint, error string")))
 
 
+def pass_by_reference(spark, monkeypatch):
+    """The sample's pass, its texts by reference: one twice, one null, one unknown; a key is fetched twice, one has no uid."""
+    m = sample(spark).drop("body").withColumn("body_ref", F.when(F.col("uid") != 3, F.col("uid")))
+    m = m.unionByName(m.where("uid = 2")).unionByName(m.where("uid = 1").withColumn("uid", F.lit(None).cast("bigint")))
+    texts = spark.createDataFrame([(1, "a" * 600), (2, "b"), (2, "c"), (4, None), (8, "d")], "body_ref bigint, body string")
+    monkeypatch.setitem(globals(), "sample", lambda _: m)
+    return m, texts
+
+
+def test_texts_by_reference_give_the_same_pass(spark, monkeypatch):
+    m, texts = pass_by_reference(spark, monkeypatch)
+    names = ("account_label", "uid", "label", "classified", "error", "excerpt")
+
+    def found(result):
+        return sorted(map(repr, result.entries.select(*names).collect())), payload(result), sorted(
+            map(repr, result.totals.collect()))
+
+    got = found(run_pass(spark, texts=texts))
+    by_body = m.join(texts, "body_ref", "left").drop("body_ref")
+    monkeypatch.setitem(globals(), "sample", lambda _: by_body)
+    assert got == found(run_pass(spark))
+    assert len(got[0]) == 8 and sum("a…" in r for r in got[0]) == 2
+
+
+@pytest.mark.parametrize("by_reference", [True, False])
+def test_a_pass_selects_and_ranks_rows_without_texts(spark, monkeypatch, by_reference):
+    more = {"texts": pass_by_reference(spark, monkeypatch)[1]} if by_reference else {}
+    selected, ranked = [], []
+    select, stage = plan.select_messages, ranking.stage
+    monkeypatch.setattr(plan, "select_messages", lambda df, *a: selected.append(df.columns) or select(df, *a))
+    monkeypatch.setattr(ranking, "stage", lambda df, name: ranked.append(df) or stage(df, name))
+    run_pass(spark, **more)
+    assert len(selected) == 1 and not {"body", "excerpt"} & set(selected[0])
+    assert [df.columns for df in ranked] == [[ranking.ENTRY_ID]] * 2
+    for df in ranked:
+        assert "excerpt" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_with_an_id_are_capped_as_others(spark):
+    df = spark.range(60).select(
+        F.when(F.col("id") % 4 > 0, (F.col("id") % 2).cast("string")).alias("run_id"), F.lit("a").alias("account_label"),
+        F.when(F.col("id") % 9 > 0, F.col("id")).alias("uid"), F.lit(T0).alias("date"),
+        F.when(F.col("id") % 5 > 0, F.lit("High")).alias("priority"), F.col("id").alias("text"))
+    for cap in (ranking.most_important, ranking.first_fetched):
+        for limit in (0, 11):
+            got = cap(df.withColumn(ranking.ENTRY_ID, F.col("text") + 7), limit)
+            assert rows(got, "text") == rows(cap(df, limit), "text")
+
+
 def test_fallback_digest_when_nothing_is_valid(spark):
     result = run_pass(spark, answer="sorry")
     text = payload(result)
