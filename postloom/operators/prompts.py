@@ -12,7 +12,7 @@ from postloom.functions.dates import rfc2822
 from postloom.functions.text import label_list
 from postloom.operators.ranking import fetch_batches
 from postloom.operators.replies import BATCH
-from postloom.operators.texts import Find, with_texts
+from postloom.operators.texts import PLACE, RUN_KEY, Find, with_own_texts, with_texts
 from postloom.sources.answers import Calls, ReplyLedger, call_provider
 
 # Batches that share a block of texts, as a power of two.
@@ -52,6 +52,10 @@ def build_prompts(batched: DataFrame, labels: Sequence[str] = fixed.DEFAULT_LABE
     batches are made of references, and a text goes once to the neighbouring batches that hold it. ``parallelism`` is the
     number of partitions the prompts then come in: references are dealt to them, so that whole prompts need not be.
 
+    Texts that name their message (``run_id, account_label, uid, body_ref, body``) are one for each message, and batches
+    are then of ``request_batches``. Such a text is moved once, to the place of its batch; the prompts are made in as many
+    partitions as the session shuffles to, of which each of ``parallelism`` tasks reads its share one after the other.
+
     A ``system_prompt`` goes before the prompt, with a blank line between.
 
     ``template`` replaces the built-in text; it may hold ``{labels}`` and ``{messages}``, and message
@@ -72,12 +76,23 @@ def build_prompts(batched: DataFrame, labels: Sequence[str] = fixed.DEFAULT_LABE
         return F.concat(*parts)
 
     size = F.count(F.lit(1)).alias("n_messages")
-    if texts is None:
+
+    def of_rows(rows: DataFrame, *more: str) -> DataFrame:
+        """The prompts of rows that hold their ``body``, grouped by ``more`` as well."""
         block = message_block(F.coalesce("body", F.lit("")))
         blocks = F.sort_array(F.collect_list(F.struct("uid", block.alias("block"))))
-        return batched.groupBy(*BATCH).agg(size, blocks.alias("blocks")).select(
+        return rows.groupBy(*more, *BATCH).agg(size, blocks.alias("blocks")).select(
             *BATCH, "n_messages", prompt(F.col("blocks")).alias("prompt"))
 
+    if texts is None:
+        return of_rows(batched)
+    if "uid" in texts.columns:
+        named = batched.groupBy(*BATCH).agg(F.collect_list(F.struct(*FIELDS, "body_ref")).alias("messages"))
+        tasks = parallelism or 1
+        shuffled = int(batched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        made = of_rows(with_own_texts(named, "messages", texts.select(*RUN_KEY, "body_ref", "body"), tasks * -(-shuffled // tasks)), PLACE)
+        return made.coalesce(parallelism) if parallelism else made
+
     def made(batch: Column, find: Find) -> Column:
         blocks = F.sort_array(F.transform(batch["messages"], lambda m: F.struct(m["uid"].alias("uid"), message_block(
             _text(find("bodies", m["body_ref"], m["body_nth"])), lambda name: m[name]).alias("block"))))

@@ -13,7 +13,7 @@ from postloom.functions.dates import fetch_since
 from postloom.operators import digest, messages, prompts, ranking, replies
 from postloom.params import TriageOptions
 from postloom.plans import triage as plan
-from postloom.session import stage, staging
+from postloom.session import TEXT_CODEC, stage, staging
 from postloom.sources.answers import Calls, ReplyLedger
 from postloom.sources.ledger import Ledger
 
@@ -88,10 +88,10 @@ def _run_once(spark: SparkSession, ledger: Ledger, ingest: Ingest, provider: Cal
     # the source is read once: every later step sees the same rows
     landed, status = (df.withColumn("run_id", run_id) for df in ingest(since))
     fetched = stage(messages.search_window(landed, F.lit(since).cast("timestamp_ntz")).withColumns(
-        {"body_ref": F.monotonically_increasing_id(), "body_nth": F.lit(1)}), "landed")
+        {"body_ref": F.monotonically_increasing_id()}), "landed", TEXT_CODEC)
     # bodies stay where they are stored until prompts are put together
-    refs, texts = fetched.drop("body"), fetched.select("body_ref", "body")
-    fetched = fetched.drop("body_ref", "body_nth")
+    refs, texts = fetched.drop("body"), fetched.select(*messages.RUN_KEY, "body_ref", "body")
+    fetched = fetched.drop("body_ref")
     status = stage(status, "status")
     # the ledger is long, the fetch short: only files that may hold a fetched key are read
     known = stage(ledger.lookup("processed_messages", fetched), "known")

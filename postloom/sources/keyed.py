@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postloom.session import stage
+from postloom.session import TEXT_CODEC, stage
 from postloom.sources.versions import Segment, Versions
 
 BLOCK_BITS = 1 << 15
@@ -47,7 +47,8 @@ def write(rows: DataFrame, keys: list[str], path: str, filters: str, most_rows:
     """Write a segment and its filter; ``most_rows`` bounds its rows. Returns rows, blocks and files."""
     blocks, files = shape(most_rows)
     place = F.pmod(block_of(key_hash(keys), F.lit(blocks)), F.lit(files)).cast("int")
-    rows.repartitionById(files, place).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+    rows.repartitionById(files, place).sortWithinPartitions(*keys).write.mode("overwrite").option(
+        "compression", TEXT_CODEC).parquet(path)
     stored = rows.sparkSession.read.schema(rows.schema).parquet(path)
     places = stored.select(block_of(key_hash(keys), F.lit(blocks)).alias("block"), F.explode(bits_of(keys)).alias("at"))
     places.groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits")).coalesce(files).write.mode(

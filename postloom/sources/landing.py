@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from postloom.operators import messages as ops
-from postloom.session import stage
+from postloom.session import TEXT_CODEC, stage
 
 DAY = "internal_day"
 
@@ -33,7 +33,8 @@ class Landing:
         """Append fetched messages. The rebalance step gives a day few files, a crowded day several."""
         columns = [f.name for f in self.schema]
         rows = messages.select(*columns, F.to_date("internal_date").alias(DAY))
-        rows.hint("rebalance", F.col(DAY)).write.mode("append").partitionBy(DAY).parquet(self.root)
+        rows.hint("rebalance", F.col(DAY)).write.mode("append").option("compression", TEXT_CODEC).partitionBy(DAY).parquet(
+            self.root)
 
     def read(self) -> DataFrame:
         """All messages with their day."""

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom import schemas
-from postloom.session import stage
+from postloom.session import TEXT_CODEC, stage
 from postloom.sources import keyed
 from postloom.sources.versions import Segment, State, Versions
 
@@ -202,10 +202,19 @@ class Ledger:
         self._publish({table: self._segment(table, rows)})
 
     def _insert(self, table: str, rows: DataFrame) -> None:
-        """Append rows whose key is not stored yet, one per key. The rows are computed once."""
-        once = stage(once_per_key(rows, KEYS[table], FIRST_BY[table]), table)
-        fresh = once.join(self.lookup(table, once), KEYS[table], "left_anti")
-        self._publish({table: self._segment(table, fresh, once.count())})
+        """Append rows whose key is not stored yet, one per key. The rows are computed once; those whose key comes once
+        are moved only to their file."""
+        keys = KEYS[table]
+        held = stage(rows, table, TEXT_CODEC)
+        found = stage(held.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), f"{table}_keys")
+        once = held
+        if found.where("_n > 1").limit(1).count():
+            key = F.struct(*keys).alias("_key")  # a struct as the key: null equals null in its fields
+            keyed_rows, several = held.withColumn("_key", key), found.where("_n > 1").select(key)
+            once = keyed_rows.join(several, "_key", "left_anti").drop("_key").unionByName(once_per_key(
+                keyed_rows.join(several, "_key", "left_semi").drop("_key"), keys, FIRST_BY[table]))
+        fresh = once.join(self.lookup(table, found), keys, "left_anti")
+        self._publish({table: self._segment(table, fresh, found.count())})
 
     def compact(self, least: int = MERGE) -> None:
         """Merge stretches of like segments until there are none, each by a commit, then retire old versions.

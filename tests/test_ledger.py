@@ -198,3 +198,26 @@ def test_two_writers(spark, tmp_path):
             one.record_digests(rows)
             two.record_digests(rows)
     assert one.read("digests").count() == 1
+
+
+def test_rows_of_single_keys_are_not_grouped(spark, tmp_path, monkeypatch):
+    """Only rows whose key comes twice, or is missing twice, are grouped to find the first; the others stay where they are."""
+    grouped, once = [], store.once_per_key
+
+    def watched(new, *more):
+        grouped.append(sorted((r.uid or 0, r.run_id) for r in new.collect()))
+        return once(new, *more)
+
+    monkeypatch.setattr(store, "once_per_key", watched)
+    book = Ledger(spark, str(tmp_path))
+    book.record_messages(processed(spark, 0, 50))
+    assert grouped == []
+    nothing = processed(spark, 0, 1, "n").withColumn("uid", F.lit(None).cast("bigint"))
+    twice = processed(spark, 40, 70, "b").unionByName(processed(spark, 60, 63, "a")).unionByName(nothing).unionByName(nothing)
+    book.record_messages(twice)
+    assert grouped == [sorted([(n, r) for n in (60, 61, 62) for r in "ab"] + [(0, "n")] * 2)]
+    stored = {r.uid: r.run_id for r in book.read("processed_messages").collect()}
+    assert book.read("processed_messages").count() == 71 and stored[None] == "n" and stored[45] == "r"
+    assert [stored[n] for n in (59, 60, 62, 63)] == ["b", "a", "a", "b"]
+    files = files_below(f"{tmp_path}/processed_messages")
+    assert all(f.endswith(".zstd.parquet") for f in files if "part-" in f)

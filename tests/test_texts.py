@@ -1,6 +1,7 @@
 """Texts by reference: every row and copy as a plain join has them, and no exchange behind the text."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from postloom import catalog
 from postloom.operators import messages, prompts
 from postloom.operators.texts import join_texts, numbered_refs, with_texts
 from postloom.plans.tables import Tables
+from postloom.session import stage
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -121,3 +123,26 @@ def test_mail_is_written_without_moving_whole_messages(spark, tmp_path):
         F.lit("\r\n"))).alias("raw_md5"))
     got = catalog.QUERIES["src_06_landed_mailboxes"](t).select("uid", "raw_md5")
     assert listed(got) == listed(sent) and 0 < sent.count() < 24
+
+
+@pytest.mark.parametrize("parallelism", [None, 3])
+def test_own_texts_are_moved_once(spark, parallelism):
+    """Keys that repeat or miss, over many places: the prompts are those of rows that hold their text."""
+    rng, rows = random.Random(3), []
+    for k in range(2000):
+        uid = rng.choice([None, rng.randrange(40), rng.randrange(40), rng.randrange(5000), rng.randrange(1 << 32)])
+        rows.append((rng.choice(["r1", "r2"]), rng.choice(["a", "b", "b", None]), uid, f"f{k}", "s", None, True,
+                     f"text {k}" if k % 9 else None))
+    held = stage(spark.createDataFrame(
+        rows, "run_id string, account_label string, uid bigint, from_addr string, subject string, date timestamp_ntz, "
+        "is_read boolean, body string").withColumn("body_ref", F.monotonically_increasing_id()), "held")
+    fresh = held.drop("body").where("uid is null or uid % 7 > 0")
+    batched = stage(prompts.request_batches(fresh), "batched")
+    own = held.select("run_id", "account_label", "uid", "body_ref", "body")
+    made = prompts.build_prompts(batched, texts=own, parallelism=parallelism)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    want = prompts.build_prompts(batched.join(held.select("body_ref", "body"), "body_ref"))
+    assert listed(made) == listed(want.select(*made.columns)) and made.count() > 100
+    assert parallelism is None or made.rdd.getNumPartitions() == parallelism
+    assert prompts.build_prompts(batched.where("false"), texts=own, parallelism=parallelism).count() == 0
